@@ -7,9 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, sharding, urls
+from . import exact, marked, packing, sharding, tokens, urls
 from .common import load
 
+
+
+def vocabulary(name: str) -> str:
+    """The place of an installed public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -23,6 +32,21 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op5_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.tokenize(docs, vocabulary("byte_bpe_50k.json"), end=2)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end=1)
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return marked.encode_documents(docs, vocabulary("piece_bpe_32k.model"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     placed = sharding.shard(docs, sharding.tree(24), sharding.tree(25))
@@ -64,6 +88,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_url_filters": op1_url_filters,
         "op3_exact_dedup": op3_exact_dedup,
+        "op5_direct_codes": op5_direct_codes,
+        "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_sentencepiece": op9_sentencepiece,
         "op10_sharding": op10_sharding,
     }
 
