@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, marked, packing, sharding, tokens, urls
+from . import exact, marked, packing, sharding, simhash, tokens, urls
 from .common import load
 
 
@@ -27,6 +27,11 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, urls.RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(load(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, tau=3)
+    return groups.select(F.col("id").alias("doc_id"), simhash.hex_of().alias("fingerprint"), "component_id")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact.exact_groups(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
@@ -87,6 +92,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 def queries() -> dict[str, Query]:
     return {
         "op1_url_filters": op1_url_filters,
+        "op2_simhash": op2_simhash,
         "op3_exact_dedup": op3_exact_dedup,
         "op5_direct_codes": op5_direct_codes,
         "op8_best_fit_packing": op8_best_fit_packing,
