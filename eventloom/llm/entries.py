@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, marked, packing, sharding, simhash, tokens, urls
+from . import exact, marked, packing, quality, sharding, simhash, tokens, urls
 from .common import load
 
 
@@ -37,6 +37,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality.judge(docs).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
 def op5_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.tokenize(docs, vocabulary("byte_bpe_50k.json"), end=2)
@@ -94,6 +99,7 @@ def queries() -> dict[str, Query]:
         "op1_url_filters": op1_url_filters,
         "op2_simhash": op2_simhash,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_quality_rules": op4_quality_rules,
         "op5_direct_codes": op5_direct_codes,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_sentencepiece": op9_sentencepiece,
