@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, marked, packing, quality, sharding, simhash, tokens, urls
+from . import exact, marked, packing, quality, secrets, sharding, simhash, tokens, urls
 from .common import load
 
 
@@ -47,6 +47,18 @@ def op5_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenize(docs, vocabulary("byte_bpe_50k.json"), end=2)
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*[r.kind for r in secrets.BASE]))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[count(r.kind) for r in secrets.BASE],
+        F.sha2(F.encode(secrets.joined(base), "UTF-8"), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end=1)
@@ -87,6 +99,33 @@ SELECT page_id, host, path, rule, CASE
 FROM judged
 """
 
+def _spans_sql(rule: secrets.Rule, order: int) -> str:
+    """DuckDB's list of a rule's spans in column ``t``."""
+    pattern = rule.pattern.replace("'", "''")
+    part = f"list_transform(string_split_regex(t, '{pattern}'), lambda x: length(x))"
+    match = f"list_transform(regexp_extract_all(t, '{pattern}', 0), lambda x: length(x))"
+    group = f"list_transform(regexp_extract_all(t, '{pattern}', {rule.group}), lambda x: length(x))"
+    start = "CAST(list_sum(p[1:i]) + coalesce(list_sum(m[1:i - 1]), 0) AS BIGINT)"
+    return f"""(SELECT list({{'start': {start}, 'ord': {order}, 'kind': '{rule.kind}', 'end': {start} + m[i]}} ORDER BY i)
+      FROM (SELECT p, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT {part} AS p, {match} AS m, {group} AS g)) WHERE g[i] >= {rule.least})"""
+
+
+_LISTS = ", ".join(f"coalesce({_spans_sql(r, i)}, [])" for i, r in enumerate(secrets.RULES))
+_JOINED = "array_to_string(list_transform({}, lambda s: s.kind || ':' || s.start || ':' || s.end), ',')"
+
+OP6_SQL = f"""
+WITH found AS (
+  SELECT doc_id, list_sort(flatten([{_LISTS}])) AS spans
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+SELECT doc_id,
+       CAST(len(list_filter(spans, lambda s: s.kind = 'assign')) AS BIGINT) AS n_assign,
+       CAST(len(list_filter(spans, lambda s: s.kind = 'access')) AS BIGINT) AS n_access,
+       CAST(len(list_filter(spans, lambda s: s.kind = 'hex')) AS BIGINT) AS n_hex,
+       sha256({_JOINED.format("list_filter(spans, lambda s: s.ord < 3)")}) AS base_sha256,
+       {_JOINED.format("spans")} AS spans
+FROM found
+"""
+
 OP3_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -101,6 +140,7 @@ def queries() -> dict[str, Query]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_quality_rules": op4_quality_rules,
         "op5_direct_codes": op5_direct_codes,
+        "op6_secret_scans": op6_secret_scans,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_sharding": op10_sharding,
@@ -108,4 +148,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op3_exact_dedup": OP3_SQL}
+    return {"op1_url_filters": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op6_secret_scans": OP6_SQL}
