@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, marked, packing, quality, secrets, sharding, simhash, tokens, urls
+from . import exact, marked, packing, quality, scoring, secrets, sharding, simhash, tokens, urls
 from .common import load
 
 
@@ -59,6 +59,11 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return scoring.score(docs, vocabulary("piece_bpe_32k.model"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end=1)
@@ -141,6 +146,7 @@ def queries() -> dict[str, Query]:
         "op4_quality_rules": op4_quality_rules,
         "op5_direct_codes": op5_direct_codes,
         "op6_secret_scans": op6_secret_scans,
+        "op7_lm_scoring": op7_lm_scoring,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_sharding": op10_sharding,
