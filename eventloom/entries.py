@@ -252,7 +252,7 @@ def heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, df = events(spark, sf_dir)
-    return analytics.streaks(df.where("value > 400"), NOW, OFFSET, by=("event_type",))
+    return analytics.streaks(df.where("value > 250"), NOW, OFFSET, by=("event_type",))
 
 
 def _part_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -459,7 +459,7 @@ def oracle_sql() -> dict[str, str]:
         **{f"bucket_{g}_offset": f"SELECT {b} AS bucket, count(*) AS n FROM events GROUP BY 1" for g, b in buckets.items()},
         "heatmap": f"WITH n AS (SELECT {_DAY} AS timestamp, count(*) AS count FROM events GROUP BY 1) SELECT timestamp, strftime(make_timestamp((timestamp + 19800000) * 1000), '%Y-%m-%d') AS date, count, CAST(CASE WHEN count / max(count) OVER () <= 0.25 THEN 1 WHEN count / max(count) OVER () <= 0.5 THEN 2 WHEN count / max(count) OVER () <= 0.75 THEN 3 ELSE 4 END AS INTEGER) AS level FROM n",
         "streaks": f"""
-WITH d AS (SELECT DISTINCT event_type, {_DAY} AS day FROM events WHERE value > 400),
+WITH d AS (SELECT DISTINCT event_type, {_DAY} AS day FROM events WHERE value > 250),
 i AS (SELECT event_type, day, day - 86400000 * row_number() OVER (PARTITION BY event_type ORDER BY day) AS island FROM d),
 r AS (SELECT event_type, count(*) AS n, min(day) AS a, max(day) AS b FROM i GROUP BY event_type, island)
 SELECT event_type, CAST(CASE WHEN (({NOW} + 19800000) // 86400000 * 86400000 - 19800000) - max(b) < 2 * 86400000 THEN arg_max(n, b) ELSE 0 END AS BIGINT) AS current_streak,
