@@ -41,7 +41,10 @@ class PieceEncoder:
         self.table = ChunkTable(self._encode, before_markers)
 
     def _encode(self, chunks: list[str]) -> list[Sequence[int]]:
-        return self.sp.encode([c[1:] if c[:1] == " " else c for c in chunks], num_threads=1)
+        # A space at a text's end is a marker alone; the library adds none to an empty text.
+        alone = [self.sp.piece_to_id(MARK)]
+        coded = self.sp.encode([c[1:] if c[:1] == " " else c for c in chunks], num_threads=1)
+        return [alone if c == " " else ids for c, ids in zip(chunks, coded, strict=True)]
 
     def ids(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin and end."""
