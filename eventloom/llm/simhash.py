@@ -11,6 +11,11 @@ whole pair by more than tau.
 * Thresholds are unequal: a dynamic program over the partitions allocates them at
   the least estimated number of probes and candidates, the candidates coming from
   the bits' frequencies; partition counts are compared by the same estimate.
+* Where a Jaccard similarity of the shingles is asked for too (``similarity``), links
+  are verified by it. A first round takes one near partner for each filed value of a
+  fingerprint, verifies these and joins their components; a second round takes every
+  pair that is still in two components. So no link is lost, and a group of near
+  copies is not written out as pairs.
 * A fingerprint is filed under its value in each partition and probes all values
   within the threshold. Tasks verify whole groups by vectorised popcounts and
   return a spanning forest of the true links, never all pairs of a group.
@@ -39,8 +44,9 @@ from pyspark.sql import functions as F
 from .common import free_name, map_arrow, row_id, text_of, written
 
 BITS, SEED = 64, 42
-#: What a candidate pair costs, in probes, and rows that are compared at a time.
-PAIR_COST, BLOCK = 0.5, 2_000_000
+#: What a candidate pair costs, in probes: a popcount against a row that is shuffled
+#: and sorted. Pairs that are compared at a time.
+PAIR_COST, BLOCK = 0.03, 2_000_000
 
 
 def fingerprint(words: list[bytes], shingle: int) -> int:
@@ -323,16 +329,141 @@ def components(edges: DataFrame) -> DataFrame:
         seen = tuple(stat)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tau: int = 3) -> DataFrame:
+def _candidates(frame: DataFrame, found: Plan, tau: int, every: bool) -> DataFrame:
+    """Pairs ``a, b`` within tau bits of fingerprints with different labels: all of
+    them (``every``), or one for each value that a fingerprint is filed under."""
+    parts = [(k, b, t) for k, (b, t) in enumerate(zip(found.partitions, found.thresholds, strict=True)) if t >= 0]
+    names = ["key", "fp", "label", "filed"]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, labels = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "label"))
+            for k, bits, t in parts:
+                step = max(1, 200_000 // sum(_choose(len(bits), e) for e in range(t + 1)))
+                for i in range(0, len(fps), step):
+                    sig = signatures(fps[i : i + step].view(np.uint64), bits, t)
+                    filed = np.zeros(sig.shape, bool)
+                    filed[:, 0] = True
+                    n = sig.shape[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(_mixed(sig, k).ravel().view(np.int64)), pa.array(np.repeat(fps[i : i + step], n)), pa.array(np.repeat(labels[i : i + step], n)), pa.array(filed.ravel())], names=names)
+
+    def out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, fps, labels, filed = held
+        fps = fps.view(np.uint64)
+        for left, right in _blocks(keys, filed):
+            a, b = fps[left], fps[right]
+            near = np.flatnonzero((np.bitwise_count(a ^ b) <= tau) & (labels[left] != labels[right]) & (a != b))
+            if not len(near):
+                continue
+            a, b = a[near], b[near]
+            if not every:
+                order = np.lexsort((a, b))
+                a, b = a[order], b[order]
+                first = np.concatenate([[True], b[1:] != b[:-1]])
+                a, b = a[first], b[first]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c]).view(np.int64)) for c in (0, 1)], names=["a", "b"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            held = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)] if held else cols
+            whole = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on
+            if whole:
+                yield from out([h[:whole] for h in held])
+                held = [h[whole:] for h in held]
+        if held:
+            yield from out(held)
+
+    dealt = map_arrow(frame.select("fp", "label"), emit, "key long, fp long, label long, filed boolean").repartition("key").sortWithinPartitions("key")
+    return map_arrow(dealt, verify, "a long, b long").distinct()
+
+
+def _blocks(keys: np.ndarray, filed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of each key against the filed rows of that key, a block of pairs at a time."""
+    order = np.lexsort((~filed, keys))  # filed rows first
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.append(begin, len(keys)))
+    n_filed = np.add.reduceat(filed.astype(np.int64), begin)
+    first, count = np.repeat(begin, size), np.repeat(np.where(size > 1, n_filed, 0), size)
+    total, i = np.cumsum(count), 0
+    while i < len(keys):
+        done = total[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(total, done + BLOCK, side="right")))
+        n = count[i:j]
+        pairs = int(n.sum())
+        for skip in range(0, pairs, BLOCK):  # more than once for a row with very many partners
+            at = np.arange(skip, min(skip + BLOCK, pairs))
+            row = np.searchsorted(np.cumsum(n), at, side="right")
+            yield order[i + row], order[first[i + row] + at - (np.cumsum(n) - n)[row]]
+        i = j
+
+
+def _shingle_sets(docs: DataFrame, reps: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """``fp, shingles``: sorted distinct hashes of a text of each fingerprint."""
+    from xxhash import xxh64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for t in text_of(batch).to_pylist():
+                w = t.encode().lower().split()
+                grams = {b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))}
+                sets.append(np.sort(np.array([xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+
+    rows = docs.select(row_id().alias("row"), F.col(text_col).alias("text"))
+    return map_arrow(rows.join(reps, "row").select("fp", "text"), run, "fp long, shingles array<long>")
+
+
+def _similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges whose texts' shingles have the Jaccard similarity or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = (sets.select(F.col("fp").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return map_arrow(edges.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
+
+
+def verified_links(docs: DataFrame, own: DataFrame, fps: DataFrame, found: Plan, tau: int, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Links within tau bits whose texts are similar; a text stands for all of its fingerprint."""
+    first = written(_candidates(fps.withColumn("label", F.col("fp")), found, tau, every=False), "candidates")
+    # Who has any partner has one here, as both sides of a pair file and probe.
+    some = first.select(F.col("a").alias("fp")).union(first.select("b")).distinct()
+    reps = own.join(some, "fp").groupBy("fp").agg(F.min("row").alias("row"))
+    sets = written(_shingle_sets(docs, reps, text_col, shingle), "shingles")
+    good = written(_similar(first, sets, similarity), "similar")
+    roots = components(good)
+    labelled = sets.select("fp").join(roots, sets["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("label"))
+    rest = _candidates(written(labelled, "labels"), found, tau, every=True).join(first, ["a", "b"], "left_anti")
+    return good.union(_similar(rest, sets, similarity))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tau: int = 3, similarity: float | None = None) -> DataFrame:
     """``id, row, fp, component_id`` for every row; fp as a long."""
     own = written(document_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     fps = written(own.groupBy("fp").agg(F.min("id").alias("least_id")), "distinct-fingerprints")
     n, both = bit_counts(fps.select("fp"))
-    roots = components(links(fps.select("fp"), plan(n, both, tau), tau))
+    found = plan(n, both, tau)
+    if similarity is None:
+        edges = links(fps.select("fp"), found, tau)
+    else:
+        edges = verified_links(docs, own, fps.select("fp"), found, tau, text_col, shingle, similarity)
+    roots = components(edges)
     rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("id", "row", "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return own.join(named, "fp").select("id", "row", "fp", "root", "component_id")
 
 
 def hex_of(fp: str = "fp") -> F.Column:
@@ -340,10 +471,13 @@ def hex_of(fp: str = "fp") -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tau: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the first row of the smallest id."""
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tau: int = 10, similarity: float | None = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the first row of the smallest id.
+
+    By default near copies share 0.8 or more of their five-word shingles, and their
+    fingerprints are within ten bits, where most such pairs are."""
     (row,) = free_name(docs, "row")
-    groups = near_groups(docs, id_col, text_col, shingle, tau)
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row")).alias("k"))
+    groups = near_groups(docs, id_col, text_col, shingle, tau, similarity)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row")).alias("k"))
     stay = first.select(F.col("k.row").alias(row))
     return docs.withColumn(row, row_id()).join(stay, row, "left_semi").select(*docs.columns)

@@ -73,6 +73,18 @@ def test_simhash(spark):
                     for x in group[b]:
                         group[x] = group[a]
         assert all(got[k][1] == min(i for i, _ in group[k] if i is not None) for k in fps)
+    # Verified links: components of the pairs within tau bits that are similar.
+    sets = {i: {tuple(w[k : k + 5]) for w in [(t or "").lower().split()] for k in range(max(1, len(w) - 4))} for i, t in rows[:-1]}
+    five = {i: int(simhash.fingerprints([(t or "").encode().lower().split()], 5)[0]) for i, t in rows[:-1]}
+    group = {i: {i} for i in five}
+    for a in five:
+        for b in five:
+            if (five[a] ^ five[b]).bit_count() <= 10 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and group[a] is not group[b]:
+                group[a] |= group[b]
+                for x in group[b]:
+                    group[x] = group[a]
+    stay = {r["doc_id"] for r in simhash.deduplicate(docs(spark, rows[:-1])).collect()}
+    assert stay == {min(g) for g in group.values()} and len(stay) < len(rows) - 40
     kept = simhash.deduplicate(odd(spark, *CLASH))
     assert kept.columns == odd(spark, *CLASH).columns and kept.where("text = 'one two three'").count() == 1
     assert simhash.near_groups(empty(spark)).count() == 0
