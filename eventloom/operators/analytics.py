@@ -10,20 +10,18 @@ from ..functions.timefn import DAY, day_bucket
 
 def distribution(items: DataFrame, label: str = "label", value: str = "value") -> DataFrame:
     """Shares of the total in percent (floats), by falling value and then label."""
-    total = items.agg(F.sum(F.col(value).cast("double")).alias("total"))
-    both = items.crossJoin(F.broadcast(total))  # one row
-    share = F.when(F.col("total") > 0, F.col(value) / F.col("total") * 100).otherwise(F.lit(0.0)).cast("float")
-    return both.select(F.col(label).alias("label"), F.col(value).cast("float").alias("value"), share.alias("percentage")).orderBy(F.desc("value"), "label")
+    total = items.agg(F.sum(F.col(value).cast("double"))).scalar()
+    share = F.when(total > 0, F.col(value) / total * 100).otherwise(F.lit(0.0)).cast("float")
+    return items.select(F.col(label).alias("label"), F.col(value).cast("float").alias("value"), share.alias("percentage")).orderBy(F.desc("value"), "label")
 
 
 def heatmap_buckets(days: DataFrame, offset_minutes: int = 0, ts: str = "ts") -> DataFrame:
     """Counts by ready-made day buckets, with levels 1 to 4 by the share of the most."""
     n = days.groupBy(F.col(ts).alias("timestamp")).agg(F.count(F.lit(1)).alias("count"))
-    most = n.agg(F.max("count").alias("most"))
-    ratio = F.col("count") / F.col("most")
+    ratio = F.col("count") / n.agg(F.max("count")).scalar()
     level = F.when(ratio <= 0.25, 1).when(ratio <= 0.5, 2).when(ratio <= 0.75, 3).otherwise(4)
     date = F.date_format(F.timestamp_millis((F.col("timestamp") + F.lit(offset_minutes * 60_000)).cast("long")), "yyyy-MM-dd")
-    return n.crossJoin(F.broadcast(most)).select("timestamp", date.alias("date"), "count", level.alias("level")).orderBy("timestamp")
+    return n.select("timestamp", date.alias("date"), "count", level.alias("level")).orderBy("timestamp")
 
 
 def heatmap(events: DataFrame, offset_minutes: int = 0, ts: str = "ts") -> DataFrame:

@@ -129,7 +129,7 @@ def catalog_keys(catalog: DataFrame, fields: list[str], empty: bool = False) ->
 
 def _small(df: DataFrame) -> DataFrame:
     """A broadcast where the side is seen to be small, else the frame itself."""
-    return F.broadcast(df) if len(df.limit(BROADCAST_KEYS + 1).take(BROADCAST_KEYS + 1)) <= BROADCAST_KEYS else df
+    return F.broadcast(df) if df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else df
 
 
 def enrich(events: DataFrame, catalog: DataFrame, config: dict[str, Any], order: str | None = None) -> DataFrame:
