@@ -116,13 +116,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str, labels: bool = False) -> tuple[ir.Tracker, DataFrame]:
+def events(spark: SparkSession, sf_dir: str, labels: bool = False, window: TimeWindow | None = None) -> tuple[ir.Tracker, DataFrame]:
     t = compile_tracker(EVENTS)
     df = load(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     if labels:
         df = df.join(load(spark, sf_dir, "labels").select(F.col("doc_id").alias("event_id"), "quality"), "event_id", "left")
     millis = F.unix_millis(F.col("ts").cast("timestamp"))
-    return t, typed(t, df.withColumn("bucket", bucket(millis, "day", OFFSET)))
+    return t, typed(t, df.withColumn("bucket", bucket(millis, "day", OFFSET)), window=window)
+
+
+def events_inside(spark: SparkSession, sf_dir: str) -> tuple[ir.Tracker, DataFrame]:
+    return events(spark, sf_dir, window=WINDOW)
 
 
 def _metric(name: str, by: Callable[[SparkSession, str], tuple[ir.Tracker, DataFrame]] = events, **options: object) -> Query:
@@ -353,8 +357,8 @@ def queries() -> dict[str, Query]:
         "agg_by_overrides_over": _metric("by_week", orders, group_by=()),
         "metric_override": _metric("total_score", group_by=("event_type", "week"), filters=(MetricFilter("value", "gte", 100),)),
         "filter_gt": _metric("number", filters=(MetricFilter("value", "gt", 100),)),
-        "filter_time_window": _metric("events", window=WINDOW),
-        "filter_multi": _metric("events", window=WINDOW, filters=(MetricFilter("value", "lte", 300), MetricFilter("event_type", "neq", "view"))),
+        "filter_time_window": _metric("events", events_inside, window=WINDOW),
+        "filter_multi": _metric("events", events_inside, window=WINDOW, filters=(MetricFilter("value", "lte", 300), MetricFilter("event_type", "neq", "view"))),
         "filter_null_semantics": filter_null_semantics,
         "derive_project": derive_project,
         "derive_conditional": flagship,

@@ -14,10 +14,18 @@ def field_kinds(tracker: ir.Tracker) -> dict[str, str]:
     return {f.name: KINDS[f.type.value] for f in tracker.fields}
 
 
-def typed(tracker: ir.Tracker, df: DataFrame, event_id: str = "event_id", ts: str = "ts", raw: str | None = None, meta: str | None = None) -> DataFrame:
+def typed(tracker: ir.Tracker, df: DataFrame, event_id: str = "event_id", ts: str = "ts", raw: str | None = None, meta: str | None = None, window: ir.TimeWindow | None = None) -> DataFrame:
     """An event frame from a frame that has the payload's fields as columns; declared
-    fields that it lacks are null. ``ts`` is a timestamp or epoch milliseconds."""
+    fields that it lacks are null. ``ts`` is a timestamp or epoch milliseconds.
+
+    ``window``: keep its events alone, by a condition on the column as it is stored,
+    which reaches the scan. (Milliseconds are floors, so the end's whole millisecond
+    is inside.) Alerts and total counts want the frame without it.
+    """
     kind = dict(df.dtypes)[ts]
+    if window:
+        bound = lambda ms: F.lit(ms).cast(kind) if kind in ("bigint", "int") else F.timestamp_millis(F.lit(ms).cast("long")).cast(kind)
+        df = df.where((F.col(ts) >= bound(window.start)) & (F.col(ts) < bound(window.end + 1)))
     millis = F.col(ts).cast("long") if kind in ("bigint", "int") else F.unix_millis(F.col(ts).cast("timestamp"))
     own = {c.lower() for c in df.columns}
     fields = [(F.col(f"`{f.name}`") if f.name.lower() in own else F.lit(None)).cast(f.type.spark).alias(f.name) for f in tracker.fields if f.name not in ("event_id", "ts", "tracker_id")]
