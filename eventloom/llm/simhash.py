@@ -356,10 +356,10 @@ def _candidates(frame: DataFrame, found: Plan, tau: int, every: bool) -> DataFra
             if not len(near):
                 continue
             a, b = a[near], b[near]
-            if not every:
-                order = np.lexsort((a, b))
+            if not every:  # the smallest partner of each filed row
+                order = np.lexsort((b, a))
                 a, b = a[order], b[order]
-                first = np.concatenate([[True], b[1:] != b[:-1]])
+                first = np.concatenate([[True], a[1:] != a[:-1]])
                 a, b = a[first], b[first]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c]).view(np.int64)) for c in (0, 1)], names=["a", "b"])
@@ -383,12 +383,12 @@ def _candidates(frame: DataFrame, found: Plan, tau: int, every: bool) -> DataFra
 
 
 def _blocks(keys: np.ndarray, filed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of each key against the filed rows of that key, a block of pairs at a time."""
+    """The filed rows of each key against all rows of that key, a block of pairs at a
+    time. A filed row's pairs are in one block, unless they are more than a block."""
     order = np.lexsort((~filed, keys))  # filed rows first
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     size = np.diff(np.append(begin, len(keys)))
-    n_filed = np.add.reduceat(filed.astype(np.int64), begin)
-    first, count = np.repeat(begin, size), np.repeat(np.where(size > 1, n_filed, 0), size)
+    first, count = np.repeat(begin, size), np.where(filed[order], np.repeat(np.where(size > 1, size, 0), size), 0)
     total, i = np.cumsum(count), 0
     while i < len(keys):
         done = total[i - 1] if i else 0
