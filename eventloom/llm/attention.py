@@ -138,61 +138,63 @@ def windows(at: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.nd
     return doc, k * shape.stride, np.where(k > 0, shape.window - shape.stride, 0)
 
 
-def batch_of(ids: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.ndarray, vocab: Vocabulary, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Input rows, target ids and which targets there are, for some windows."""
-    where = at[doc][:, None] + start[:, None] + np.arange(shape.window)[None]
-    there = where < at[doc + 1][:, None]
-    where = np.minimum(where, len(ids) - 1)
-    target = ids[where]
-    before = vocab.row[ids[np.maximum(where - 1, 0)]]
-    before[where == at[doc][:, None]] = 0
-    return before, target, there
+def log_class(w: dict[str, np.ndarray], q: np.ndarray, kv: np.ndarray, mask: np.ndarray, rows: np.ndarray, cls: np.ndarray, first: int) -> np.ndarray:
+    """log P(class) of the targets from ``first`` on: ``forward`` with fewer passes
+    over memory, and nothing but keys and values for what is context alone.
 
-
-def log_class(w: dict[str, np.ndarray], qkv: np.ndarray, mask: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """log P(class) of the targets alone: ``forward`` with fewer passes over memory.
-
-    ``qkv``: the three projections side by side, queries scaled. Exponents are
+    ``q``: scaled queries; ``kv``: keys and values side by side. Exponents are
     bounded before they are taken, as weights of a trained model keep them small.
     """
-    (b, n), d = rows.shape, w["q"].shape[0]
+    (b, n), d, m = rows.shape, w["q"].shape[0], rows.shape[1] - first
     x = w["embed"][rows]
     x += w["place"][:n]
-    p = (x.reshape(b * n, d) @ qkv).reshape(b, n, 3 * d)
-    s = p[:, :, :d] @ p[:, :, d : 2 * d].transpose(0, 2, 1)
+    p = (x.reshape(b * n, d) @ kv).reshape(b, n, 2 * d)
+    y = np.ascontiguousarray(x[:, first:]).reshape(b * m, d)
+    s = (y @ q).reshape(b, m, d) @ p[:, :, :d].transpose(0, 2, 1)
     np.minimum(s, 60, out=s)
     np.exp(s, out=s)
-    s *= mask[:n, :n]
-    a = s @ p[:, :, 2 * d :]
+    s *= mask[first:n, :n]
+    a = s @ p[:, :, d:]
     a /= s.sum(axis=2, keepdims=True)
-    y = x.reshape(b * n, d)
-    y += a.reshape(b * n, d) @ w["o"]
+    y += a.reshape(b * m, d) @ w["o"]
     h = y @ w["up"]
     h += w["up_b"]
     np.maximum(h, 0, out=h)
     y += h @ w["down"]
     logits = y @ w["out"]
     logits += w["out_b"]
-    top = logits.max()
-    if top > 60:
+    if logits.max() > 60:
         logits -= logits.max(axis=1, keepdims=True)
-    target = logits[np.arange(b * n), cls.ravel()]
+    target = logits[np.arange(b * m), cls.ravel()]
     np.exp(logits, out=logits)
-    return (target - np.log(logits.sum(axis=1))).reshape(b, n)
+    return (target - np.log(logits.sum(axis=1))).reshape(b, m)
 
 
 def log10_probability(w: dict[str, np.ndarray], vocab: Vocabulary, ids: np.ndarray, at: np.ndarray, shape: Shape, size: int = 128) -> np.ndarray:
     """The log10 probability of each text."""
-    out = np.zeros(len(at) - 1)
-    doc, start, first = windows(at, shape)
+    n_ids = len(ids)
+    if not n_ids:
+        return np.zeros(len(at) - 1)
     d = w["q"].shape[0]
-    qkv = np.ascontiguousarray(np.concatenate([w["q"] * np.float32(d**-0.5), w["k"], w["v"]], axis=1))
+    q = w["q"] * np.float32(d**-0.5)
+    kv = np.ascontiguousarray(np.concatenate([w["k"], w["v"]], axis=1))
     mask = np.tril(np.ones((shape.window, shape.window), np.float32))
-    cls, within = vocab.cls, vocab.log_within
-    for i in range(0, len(doc), size):
-        part = slice(i, i + size)
-        rows, target, there = batch_of(ids, at, doc[part], start[part], vocab, shape)
-        there &= np.arange(shape.window)[None] >= first[part][:, None]
-        value = log_class(w, qkv, mask, rows, cls[target]) + within[target]
-        out += np.bincount(doc[part], weights=(value * there).sum(axis=1), minlength=len(out))
+    # What a token sees before it and its class, with room behind the last text.
+    room = np.zeros(shape.window, np.int32)
+    before = np.concatenate([[0], vocab.row[ids[:-1]], room]).astype(np.int32)
+    before[at[:-1][np.diff(at) > 0]] = 0
+    cls = np.concatenate([vocab.cls[ids], room]).astype(np.int32)
+    within = np.concatenate([[0], np.cumsum(vocab.log_within[ids])])
+    out = within[at[1:]] - within[at[:-1]]
+    doc, start, first = windows(at, shape)
+    begin, end = at[doc] + start, at[doc + 1]
+    places = np.arange(shape.window)
+    for f in np.unique(first).tolist():
+        chosen = np.flatnonzero(first == f)
+        for i in range(0, len(chosen), size):
+            part = chosen[i : i + size]
+            where = begin[part][:, None] + places
+            value = log_class(w, q, kv, mask, before[where], cls[where[:, f:]], f)
+            value *= where[:, f:] < end[part][:, None]
+            out += np.bincount(doc[part], weights=value.sum(axis=1, dtype=np.float64), minlength=len(out))
     return out / np.log(10)
