@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,9 @@ import pyarrow as pa
 from .common import bytes_of
 
 #: A table is emptied beyond so many chunks or bytes of chunks.
-MAX_CHUNKS, MAX_CHUNK_BYTES = 400_000, 48 << 20
+MAX_CHUNKS, MAX_CHUNK_BYTES, MAX_PARTS = 1_000_000, 48 << 20, 250_000
 #: Bytes of text that are dictionary-encoded at a time.
-STEP = 1 << 20
+STEP = 8 << 20
 
 #: Bytes that surely begin a character that isn't white space.
 _SOLID = np.zeros(256, bool)
@@ -69,12 +70,12 @@ class ChunkTable:
         known = self.slots
         new = [w for w in words if w not in known]
         if new:
-            at = len(known)
-            for i, (w, ids) in enumerate(zip(new, self.encode(new), strict=True)):
-                known[w] = at + i
-                self.flat.extend(ids)
-                self.ends.append(len(self.flat))
-                self.held += len(w)
+            at, coded = len(known), self.encode(new)
+            known.update(zip(new, range(at, at + len(new)), strict=True))
+            n = np.fromiter(map(len, coded), np.int64, len(coded))
+            self.ends.frombytes((self.ends[-1] + np.cumsum(n)).tobytes())
+            self.flat.extend(chain.from_iterable(coded))
+            self.held += sum(map(len, new))
         return [known[w] for w in words]
 
     def occurrences(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,11 +123,11 @@ class WordEncoder:
     """Ids of texts by the ``tokenizers`` library, without special tokens added.
 
     A chunk of letters with one closing mark is two pre-tokens; each distinct
-    pre-token goes to the library once. Texts that hold the string of an added
+    stem goes to the library once. Texts that hold the string of an added
     token go to the library whole, as it cuts them before anything else.
     """
 
-    def __init__(self, path: str, max_parts: int = MAX_CHUNKS) -> None:
+    def __init__(self, path: str, max_parts: int = MAX_PARTS) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -134,31 +135,27 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, list[int]] = {}
         self.max_parts = max_parts
         self.table = ChunkTable(self._encode, before_words)
 
     def _encode(self, chunks: list[str]) -> list[Sequence[int]]:
         if len(self.parts) > self.max_parts:
             self.parts.clear()
-        parts, split, new = self.parts, [], {}
-        for c in chunks:
-            body = c[1:] if c[:1] == " " else c
-            mark = body[-1:]
-            if mark in _MARKS and body[:-1].isalpha():
-                pair = (c[:-1], mark)
-                split.append(pair)
-                for p in pair:
-                    if p not in parts:
-                        new[p] = None
+        parts, stems, whole, cut = self.parts, {}, [], [False] * len(chunks)
+        for i, c in enumerate(chunks):
+            if c[-1] in _MARKS and (c[1:-1] if c[0] == " " else c[:-1]).isalpha():
+                cut[i] = True
+                if c[:-1] not in parts:
+                    stems[c[:-1]] = None
+                if c[-1] not in parts:
+                    stems[c[-1]] = None
             else:
-                split.append((c,))
-                if c not in parts:
-                    new[c] = None
-        if new:
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(list(new), add_special_tokens=False), strict=True):
-                parts[p] = tuple(e.ids)
-        return [parts[p[0]] if len(p) == 1 else parts[p[0]] + parts[p[1]] for p in split]
+                whole.append(c)
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast([*stems, *whole], add_special_tokens=False)]
+        parts.update(zip(stems, coded, strict=False))
+        rest = iter(coded[len(stems) :])
+        return [parts[c[:-1]] + parts[c[-1]] if cut[i] else next(rest) for i, c in enumerate(chunks)]
 
     def ids(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         raw, _ = bytes_of(texts)
