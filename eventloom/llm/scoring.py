@@ -6,9 +6,12 @@ blocks of documents (consecutive rows of the scan) get back the counts of their
 own distinct words, so that neither a vocabulary nor the occurrences ever gather
 in one place. The method is the causal self-attention model of ``attention``:
 
-* piece counts over all training documents give its classes;
-* a fixed share of all windows of the training documents is its training set, so
-  that it grows with the corpus;
+* it reads a text as the base does, words in lower case, and each distinct word is
+  cut into pieces once, next to its count; the blocks get both back;
+* piece counts over all training documents (words' pieces by words' counts) give its
+  classes;
+* a fixed share of the training documents, with all their windows, is its training
+  set, so that it grows with the corpus;
 * in each round every task runs Adam on its share from the same weights, and the
   weights are averaged;
 * a text's score is the sum over its pieces and its end, each scored in one of the
@@ -25,6 +28,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from math import log10
 
 import numpy as np
@@ -36,7 +40,7 @@ from . import attention
 from .common import map_arrow, row_id, text_of, written
 from .marked import piece_encoder
 
-#: Rows of the scan in a block, as a power of two; one window in so many is trained on.
+#: Rows of the scan in a block, as a power of two; one document in so many is trained on.
 BLOCK_BITS, EVERY, ROUNDS, BATCH, RATE = 12, 16, 3, 32, 0.01
 #: The folds that documents are dealt into, and the one that is held out.
 FOLDS, HELD_OUT = 5, 1
@@ -82,42 +86,56 @@ def block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
-def gather_pieces(docs: DataFrame, model: str, shape: attention.Shape) -> tuple[np.ndarray, DataFrame]:
-    """Counts of pieces over all training documents, and every ``EVERY``-th of their windows."""
+def pieces_of(enc, words: list[str]) -> list[list[int]]:
+    """The pieces of each word; the empty word is the end."""
+    coded = enc.sp.encode(words, num_threads=1)
+    end = [enc.sp.eos_id()]
+    return [ids if w else end for w, ids in zip(words, coded, strict=True)]
+
+
+def with_pieces(known: DataFrame, model: str) -> DataFrame:
+    """``word, block, n, c, first`` with the word's pieces; rows of a word are adjacent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = piece_encoder(model)
-        counts = np.zeros(enc.sp.vocab_size(), np.int64)
         for batch in batches:
-            learn = ~held_out(batch.column("id"))
-            if not learn.any():
+            if not batch.num_rows:
                 continue
-            texts, rows = text_of(batch).filter(pa.array(learn)), batch.column("row").to_numpy()[learn]
-            ids, at = with_end(enc, texts)
-            counts += np.bincount(ids, minlength=len(counts))
-            doc, start, _ = attention.windows(at, shape)
-            mix = (rows[doc].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)
-            pick = np.flatnonzero(mix % np.uint64(EVERY) == 0)
-            doc, start, mix = doc[pick], start[pick], mix[pick] // np.uint64(EVERY)
-            first = at[doc] + start
-            size = np.minimum(at[doc + 1] - first, shape.window)
-            # One id more in front: what the first token sees, or none.
-            lists = [([-1] if s == 0 else [int(ids[f - 1])]) + ids[f : f + n].tolist() for s, f, n in zip(start.tolist(), first.tolist(), size.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(mix.astype(np.int64), pa.int64()), pa.array(lists, pa.list_(pa.int32())), pa.nulls(len(lists), pa.int64())], names=["mix", "ids", "n"])
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.nulls(len(some), pa.list_(pa.int32())), pa.array(counts[some], pa.int64())], names=["mix", "ids", "n"])
-
-    found = written(map_arrow(docs, run, "mix long, ids array<int>, n long"), "windows")
-    counts = np.zeros(piece_encoder(model).sp.vocab_size())
-    for r in found.where("n is not null").groupBy("mix").agg(F.sum("n").alias("n")).collect():
-        counts[r["mix"]] = r["n"]
-    return counts, found.where("ids is not null").select("mix", "ids")
+            coded = batch.column("word").cast(pa.string()).dictionary_encode()
+            lists = pa.array(pieces_of(enc, coded.dictionary.to_pylist()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists.take(coded.indices)], names=[*batch.schema.names, "pieces"])
 
+    return map_arrow(known, run, "word binary, block long, n long, c long, first boolean, pieces array<int>")
 
-def with_end(enc, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-    from .chunks import with_end as add
 
-    return add(*enc.ids(texts), enc.sp.eos_id())
+def training_windows(docs: DataFrame, model: str, shape: attention.Shape) -> DataFrame:
+    """``mix, ids``: the windows of every ``EVERY``-th training document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = piece_encoder(model)
+        for batch in batches:
+            mix = (batch.column("row").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+            learn = ~held_out(batch.column("id")) & (mix % np.uint64(EVERY) == 0)
+            rounds, lists = [], []
+            for m, text in zip(mix[learn].tolist(), text_of(batch).filter(pa.array(learn)).to_pylist(), strict=True):
+                ids = [i for w in pieces_of(enc, [x.decode() for x in words_of(text)]) for i in w]
+                _, start, _ = attention.windows(np.array([0, len(ids)]), shape)
+                for k, s in enumerate(start.tolist()):
+                    # One id more in front: what the first token sees, or none.
+                    lists.append(([-1] if s == 0 else [ids[s - 1]]) + ids[s : s + shape.window])
+                    rounds.append(m // EVERY + k)
+            yield pa.RecordBatch.from_arrays([pa.array(rounds, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["mix", "ids"])
+
+    return written(map_arrow(docs, run, "mix long, ids array<int>"), "windows")
+
+
+def piece_counts(known: DataFrame, model: str) -> np.ndarray:
+    """How often each piece is in the training documents."""
+    counts = np.zeros(piece_encoder(model).sp.vocab_size())
+    each = known.where(F.col("first") & (F.col("c") > 0)).select(F.explode("pieces").alias("piece"), "c")
+    for r in each.groupBy("piece").agg(F.sum("c").alias("c")).collect():
+        counts[r["piece"]] = r["c"]
+    return counts
 
 
 def train(windows: DataFrame, vocab: attention.Vocabulary, shape: attention.Shape) -> dict[str, np.ndarray]:
@@ -170,33 +188,39 @@ def score(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
     counts = map_arrow(keyed, block_counts, "word binary, block long, n long")
     by_word = Window.partitionBy("word")
     known = counts.select("word", "block", "n", F.sum("n").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("block")) == 1).alias("first"))
-    known = written(known, "word-counts")
+    known = written(with_pieces(known, model), "word-counts")
     size = known.agg(F.sum("n").alias("n"), F.sum((F.col("first") & (F.col("c") > 0)).cast("long")).alias("v")).first()
     n_train, distinct = int(size["n"] or 0), int(size["v"] or 0)
     # The method's model.
-    pieces, windows = gather_pieces(keyed, model, shape)
-    vocab = attention.Vocabulary(pieces, shape)
-    weights = train(windows, vocab, shape)
+    vocab = attention.Vocabulary(piece_counts(known, model), shape)
+    weights = train(training_windows(keyed, model, shape), vocab, shape)
     below = log10(n_train + 0.5 * (distinct + 1))
 
     def run(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
-        counts = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist(), strict=True))
-        value = {w: log10(c + 0.5) - below for w, c in counts.items()}
-        unknown = {w for w, c in counts.items() if not c}
-        texts = texts.sort_by("row").combine_chunks()
-        enc = piece_encoder(model)
+        words, texts = words.combine_chunks(), texts.sort_by("row").combine_chunks()
+        index = {w: i for i, w in enumerate(words.column("word").to_pylist())}
+        c = words.column("c").to_numpy()
+        value, is_known = np.log10(c + 0.5) - below, c > 0
+        lists = words.column("pieces").combine_chunks()
+        flat, ends = lists.values.to_numpy().astype(np.uint32), lists.offsets.to_numpy().astype(np.int64)
         n, n_known, base, scores = [], [], [], []
         for batch in texts.to_batches(max_chunksize=500):
-            col = text_of(batch)
-            for t in col.to_pylist():
-                own = words_of(t)
-                n.append(len(own))
-                n_known.append(len(own) - sum(w in unknown for w in own))
-                base.append(sum([value[w] for w in own]))
-            ids, at = with_end(enc, col)
-            scores.append(attention.log10_probability(weights, vocab, ids, at, shape))
+            own = [[index[w] for w in words_of(t)] for t in text_of(batch).to_pylist()]
+            size = np.array([len(x) for x in own])
+            slots = np.fromiter(chain.from_iterable(own), np.int64, size.sum())
+            begin = np.cumsum(size) - size  # no text is without its end
+            n.append(size)
+            n_known.append(np.add.reduceat(is_known[slots].astype(np.int64), begin))
+            base.append(np.add.reduceat(value[slots], begin))
+            # The pieces of all words, one after the other.
+            first, many = ends[slots], ends[slots + 1] - ends[slots]
+            after = np.concatenate([[0], np.cumsum(many)])
+            ids = flat[np.repeat(first - after[:-1], many) + np.arange(after[-1])]
+            scores.append(attention.log10_probability(weights, vocab, ids, after[np.append(begin, len(slots))], shape))
         ids = texts.column("id").combine_chunks()
-        return pa.table({"doc_id": ids, "held_out": pa.array(held_out(ids)), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(len(n), n_train), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(np.concatenate(scores) if scores else [], pa.float64())})
+        total = np.full(len(ids), n_train)
+        cols = [np.concatenate(x) if x else np.zeros(0) for x in (n, n_known, base, scores)]
+        return pa.table({"doc_id": ids, "held_out": pa.array(held_out(ids)), "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "train_tokens": pa.array(total, pa.int64()), "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64())})
 
     blocked = keyed.withColumn("block", F.shiftright("row", BLOCK_BITS))
-    return blocked.groupBy("block").cogroup(known.select("block", "word", "c").groupBy("block")).applyInArrow(run, SCORES)
+    return blocked.groupBy("block").cogroup(known.select("block", "word", "c", "pieces").groupBy("block")).applyInArrow(run, SCORES)

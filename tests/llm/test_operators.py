@@ -193,7 +193,7 @@ def test_scoring(spark):
     rows = [(i, prose(rng, 300, 60)) for i in range(400)]
     got = scoring.score(docs(spark, rows), PIECES).collect()
     enc = marked.piece_encoder(PIECES)
-    ids = {i: [*enc.sp.encode(t), 2] for i, t in rows}
+    ids = {i: [*enc.sp.encode(t.lower()), 2] for i, t in rows}
     u = np.full(enc.sp.vocab_size(), 0.5)
     for i in ids:
         if not held(i):
