@@ -10,6 +10,7 @@ that memory does not depend on the input.
 
 from __future__ import annotations
 
+import gc
 from array import array
 from collections.abc import Callable, Sequence
 from itertools import chain
@@ -20,7 +21,7 @@ import pyarrow as pa
 from .common import bytes_of
 
 #: A table is emptied beyond so many chunks or bytes of chunks.
-MAX_CHUNKS, MAX_CHUNK_BYTES, MAX_PARTS = 1_000_000, 48 << 20, 250_000
+MAX_CHUNKS, MAX_CHUNK_BYTES, MAX_PARTS = 1_400_000, 48 << 20, 250_000
 #: Bytes of text that are dictionary-encoded at a time.
 STEP = 8 << 20
 
@@ -80,6 +81,14 @@ class ChunkTable:
 
     def occurrences(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The slot of each chunk of the texts, and where each text's chunks begin and end."""
+        # A table has no cycles, and the collector would go through all of it again and again.
+        gc.disable()
+        try:
+            return self._occurrences(texts)
+        finally:
+            gc.enable()
+
+    def _occurrences(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.slots) > self.max_chunks or self.held > self.max_bytes:
             self.clear()
         raw, off = bytes_of(texts)
