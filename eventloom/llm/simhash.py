@@ -11,11 +11,15 @@ whole pair by more than tau.
 * Thresholds are unequal: a dynamic program over the partitions allocates them at
   the least estimated number of probes and candidates, the candidates coming from
   the bits' frequencies; partition counts are compared by the same estimate.
-* Where a Jaccard similarity of the shingles is asked for too (``similarity``), links
-  are verified by it. A first round takes one near partner for each filed value of a
-  fingerprint, verifies these and joins their components; a second round takes every
-  pair that is still in two components. So no link is lost, and a group of near
-  copies is not written out as pairs.
+* Where a Jaccard similarity of the shingles is asked for (``similarity``), it alone
+  makes a link, between distinct texts, at any distance of their fingerprints. A first
+  round takes one near partner for each filed value of a fingerprint and a hub of each
+  shared prefix shingle, verifies these and joins their components; a second round
+  takes every pair with a shared prefix shingle that is still in two components. In
+  any one order of all shingles, two sets of the similarity share one among the first
+  of each (prefix filter), so no link is lost, and a group of near copies is not
+  written out as pairs. The order puts shingles last that a sample finds frequent:
+  it decides on the work, not on the links.
 * A fingerprint is filed under its value in each partition and probes all values
   within the threshold. Tasks verify whole groups by vectorised popcounts and
   return a spanning forest of the true links, never all pairs of a group.
@@ -32,6 +36,7 @@ columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -47,14 +52,18 @@ BITS, SEED = 64, 42
 #: What a candidate pair costs, in probes: a popcount against a row that is shuffled
 #: and sorted. Pairs that are compared at a time.
 PAIR_COST, BLOCK = 0.03, 2_000_000
+#: One text in so many is looked at for frequent shingles, which are there so often,
+#: and no more than so many of them are told apart.
+SAMPLED, OFTEN, MOST = 16, 6, 1 << 17
 
 
 def fingerprint(words: list[bytes], shingle: int) -> int:
     return int(fingerprints([words], shingle)[0])
 
 
-def fingerprints(docs: list[list[bytes]], shingle: int) -> np.ndarray:
-    """64-bit fingerprints of documents that are given as lists of words."""
+def fingerprints(docs: list[list[bytes]], shingle: int, profiles: list[bytes] | None = None) -> np.ndarray:
+    """64-bit fingerprints of documents that are given as lists of words; ``profiles``
+    gets how many distinct shingles of each have each first byte of their hashes."""
     from xxhash import xxh64_intdigest
 
     out = np.zeros(len(docs), np.uint64)
@@ -72,8 +81,10 @@ def fingerprints(docs: list[list[bytes]], shingle: int) -> np.ndarray:
         at.append(len(hashes))
     sizes = np.diff(at)
     some = np.flatnonzero(sizes)
+    h = np.array(hashes, "<u8")
+    if profiles is not None:
+        profiles += [np.bincount((np.unique(h[a:b]) >> np.uint64(56)).astype(np.int64), minlength=256).astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
     if len(some):
-        h = np.array(hashes, "<u8")
         starts = np.array(at[:-1])[some]
         # By blocks of documents, so that the unpacked bits stay small.
         i = 0
@@ -87,16 +98,27 @@ def fingerprints(docs: list[list[bytes]], shingle: int) -> np.ndarray:
     return out
 
 
-def document_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``id, row, fp`` for every row; ``row`` is its place in the scan."""
+def document_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, nodes: bool = False) -> DataFrame:
+    """``id, row, fp`` for every row; ``row`` is its place in the scan. With ``nodes``
+    also ``node``, a hash of the text's words, and its ``profile``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = fingerprints([t.encode().lower().split() for t in text_of(batch).to_pylist()], shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(fps.view(np.int64), pa.int64())], names=["id", "row", "fp"])
+            words = [t.encode().lower().split() for t in text_of(batch).to_pylist()]
+            profiles: list[bytes] | None = [] if nodes else None
+            cols = {"id": batch.column("id"), "row": batch.column("row"), "fp": pa.array(fingerprints(words, shingle, profiles).view(np.int64), pa.int64())}
+            if nodes:
+                cols |= {"node": pa.array(_nodes(words), pa.int64()), "profile": pa.array(profiles, pa.binary())}
+            yield pa.RecordBatch.from_pydict(cols)
 
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), row_id().alias("row"), F.col(text_col).alias("text"))
-    return map_arrow(keyed, run, "id long, row long, fp long")
+    return map_arrow(keyed, run, "id long, row long, fp long" + ", node long, profile binary" * nodes)
+
+
+def _nodes(docs: list[list[bytes]]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.array([xxh64_intdigest(b" ".join(w), SEED) for w in docs], np.uint64).view(np.int64)
 
 
 def _unpacked(fps: np.ndarray) -> np.ndarray:
@@ -329,15 +351,36 @@ def components(edges: DataFrame) -> DataFrame:
         seen = tuple(stat)
 
 
-def _candidates(frame: DataFrame, found: Plan, tau: int, every: bool) -> DataFrame:
-    """Pairs ``a, b`` within tau bits of fingerprints with different labels: all of
-    them (``every``), or one for each value that a fingerprint is filed under."""
+def _whole_keys(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows that are sorted by the first, cut between its values."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        held = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)] if held else cols
+        whole = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on
+        if whole:
+            yield [h[:whole] for h in held]
+            held = [h[whole:] for h in held]
+    if held:
+        yield held
+
+
+def _as_pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c]), pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+
+def _candidates(frame: DataFrame, found: Plan, tau: int) -> DataFrame:
+    """Pairs ``a, b`` of texts (``node, fp``) within tau bits: one for each value that
+    a text's fingerprint is filed under."""
     parts = [(k, b, t) for k, (b, t) in enumerate(zip(found.partitions, found.thresholds, strict=True)) if t >= 0]
-    names = ["key", "fp", "label", "filed"]
+    names = ["key", "fp", "node", "filed"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, labels = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "label"))
+            fps, nodes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "node"))
             for k, bits, t in parts:
                 step = max(1, 200_000 // sum(_choose(len(bits), e) for e in range(t + 1)))
                 for i in range(0, len(fps), step):
@@ -345,40 +388,22 @@ def _candidates(frame: DataFrame, found: Plan, tau: int, every: bool) -> DataFra
                     filed = np.zeros(sig.shape, bool)
                     filed[:, 0] = True
                     n = sig.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(_mixed(sig, k).ravel().view(np.int64)), pa.array(np.repeat(fps[i : i + step], n)), pa.array(np.repeat(labels[i : i + step], n)), pa.array(filed.ravel())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(_mixed(sig, k).ravel().view(np.int64)), pa.array(np.repeat(fps[i : i + step], n)), pa.array(np.repeat(nodes[i : i + step], n)), pa.array(filed.ravel())], names=names)
 
-    def out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, fps, labels, filed = held
-        fps = fps.view(np.uint64)
-        for left, right in _blocks(keys, filed):
-            a, b = fps[left], fps[right]
-            near = np.flatnonzero((np.bitwise_count(a ^ b) <= tau) & (labels[left] != labels[right]) & (a != b))
-            if not len(near):
-                continue
-            a, b = a[near], b[near]
-            if not every:  # the smallest partner of each filed row
-                order = np.lexsort((b, a))
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, fps, nodes, filed in _whole_keys(batches, names):
+            fps = fps.view(np.uint64)
+            for left, right in _blocks(keys, filed):
+                near = np.flatnonzero((np.bitwise_count(fps[left] ^ fps[right]) <= tau) & (nodes[left] != nodes[right]))
+                if not len(near):
+                    continue
+                a, b = nodes[left[near]], nodes[right[near]]
+                order = np.lexsort((b, a))  # the smallest partner of each filed row
                 a, b = a[order], b[order]
                 first = np.concatenate([[True], a[1:] != a[:-1]])
-                a, b = a[first], b[first]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c]).view(np.int64)) for c in (0, 1)], names=["a", "b"])
+                yield _as_pairs(a[first], b[first])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-            held = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)] if held else cols
-            whole = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on
-            if whole:
-                yield from out([h[:whole] for h in held])
-                held = [h[whole:] for h in held]
-        if held:
-            yield from out(held)
-
-    dealt = map_arrow(frame.select("fp", "label"), emit, "key long, fp long, label long, filed boolean").repartition("key").sortWithinPartitions("key")
+    dealt = map_arrow(frame.select("fp", "node"), emit, "key long, fp long, node long, filed boolean").repartition("key").sortWithinPartitions("key")
     return map_arrow(dealt, verify, "a long, b long").distinct()
 
 
@@ -389,8 +414,14 @@ def _blocks(keys: np.ndarray, filed: np.ndarray) -> Iterator[tuple[np.ndarray, n
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     size = np.diff(np.append(begin, len(keys)))
     first, count = np.repeat(begin, size), np.where(filed[order], np.repeat(np.where(size > 1, size, 0), size), 0)
+    for left, right in _ranges(first, count):
+        yield order[left], order[right]
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row with the ``count`` rows from ``first`` on, a block of pairs at a time."""
     total, i = np.cumsum(count), 0
-    while i < len(keys):
+    while i < len(count):
         done = total[i - 1] if i else 0
         j = max(i + 1, int(np.searchsorted(total, done + BLOCK, side="right")))
         n = count[i:j]
@@ -398,72 +429,208 @@ def _blocks(keys: np.ndarray, filed: np.ndarray) -> Iterator[tuple[np.ndarray, n
         for skip in range(0, pairs, BLOCK):  # more than once for a row with very many partners
             at = np.arange(skip, min(skip + BLOCK, pairs))
             row = np.searchsorted(np.cumsum(n), at, side="right")
-            yield order[i + row], order[first[i + row] + at - (np.cumsum(n) - n)[row]]
+            yield i + row, first[i + row] + at - (np.cumsum(n) - n)[row]
         i = j
 
 
-def _shingle_sets(docs: DataFrame, reps: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """``fp, shingles``: sorted distinct hashes of a text of each fingerprint."""
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
     from xxhash import xxh64_intdigest
 
+    grams = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    return np.unique(np.array([xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64))
+
+
+def _frequent(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are often in a sample of the texts, sorted, and their counts there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
             for t in text_of(batch).to_pylist():
-                w = t.encode().lower().split()
-                grams = {b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))}
-                sets.append(np.sort(np.array([xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.encode().lower().split(), shingle), pa.int64())], names=["key"])
+
+    some = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64(row_id()), F.lit(SAMPLED)) == 0)
+    counts = map_arrow(some, run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    found = counts.orderBy(F.desc("n"), "key").limit(MOST).toPandas()
+    keys, n = found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prefix(own: np.ndarray, keys: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, of which every similar set has one among its own
+    first: by hash, but the frequent ``keys`` last, by their counts ``n``."""
+    many = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        late = keys[at] == own
+        if late.any():
+            last = own[late]
+            own = np.concatenate([own[~late], last[np.lexsort((last, n[at[late]]))]])
+    return own[:many]
+
+
+def _postings(docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """``key, node, size, place`` of the prefix shingles that several texts have."""
+    keys, n = _frequent(docs, text_col, shingle)
+    names = ["key", "node", "size", "place"]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [t.encode().lower().split() for t in text_of(batch).to_pylist()]
+            for i in range(0, len(words), 200):
+                sets = [shingle_set(w, shingle) for w in words[i : i + 200]]
+                if not sets:
+                    continue
+                firsts = [prefix(x, keys, n, similarity) for x in sets]
+                many = [len(x) for x in firsts]
+                cols = [np.concatenate(firsts), np.repeat(_nodes(words[i : i + 200]), many), np.repeat([len(x) for x in sets], many), np.concatenate([np.arange(m) for m in many])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=names)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _whole_keys(batches, names):
+            order = np.lexsort((cols[1], cols[0]))
+            key, node = cols[0][order], cols[1][order]
+            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])  # rows of a text once
+            order, key = order[fresh], key[fresh]
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(begin, len(key)))
+            order = order[np.repeat(size > 1, size)]
+            if len(order):
+                yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in cols], names=names)
+
+    schema = "key long, node long, size int, place int"
+    dealt = map_arrow(docs.select(F.col(text_col).alias("text")), emit, schema).repartition("key").sortWithinPartitions("key")
+    return written(map_arrow(dealt, shared, schema), "postings")
+
+
+def _may_be(size: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets that share the shingle at these places, and none before, can be similar."""
+    a, b = size[left].astype(np.int64), size[right].astype(np.int64)
+    most = np.minimum(a - place[left], b - place[right])
+    return most >= similarity * (a + b - most) - 1e-9
+
+
+def _hubs(postings: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of each text with one other of each of its keys: of four in a uniform group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, size, place in _whole_keys(batches, ["key", "node", "size", "place"]):
+            order = np.lexsort((_mixed(node.view(np.uint64) + (key & 3).view(np.uint64), 0), key))
+            key, node, size, place = (c[order] for c in (key, node, size, place))
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            hub = np.repeat(begin, np.diff(np.append(begin, len(key))))
+            row = np.flatnonzero(hub != np.arange(len(key)))
+            row = row[_may_be(size, place, hub[row], row, similarity)]
+            if len(row):
+                yield _as_pairs(node[hub[row]], node[row])
+
+    return map_arrow(postings.repartition("key").sortWithinPartitions("key"), run, "a long, b long").distinct()
+
+
+def _unjoined(postings: DataFrame, similarity: float) -> DataFrame:
+    """All pairs ``a, b`` of texts that share a key and have different labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, label, node, size, place in _whole_keys(batches, ["key", "label", "node", "size", "place"]):
+            order = np.lexsort((label, key))
+            key, label, node, size, place = (c[order] for c in (key, label, node, size, place))
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            begin = np.flatnonzero(new)
+            end = np.repeat(np.append(begin[1:], len(key)), np.diff(np.append(begin, len(key))))
+            run_ = np.flatnonzero(new | np.concatenate([[True], label[1:] != label[:-1]]))
+            after = np.repeat(np.append(run_[1:], len(key)), np.diff(np.append(run_, len(key))))
+            for left, right in _ranges(after, end - after):
+                ok = _may_be(size, place, left, right, similarity)
+                if ok.any():
+                    yield _as_pairs(node[left[ok]], node[right[ok]])
+
+    return map_arrow(postings.repartition("key").sortWithinPartitions("key"), run, "a long, b long").distinct()
+
+
+def _possible(edges: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The edges whose texts' profiles leave room for the similarity: shared shingles are
+    in the same bytes, so this drops no similar pair and spares reading most others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, 256).astype(np.int64) for c in ("x", "y"))
+            both = np.minimum(x, y).sum(axis=1)
+            yield batch.select(["a", "b"]).filter(pa.array(both >= similarity * (x.sum(axis=1) + y.sum(axis=1) - both) - 1e-9))
+
+    left, right = (texts.select(F.col("node").alias(k), F.col("profile").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return map_arrow(edges.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
+
+
+def _shingle_sets(docs: DataFrame, reps: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """``node, shingles``: the sorted distinct hashes of each text of ``reps``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.encode().lower().split(), shingle) for t in text_of(batch).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     rows = docs.select(row_id().alias("row"), F.col(text_col).alias("text"))
-    return map_arrow(rows.join(reps, "row").select("fp", "text"), run, "fp long, shingles array<long>")
+    return map_arrow(rows.join(reps, "row").select("node", "text"), run, "node long, shingles array<long>")
 
 
 def _similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The edges whose texts' shingles have the Jaccard similarity or more."""
+    """Of the edges whose texts' shingles have the Jaccard similarity or more, a forest from each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                if forest.root(a) == forest.root(b):
+                    keep.append(False)
+                    continue
                 x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9 and forest.join(a, b))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (sets.select(F.col("fp").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    left, right = (sets.select(F.col("node").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     return map_arrow(edges.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def verified_links(docs: DataFrame, own: DataFrame, fps: DataFrame, found: Plan, tau: int, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Links within tau bits whose texts are similar; a text stands for all of its fingerprint."""
-    first = written(_candidates(fps.withColumn("label", F.col("fp")), found, tau, every=False), "candidates")
-    # Who has any partner has one here, as both sides of a pair file and probe.
-    some = first.select(F.col("a").alias("fp")).union(first.select("b")).distinct()
-    reps = own.join(some, "fp").groupBy("fp").agg(F.min("row").alias("row"))
-    sets = written(_shingle_sets(docs, reps, text_col, shingle), "shingles")
-    good = written(_similar(first, sets, similarity), "similar")
+def similar_links(docs: DataFrame, texts: DataFrame, tau: int, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Links of distinct texts (``node, fp, row, profile``) that keep every component of the graph
+    of all pairs of the similarity or more."""
+    n, both = bit_counts(texts.select("fp"))
+    postings = _postings(docs, text_col, shingle, similarity)
+    first = _candidates(texts, plan(n, both, tau), tau).union(_hubs(postings, similarity)).distinct()
+    first = written(_possible(first, texts, similarity), "candidates")
+
+    def verified(edges: DataFrame) -> DataFrame:
+        some = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        sets = written(_shingle_sets(docs, texts.join(some, "node").select("row", "node"), text_col, shingle), "shingles")
+        return written(_similar(edges, sets, similarity), "similar")
+
+    good = verified(first)
     roots = components(good)
-    labelled = sets.select("fp").join(roots, sets["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("label"))
-    rest = _candidates(written(labelled, "labels"), found, tau, every=True).join(first, ["a", "b"], "left_anti")
-    return good.union(_similar(rest, sets, similarity))
+    labelled = postings.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("label"), "node", "size", "place")
+    rest = written(_possible(_unjoined(labelled, similarity).join(first, ["a", "b"], "left_anti"), texts, similarity), "candidates")
+    return good.union(verified(rest))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tau: int = 3, similarity: float | None = None) -> DataFrame:
-    """``id, row, fp, component_id`` for every row; fp as a long."""
-    own = written(document_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    fps = written(own.groupBy("fp").agg(F.min("id").alias("least_id")), "distinct-fingerprints")
-    n, both = bit_counts(fps.select("fp"))
-    found = plan(n, both, tau)
+    """``id, row, fp, component_id`` for every row; fp as a long. Nodes are fingerprints,
+    or distinct texts where a similarity is asked for."""
+    node = "fp" if similarity is None else "node"
+    own = written(document_fingerprints(docs, id_col, text_col, shingle, nodes=similarity is not None), "fingerprints")
     if similarity is None:
-        edges = links(fps.select("fp"), found, tau)
+        nodes = written(own.groupBy("fp").agg(F.min("id").alias("least_id")), "distinct-fingerprints")
+        n, both = bit_counts(nodes.select("fp"))
+        edges = links(nodes.select("fp"), plan(n, both, tau), tau)
     else:
-        edges = verified_links(docs, own, fps.select("fp"), found, tau, text_col, shingle, similarity)
-    roots = components(edges)
-    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+        nodes = written(own.groupBy("node").agg(F.min("fp").alias("fp"), F.min("row").alias("row"), F.min("id").alias("least_id"), F.first("profile").alias("profile")), "distinct-texts")
+        edges = similar_links(docs, nodes.select("node", "fp", "row", "profile"), tau, text_col, shingle, similarity)
+    roots = components(edges).select(F.col("node").alias("of"), "root")
+    rooted = nodes.join(roots, nodes[node] == roots["of"], "left").select(node, "least_id", F.coalesce("root", node).alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "root", "component_id")
-    return own.join(named, "fp").select("id", "row", "fp", "root", "component_id")
+    named = rooted.join(least, "root").select(node, "root", "component_id")
+    return own.select("id", "row", *dict.fromkeys(["fp", node])).join(named, node).select("id", "row", "fp", "root", "component_id")
 
 
 def hex_of(fp: str = "fp") -> F.Column:
@@ -474,8 +641,8 @@ def hex_of(fp: str = "fp") -> F.Column:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tau: int = 10, similarity: float | None = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the first row of the smallest id.
 
-    By default near copies share 0.8 or more of their five-word shingles, and their
-    fingerprints are within ten bits, where most such pairs are."""
+    By default near copies are all texts that share 0.8 or more of their five-word
+    shingles; ``tau`` bits bound the first candidates alone, unless there is no similarity."""
     (row,) = free_name(docs, "row")
     groups = near_groups(docs, id_col, text_col, shingle, tau, similarity)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row")).alias("k"))

@@ -90,6 +90,38 @@ def test_simhash(spark):
     assert simhash.near_groups(empty(spark)).count() == 0
 
 
+def test_similar_at_any_distance(spark):
+    # Components of all pairs with the similarity, however far their fingerprints are.
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):
+        base = prose(rng, 60 + 3 * i).split()
+        rows.append((10 * i, " ".join(base)))
+        for k in range(1, 5):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), 1 + len(base) // 80 * (k > 2)):
+                copy[at] = f"changed{k}"
+            rows.append((10 * i + k, " ".join(copy)))
+    common = prose(rng, 12)
+    rows += [(1000 + i, f"{prose(rng, 30)} {common}") for i in range(150)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    fps = {i: int(simhash.fingerprints([t.encode().split()], 5)[0]) for i, t in rows}
+    group, far = {i: {i} for i in sets}, 0
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                far += (fps[a] ^ fps[b]).bit_count() > 10
+                if group[a] is not group[b]:
+                    group[a] |= group[b]
+                    for x in group[b]:
+                        group[x] = group[a]
+    assert far > 10
+    assert {r["doc_id"] for r in simhash.deduplicate(docs(spark, rows)).collect()} == {min(g) for g in group.values()}
+    # Two texts of one fingerprint are a candidate pair, not one node.
+    frame = spark.createDataFrame([(1, 5), (2, 5)], "node long, fp long")
+    assert [tuple(r) for r in simhash._candidates(frame, simhash.Plan((tuple(range(64)),), (0,), 0.0), 0).collect()] == [(1, 2)]
+
+
 def test_simhash_dense_group(spark):
     # One group of near fingerprints: links stay, pairs are not all returned.
     fps = [0] + [1 << i for i in range(64)] + [(1 << i) | (1 << j) for i in range(20) for j in range(i)]
