@@ -109,8 +109,8 @@ def backward(w: dict[str, np.ndarray], rows: np.ndarray, f: dict[str, np.ndarray
     gx = gy + gq @ w["q"].T + gk @ w["k"].T + gv @ w["v"].T
     g["place"] = np.zeros_like(w["place"])
     g["place"][:n] = gx.sum(axis=0)
-    g["embed"] = np.zeros_like(w["embed"])
-    np.add.at(g["embed"], rows.ravel(), flat(gx))
+    slots = (rows.reshape(-1, 1) * d + np.arange(d)).ravel()
+    g["embed"] = np.bincount(slots, weights=gx.ravel(), minlength=w["embed"].size).reshape(w["embed"].shape).astype(w["embed"].dtype)
     return g
 
 

@@ -10,9 +10,8 @@ in one place. The method is the causal self-attention model of ``attention``:
   cut into pieces once, next to its count; the blocks get both back;
 * piece counts over all training documents (words' pieces by words' counts) give its
   classes;
-* a fixed share of the training documents, with all their windows, is its training
-  set, so that it grows with the corpus;
-* in each round every task runs Adam on its share from the same weights, and the
+* every training document, with all its windows, is learned from, in one of the rounds;
+* in each round every task runs Adam on its documents from the same weights, and the
   weights are averaged;
 * a text's score is the sum over its pieces and its end, each scored in one of the
   overlapping windows.
@@ -40,8 +39,8 @@ from . import attention
 from .common import map_arrow, row_id, text_of, written
 from .marked import piece_encoder
 
-#: Rows of the scan in a block, as a power of two; one document in so many is trained on.
-BLOCK_BITS, EVERY, ROUNDS, BATCH, RATE = 12, 16, 3, 32, 0.01
+#: Rows of the scan in a block, as a power of two; rounds of training, windows in a step, its size.
+BLOCK_BITS, ROUNDS, BATCH, RATE = 12, 3, 128, 0.01
 #: The folds that documents are dealt into, and the one that is held out.
 FOLDS, HELD_OUT = 5, 1
 
@@ -108,25 +107,22 @@ def with_pieces(known: DataFrame, model: str) -> DataFrame:
     return map_arrow(known, run, "word binary, block long, n long, c long, first boolean, pieces array<int>")
 
 
-def training_windows(docs: DataFrame, model: str, shape: attention.Shape) -> DataFrame:
-    """``mix, ids``: the windows of every ``EVERY``-th training document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = piece_encoder(model)
-        for batch in batches:
-            mix = (batch.column("row").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-            learn = ~held_out(batch.column("id")) & (mix % np.uint64(EVERY) == 0)
-            rounds, lists = [], []
-            for m, text in zip(mix[learn].tolist(), text_of(batch).filter(pa.array(learn)).to_pylist(), strict=True):
-                ids = [i for w in pieces_of(enc, [x.decode() for x in words_of(text)]) for i in w]
-                _, start, _ = attention.windows(np.array([0, len(ids)]), shape)
-                for k, s in enumerate(start.tolist()):
-                    # One id more in front: what the first token sees, or none.
-                    lists.append(([-1] if s == 0 else [ids[s - 1]]) + ids[s : s + shape.window])
-                    rounds.append(m // EVERY + k)
-            yield pa.RecordBatch.from_arrays([pa.array(rounds, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["mix", "ids"])
-
-    return written(map_arrow(docs, run, "mix long, ids array<int>"), "windows")
+def training_windows(enc, texts: list[str], shape: attention.Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of the texts: what each token sees before it (-1 at a text's begin),
+    the tokens, and which places are there."""
+    own = [words_of(t) for t in texts]
+    index = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(own)))}
+    pieces = pieces_of(enc, [w.decode() for w in index])  # each distinct word once
+    lists = [list(chain.from_iterable(pieces[index[w]] for w in words)) for words in own]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+    ids = np.fromiter(chain.from_iterable(lists), np.int64, at[-1])
+    before = np.concatenate([[-1], ids[:-1]])[: len(ids)]
+    before[at[:-1]] = -1  # no text is without its end
+    doc, start, _ = attention.windows(at, shape)
+    where = (at[doc] + start)[:, None] + np.arange(shape.window)
+    there = where < at[doc + 1][:, None]
+    where = np.where(there, where, 0)
+    return np.where(there, before[where], -1), ids[where], there
 
 
 def piece_counts(known: DataFrame, model: str) -> np.ndarray:
@@ -138,35 +134,32 @@ def piece_counts(known: DataFrame, model: str) -> np.ndarray:
     return counts
 
 
-def train(windows: DataFrame, vocab: attention.Vocabulary, shape: attention.Shape) -> dict[str, np.ndarray]:
-    """Rounds of local Adam and averaging; each window is used in one round."""
+def train(docs: DataFrame, model: str, vocab: attention.Vocabulary, shape: attention.Shape) -> dict[str, np.ndarray]:
+    """Rounds of local Adam and averaging; each training document is used in one round."""
     weights = attention.begin(vocab, shape)
     names = sorted(weights)
     for turn in range(ROUNDS):
         start = {k: v.copy() for k, v in weights.items()}
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            w, seen = {k: v.copy() for k, v in start.items()}, 0
-            adam = attention.Adam(w, RATE)
+            w, seen, enc = {k: v.copy() for k, v in start.items()}, 0, piece_encoder(model)
+            adam, mix = attention.Adam(w, RATE), np.random.default_rng(1)
             for batch in batches:
-                lists = batch.column("ids").to_pylist()
-                for i in range(0, len(lists), BATCH):
-                    part = lists[i : i + BATCH]
-                    rows, target, there = np.zeros((len(part), shape.window), np.int64), np.zeros((len(part), shape.window), np.int64), np.zeros((len(part), shape.window), bool)
-                    for j, ids in enumerate(part):
-                        n = len(ids) - 1
-                        target[j, :n], there[j, :n] = ids[1:], True
-                        rows[j, :n] = [0 if x < 0 else x for x in vocab.row[ids[:-1]].tolist()]
-                        if ids[0] < 0:
-                            rows[j, 0] = 0
-                    f = attention.forward(w, rows)
-                    adam.step(w, attention.backward(w, rows, f, vocab.cls[target], there))
-                    seen += len(part)
+                texts = text_of(batch).filter(pa.array(~held_out(batch.column("id")))).to_pylist()
+                for i in range(0, len(texts), 500):
+                    before, ids, there = training_windows(enc, texts[i : i + 500], shape)
+                    order = mix.permutation(len(ids))
+                    for j in range(0, len(ids), BATCH):
+                        part = order[j : j + BATCH]
+                        rows = np.where(before[part] < 0, 0, vocab.row[before[part]])
+                        f = attention.forward(w, rows)
+                        adam.step(w, attention.backward(w, rows, f, vocab.cls[ids[part]], there[part]))
+                    seen += len(ids)
             if seen:
                 flat = np.concatenate([w[k].ravel() for k in names]).astype(np.float64) * seen
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int64()), pa.array(flat, pa.float64()), pa.array(np.full(len(flat), seen), pa.int64())], names=["i", "w", "n"])
 
-        mine = windows.where(F.col("mix") % ROUNDS == turn).select("ids")
+        mine = docs.where(F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == turn).select("id", "text")
         total = map_arrow(mine, run, "i long, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()
         if total:
             flat = np.zeros(sum(v.size for v in weights.values()), np.float32)
@@ -193,7 +186,7 @@ def score(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
     n_train, distinct = int(size["n"] or 0), int(size["v"] or 0)
     # The method's model.
     vocab = attention.Vocabulary(piece_counts(known, model), shape)
-    weights = train(training_windows(keyed, model, shape), vocab, shape)
+    weights = train(keyed, model, vocab, shape)
     below = log10(n_train + 0.5 * (distinct + 1))
 
     def run(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:

@@ -207,6 +207,18 @@ def test_secrets(spark):
     assert secrets.redact(odd(spark, *CLASH)).columns == odd(spark, *CLASH).columns and secrets.scan(empty(spark)).count() == 0
 
 
+def test_scoring_learns_from_every_document(spark):
+    # The words of any one training document in another order: counts stay, the model does not.
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 40, 60)) for i in range(8)]
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1]
+    scores = lambda rows: {r["doc_id"]: r["score"] for r in scoring.score(docs(spark, rows + [(99, prose(random.Random(5), 40, 60))]), PIECES).collect()}
+    first = scores(rows)
+    for i in [i for i, _ in rows if i not in held][:4]:
+        turned = scores([(k, " ".join(reversed(t.split())) if k == i else t) for k, t in rows])
+        assert any(turned[k] != first[k] for k in [*held, 99]), i
+
+
 def test_scoring(spark):
     rng = random.Random(1)
     rows = [(i, prose(rng, 60, 60)) for i in range(200)]
