@@ -2,11 +2,14 @@
 
 Each text gives a few counts. A vector of transformed statistics comes from them,
 and for each language and source a minimum-covariance-determinant estimate of its
-centre and scatter: concentration steps start from the mean and variances of the
-rows nearest to the group's median, and each takes the rows of the smallest
-Mahalanobis distances as the next estimate's subset. A document whose distance
-from the last estimate is beyond the cutoff is an outlier and rejected. Groups of
-fewer than ``MIN_GROUP`` documents use their language's estimate.
+centre and scatter, which stands up to junk in just under half of a group:
+concentration steps start from several centres, the group's quartiles, and each takes
+the (n + p + 1) / 2 rows of the smallest Mahalanobis distances as the next estimate's
+subset, until no determinant falls any more; of a group's starts the one of the least
+determinant stays. Scatter is made consistent with that of all rows of a normal
+distribution. A document whose distance from the estimate is beyond the cutoff is an
+outlier and rejected. Groups of fewer than ``MIN_GROUP`` documents use their
+language's estimate.
 
 Built-in functions only. The statistics go to a table in the shared folder, so
 the texts are read once; groups are aggregated before they are shuffled, and the
@@ -21,6 +24,7 @@ table gives no rows; added columns give way to those of ``docs``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import erf, exp, pi, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +40,9 @@ DIMS = ["x0", "x1", "x2"]
 class Limits:
     """Base rules and the method's parameters.
 
-    ``subset``: share of a group's rows in a concentration step; ``floor``: least
-    standard deviation of each statistic, far below what sets prose apart, so that
+    ``starts``: quantiles of the statistics that concentration steps start from;
+    ``falls``: a determinant that falls by a smaller share has converged, which is more
+    than the quantile sketches' error; ``floor``: least standard deviation of each statistic, far below what sets prose apart, so that
     statistics that are constant in a group do not make scatter singular;
     ``cutoff``: squared distance of an outlier (chi-squared with three degrees of
     freedom exceeds 60 once in 10^12).
@@ -45,8 +50,8 @@ class Limits:
 
     min_words: int = 10
     repeat_percent: int = 20
-    subset: float = 0.75
-    steps: int = 3
+    starts: tuple[float, ...] = (0.25, 0.5, 0.75)
+    falls: float = 0.01
     prior_words: float = 50.0
     floor: tuple[float, float, float] = (0.12, 0.06, 0.06)
     cutoff: float = 60.0
@@ -102,18 +107,46 @@ def vector(names: dict[str, str], limits: Limits) -> list[Column]:
 
 
 _PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
+_ESTIMATE = ["m0", "m1", "m2", *[f"q{i}{j}" for i, j in _PAIRS]]
+
+
+#: Shares of a group's rows in a subset, by hundredths: (n + p + 1) / 2 of n is a half or more.
+SHARES = [k / 100 for k in range(50, 101)]
+
+
+def consistency(share: float) -> float:
+    """What the scatter of the nearest ``share`` of normal rows in three dimensions is less by."""
+    if share >= 1:
+        return 1.0
+    three = lambda x: erf(sqrt(x / 2)) - sqrt(2 * x / pi) * exp(-x / 2)
+    low, high = 0.0, 100.0  # the chi-squared quantile by bisection
+    for _ in range(100):
+        x = (low + high) / 2
+        low, high = (x, high) if three(x) < share else (low, x)
+    return share / (three(x) - sqrt(2 / pi) * x**1.5 * exp(-x / 2) / 3)
+
+
+def _share(share: Column) -> Column:
+    """The place (from 1) of a share in ``SHARES``, rounded up."""
+    return F.greatest(F.lit(1), F.least(F.lit(len(SHARES)), F.ceil(100 * share - 1e-9).cast("int") - 49))
 
 
 def _estimate(rows: DataFrame, keys: list[str], floor: tuple[float, ...]) -> DataFrame:
-    """Centre and inverse scatter of each group, as columns ``m*`` and ``q*``."""
-    moments = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(d).alias(f"m{i}") for i, d in enumerate(DIMS)], *[F.covar_pop(DIMS[i], DIMS[j]).alias(f"c{i}{j}") for i, j in _PAIRS])
+    """Centre, inverse scatter and determinant of each group's subset ``near``, as columns
+    ``m*``, ``q*`` and ``det``; ``n`` counts all rows of the group, ``was`` is their ``best``."""
+    near = lambda d: F.when(F.col("near"), F.col(d))
+    moments = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("best").alias("was"), F.avg(F.col("near").cast("double")).alias("share"), *[F.avg(near(d)).alias(f"m{i}") for i, d in enumerate(DIMS)], *[F.covar_pop(near(DIMS[i]), near(DIMS[j])).alias(f"c{i}{j}") for i, j in _PAIRS])
+    # The factor between those of the hundredths around the subset's share.
+    at = F.greatest(F.lit(0.0), F.least(F.lit(50.0), 100 * F.col("share") - 50))
+    factor = lambda k: F.element_at(F.array(*[F.lit(consistency(x)) for x in SHARES]), F.least(F.lit(len(SHARES)), k.cast("int") + 1))
+    moments = moments.withColumn("factor", factor(F.floor(at)) + (at - F.floor(at)) * (factor(F.floor(at) + 1) - factor(F.floor(at))))
     # Scatter plus the floor's variances, and its inverse by cofactors.
-    s = {(i, j): F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0)) + F.lit(floor[i] ** 2 if i == j else 0.0) for i, j in _PAIRS}
+    s = {(i, j): F.col("factor") * F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0)) + F.lit(floor[i] ** 2 if i == j else 0.0) for i, j in _PAIRS}
     v = lambda i, j: s[min(i, j), max(i, j)]
     minor = lambda i, j: (lambda a, b: v(a[0], b[0]) * v(a[1], b[1]) - v(a[0], b[1]) * v(a[1], b[0]))([x for x in range(3) if x != i], [x for x in range(3) if x != j])
     det = sum((v(0, j) * minor(0, j) * (-1) ** j for j in range(1, 3)), v(0, 0) * minor(0, 0))
     inverse = {f"q{i}{j}": minor(i, j) * (-1) ** (i + j) / det for i, j in _PAIRS}
-    return moments.select(*keys, "n", "m0", "m1", "m2", *[e.alias(k) for k, e in inverse.items()])
+    return moments.select(*keys, "n", "m0", "m1", "m2", *[e.alias(k) for k, e in inverse.items()], det.alias("det"), "was")
 
 
 def distance() -> Column:
@@ -136,17 +169,23 @@ def mcd(rows: DataFrame, keys: list[str], limits: Limits) -> DataFrame:
     ``rows`` has the group columns and the vector. Quantiles are Spark's bounded
     sketches; the subset is all rows up to the quantile, ties included.
     """
-    keyed = rows.groupBy(*keys)
-    start = keyed.agg(*[F.percentile_approx(d, 0.5, 1000).alias(f"m{i}") for i, d in enumerate(DIMS)])
-    for i, j in _PAIRS:
-        start = start.withColumn(f"q{i}{j}", F.lit(1.0 / limits.floor[i] ** 2 if i == j else 0.0))
-    now = start
-    for _ in range(limits.steps):
-        near = _joined(rows, now, keys).withColumn("distance", distance()).select(*keys, *DIMS, "distance")
-        bound = near.groupBy(*keys).agg(F.percentile_approx("distance", limits.subset, 1000).alias("most"))
-        inside = _joined(near, bound, keys).where(F.col("distance") <= F.col("most"))
-        now = written(_estimate(inside, keys, limits.floor), "estimates")
-    return now
+    starts = list(limits.starts)
+    quantiles = rows.groupBy(*keys).agg(*[F.percentile_approx(d, starts, 1000).alias(f"a{i}") for i, d in enumerate(DIMS)])
+    now = quantiles.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), *[F.col(f"a{i}")[k].alias(f"m{i}") for i in range(3)]) for k in range(len(starts))])).alias("s"))
+    now = now.select(*keys, F.col("s.k").alias("start"), *[f"s.m{i}" for i in range(3)], *[F.lit(1.0 / limits.floor[i] ** 2 if i == j else 0.0).alias(f"q{i}{j}") for i, j in _PAIRS], F.lit(float("inf")).alias("best"))
+    each = [*keys, "start"]
+    spread = rows.withColumn("start", F.explode(F.array(*[F.lit(k) for k in range(len(starts))])))
+    while True:
+        near = _joined(spread, now.select(*each, *_ESTIMATE, "best"), each).withColumn("distance", distance()).select(*each, *DIMS, "distance", "best")
+        bound = near.groupBy(*each).agg(F.percentile_approx("distance", SHARES, 1000).alias("most"), F.count(F.lit(1)).alias("n"))
+        bound = bound.select(*each, F.element_at("most", _share((F.floor((F.col("n") + len(DIMS) + 1) / 2)) / F.col("n"))).alias("most"))
+        inside = _joined(near, bound, each).withColumn("near", F.col("distance") <= F.col("most"))
+        # The sketches' error can raise a determinant: falls below all before count, and they end.
+        now = written(_estimate(inside, each, limits.floor).withColumns({"falls": F.col("det") < (1 - limits.falls) * F.col("was"), "best": F.least("det", "was")}).drop("was"), "estimates")
+        if not now.where("falls").limit(1).count():
+            break
+    least = now.groupBy(*keys).agg(F.min_by(F.struct("n", *_ESTIMATE), F.struct("det", "start")).alias("e"))
+    return least.select(*keys, "e.*")
 
 
 def judge(docs: DataFrame, limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -160,7 +199,7 @@ def judge(docs: DataFrame, limits: Limits | None = None, id_col: str = "doc_id",
     counted = written(counted, "quality")
     # Estimates come from what the base rules let through.
     rows = counted.where(~F.col("base_failed")).select("lang", "source", *DIMS)
-    large = mcd(rows, ["lang", "source"], limits).where(F.col("n") >= MIN_GROUP * limits.subset)
+    large = mcd(rows, ["lang", "source"], limits).where(F.col("n") >= MIN_GROUP)
     wide = mcd(rows.select("lang", *DIMS), ["lang"], limits)
     by_group = _joined(counted, large, ["lang", "source"]).withColumn("own", distance()).drop("n", "m0", "m1", "m2", *[f"q{i}{j}" for i, j in _PAIRS])
     by_lang = _joined(by_group, wide, ["lang"]).withColumn("distance", F.coalesce("own", distance()))

@@ -52,6 +52,23 @@ def test_exact(spark):
     assert exact.deduplicate(empty(spark)).count() == 0
 
 
+def test_quality_dirty_source(spark):
+    # A source that is junk by a third or nearly by half loses it all and keeps the rest.
+    rng = random.Random(6)
+    rows, junk = [], set()
+    for source, share in (("clean", 0.0), ("third", 0.35), ("half", 0.45)):
+        for i in range(400):
+            bad = i < share * 400
+            text = prose(rng, rng.randrange(60, 200))
+            if bad:
+                junk.add(len(rows))
+                text = " ".join(w + "#" * rng.randrange(2, 5) for w in text.split())
+            rows.append((len(rows), text, "en", source, len(text)))
+    kept = {r["doc_id"] for r in quality.judge(spark.createDataFrame(rows, DOCS)).where("kept").collect()}
+    assert not kept & junk and len(kept) == len(rows) - len(junk)
+    assert abs(quality.consistency(0.5) - 2.4566) < 1e-3 and quality.consistency(1.0) == 1
+
+
 def test_simhash(spark):
     rng = random.Random(2)
     rows = []
