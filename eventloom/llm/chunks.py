@@ -1,19 +1,19 @@
 """Distinct-chunk tables: encode each distinct chunk of a batch of texts once and
 join the ids back by position.
 
-A text is cut before spaces at which no tokenizer piece can cross. The chunks of
-a batch are dictionary-encoded (Arrow), only chunks that the table does not hold
-are encoded by the tokenizer's own library, and the ids of all occurrences come
-from one gather. A table lives in one worker and is emptied when it is full, so
-that memory does not depend on the input.
+A text is cut where no token or piece can cross: before a space, between a letter
+and the ASCII symbol after it, around a single line break. The chunks of a batch
+are dictionary-encoded (Arrow), only chunks that the table does not hold are encoded
+by the tokenizer's own library, and the ids of all occurrences come from one gather.
+A table lives in one worker and is emptied when it is full, so that memory does not
+depend on the input; a very long text is cut into chunks a few megabytes at a time.
 """
 
 from __future__ import annotations
 
-import gc
 from array import array
 from collections.abc import Callable, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,26 +21,46 @@ import pyarrow as pa
 from .common import bytes_of
 
 #: A table is emptied beyond so many chunks or bytes of chunks.
-MAX_CHUNKS, MAX_CHUNK_BYTES, MAX_PARTS = 1_400_000, 48 << 20, 250_000
-#: Bytes of text that are dictionary-encoded at a time.
-STEP = 8 << 20
+MAX_CHUNKS, MAX_CHUNK_BYTES = 700_000, 24 << 20
+#: Bytes of text that are dictionary-encoded at a time, new chunks that are encoded at a time, and joined.
+STEP, NEW, JOINED = 8 << 20, 20_000, 500
 
+
+def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for low, high in ranges:
+        out[low : high + 1] = True
+    return out
+
+
+#: ASCII letters; other visible ASCII characters but digits; second bytes of the letters U+00C0 to U+00FF.
+_LETTER = _bytes((0x41, 0x5A), (0x61, 0x7A))
+_SYMBOL = _bytes((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+_LATIN = _bytes((0x80, 0x96), (0x98, 0xB6), (0xB8, 0xBF))
 #: Bytes that surely begin a character that isn't white space.
-_SOLID = np.zeros(256, bool)
-_SOLID[0x21:0x7F] = True
-_SOLID[0xC3:0xE1] = True
-_SOLID[0xE4:0xF5] = True
+_SOLID = _bytes((0x21, 0x7E), (0xC3, 0xE0), (0xE4, 0xF4))
 
 
 def before_words(raw: np.ndarray) -> np.ndarray:
-    """Cuts before each space with a solid character after it.
-
-    The pre-tokenizers of the byte-level and word vocabularies begin a token
-    there, whatever stands before the space.
+    """Cuts of the byte-level and word vocabularies, whose pre-tokenizers begin a token
+    there, whatever stands on either side:
+
+    * before each space with a solid character after it;
+    * between a letter (ASCII or Latin-1, which no normaliser takes apart) and the
+      ASCII symbol after it;
+    * around a line break that stands alone between such a letter or an ASCII symbol
+      and a solid character.
     """
     cut = np.zeros(len(raw), bool)
-    if len(raw) > 1:
-        cut[:-1] = (raw[:-1] == 0x20) & _SOLID[raw[1:]]
+    if len(raw) < 2:
+        return cut
+    cut[:-1] = (raw[:-1] == 0x20) & _SOLID[raw[1:]]
+    letter, symbol = _LETTER[raw], _SYMBOL[raw]
+    letter[1:] |= (raw[:-1] == 0xC3) & _LATIN[raw[1:]]
+    cut[1:] |= letter[:-1] & symbol[1:]
+    alone = (raw[1:-1] == 0x0A) & (letter | symbol)[:-2] & _SOLID[raw[2:]]
+    cut[1:-1] |= alone
+    cut[2:] |= alone
     return cut
 
 
@@ -57,9 +77,10 @@ def before_markers(raw: np.ndarray) -> np.ndarray:
 
 
 class ChunkTable:
-    """``encode``: ids for each of some distinct chunks, in their order."""
+    """``encode`` gives some distinct chunks in an order of its own, their ids one after
+    the other, and how many each has."""
 
-    def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], cut: Callable[[np.ndarray], np.ndarray], max_chunks: int = MAX_CHUNKS, max_bytes: int = MAX_CHUNK_BYTES) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], cut: Callable[[np.ndarray], np.ndarray], max_chunks: int = MAX_CHUNKS, max_bytes: int = MAX_CHUNK_BYTES) -> None:
         self.encode, self.cut, self.max_chunks, self.max_bytes = encode, cut, max_chunks, max_bytes
         self.clear()
 
@@ -67,28 +88,22 @@ class ChunkTable:
         self.slots: dict[str, int] = {}
         self.flat, self.ends, self.held = array("I"), array("q", [0]), 0
 
-    def _slots_of(self, words: list[str]) -> list[int]:
+    def _slots_of(self, words: list[str]) -> np.ndarray:
         known = self.slots
-        new = [w for w in words if w not in known]
-        if new:
-            at, coded = len(known), self.encode(new)
-            known.update(zip(new, range(at, at + len(new)), strict=True))
-            n = np.fromiter(map(len, coded), np.int64, len(coded))
-            self.ends.frombytes((self.ends[-1] + np.cumsum(n)).tobytes())
-            self.flat.extend(chain.from_iterable(coded))
-            self.held += sum(map(len, new))
-        return [known[w] for w in words]
+        out = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(out < 0)
+        new = [words[i] for i in missing.tolist()]
+        for i in range(0, len(new), NEW):
+            part, ids, n = self.encode(new[i : i + NEW])
+            known.update(zip(part, range(len(known), len(known) + len(part)), strict=True))
+            self.ends.frombytes((self.ends[-1] + np.cumsum(n, dtype=np.int64)).tobytes())
+            self.flat.frombytes(ids.astype(np.uint32).tobytes())
+            self.held += sum(map(len, part))
+        out[missing] = np.fromiter(map(known.__getitem__, new), np.int64, len(new))
+        return out
 
     def occurrences(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The slot of each chunk of the texts, and where each text's chunks begin and end."""
-        # A table has no cycles, and the collector would go through all of it again and again.
-        gc.disable()
-        try:
-            return self._occurrences(texts)
-        finally:
-            gc.enable()
-
-    def _occurrences(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.slots) > self.max_chunks or self.held > self.max_bytes:
             self.clear()
         raw, off = bytes_of(texts)
@@ -104,7 +119,7 @@ class ChunkTable:
             part = (bounds[i : j + 1] - bounds[i]).astype(np.int32)
             col = pa.Array.from_buffers(pa.string(), j - i, [None, pa.py_buffer(part), pa.py_buffer(np.ascontiguousarray(raw[bounds[i] : bounds[j]]))])
             coded = col.dictionary_encode()
-            slots = np.array(self._slots_of(coded.dictionary.to_pylist()), np.int64)
+            slots = self._slots_of(coded.dictionary.to_pylist())
             out.append(slots[coded.indices.to_numpy()])
             i = j
         return np.concatenate(out), np.searchsorted(starts, off)
@@ -125,18 +140,24 @@ class ChunkTable:
         return out, after[at]
 
 
-_MARKS = frozenset(".,;:!?")
+def flat(coded: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after the other, and how many each has."""
+    n = np.fromiter(map(len, coded), np.int64, len(coded))
+    return np.fromiter(chain.from_iterable(coded), np.uint32, n.sum()), n
 
 
 class WordEncoder:
     """Ids of texts by the ``tokenizers`` library, without special tokens added.
 
-    A chunk of letters with one closing mark is two pre-tokens; each distinct
-    stem goes to the library once. Texts that hold the string of an added
-    token go to the library whole, as it cuts them before anything else.
+    Chunks of a space and letters go to the library ``JOINED`` at a time, one after
+    the other, as each begins a token of its own; where each ends is told by the
+    vocabulary's word ends, or by the bytes of the ids' strings.
+
+    Texts that hold the string of an added token go to the library whole, as it
+    cuts them before anything else.
     """
 
-    def __init__(self, path: str, max_parts: int = MAX_PARTS) -> None:
+    def __init__(self, path: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -144,27 +165,34 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts: dict[str, list[int]] = {}
-        self.max_parts = max_parts
+        ids = self.tokenizer.get_vocab()
+        # What ends a word, or else the bytes of each id: a byte-level string has a character for each.
+        self.suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        self.measure = np.zeros(max(ids.values()) + 1, np.int64)
+        for token, i in ids.items():
+            self.measure[i] = token.endswith(self.suffix) if self.suffix else len(token)
         self.table = ChunkTable(self._encode, before_words)
 
-    def _encode(self, chunks: list[str]) -> list[Sequence[int]]:
-        if len(self.parts) > self.max_parts:
-            self.parts.clear()
-        parts, stems, whole, cut = self.parts, {}, [], [False] * len(chunks)
-        for i, c in enumerate(chunks):
-            if c[-1] in _MARKS and (c[1:-1] if c[0] == " " else c[:-1]).isalpha():
-                cut[i] = True
-                if c[:-1] not in parts:
-                    stems[c[:-1]] = None
-                if c[-1] not in parts:
-                    stems[c[-1]] = None
-            else:
-                whole.append(c)
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast([*stems, *whole], add_special_tokens=False)]
-        parts.update(zip(stems, coded, strict=False))
-        rest = iter(coded[len(stems) :])
-        return [parts[c[:-1]] + parts[c[-1]] if cut[i] else next(rest) for i, c in enumerate(chunks)]
+    def _encode(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        words, rest = [], []
+        for c in chunks:
+            (words if c[:1] == " " and c[1:].isalpha() else rest).append(c)
+        parts = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        coded = self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)
+        done, ids, n = [], [], []
+        for part, e in zip(parts, coded, strict=True):
+            own = np.array(e.ids, np.int64)
+            reached = np.cumsum(self.measure[own])
+            size = np.ones(len(part), np.int64) if self.suffix else np.fromiter((len(c.encode()) for c in part), np.int64, len(part))
+            if reached[-1] != size.sum():  # a chunk that the normaliser makes several words of
+                rest += part
+                continue
+            ends = np.searchsorted(reached, np.cumsum(size)) + 1
+            done += part
+            ids.append(own)
+            n.append(np.diff(ends, prepend=0))
+        own, many = flat([e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)])
+        return done + rest, np.concatenate([*ids, own]), np.concatenate([*n, many])
 
     def ids(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         raw, _ = bytes_of(texts)

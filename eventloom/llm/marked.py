@@ -14,14 +14,14 @@ repeated rows are each encoded; only the id and text columns are read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable, before_markers
+from .chunks import ChunkTable, before_markers, flat
 from .common import map_arrow, text_of
 
 MARK = "▁"
@@ -40,11 +40,11 @@ class PieceEncoder:
         self.by_chunk = plain and not crosses
         self.table = ChunkTable(self._encode, before_markers)
 
-    def _encode(self, chunks: list[str]) -> list[Sequence[int]]:
+    def _encode(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         # A space at a text's end is a marker alone; the library adds none to an empty text.
         alone = [self.sp.piece_to_id(MARK)]
         coded = self.sp.encode([c[1:] if c[:1] == " " else c for c in chunks], num_threads=1)
-        return [alone if c == " " else ids for c, ids in zip(chunks, coded, strict=True)]
+        return chunks, *flat([alone if c == " " else ids for c, ids in zip(chunks, coded, strict=True)])
 
     def ids(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin and end."""

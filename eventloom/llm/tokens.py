@@ -35,7 +35,7 @@ from .common import map_arrow, new_path, row_id, text_of, written
 MAGIC = b"DACv1\0\0\0"
 BLOCK = 512
 #: A segment is closed at so many ids.
-SEGMENT_IDS = 4_000_000
+SEGMENT_IDS = 1_000_000
 _HEAD = struct.Struct("<8sQQQ")
 _NULL = -(1 << 63)
 

@@ -33,8 +33,22 @@ def test_chunks_equal_the_libraries(texts):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == PIECE.sp.encode(texts)
 
 
+def test_every_letter_with_each_mark():
+    """Also letters that a normaliser changes, takes apart or composes."""
+    import unicodedata
+
+    odd = ["İ", "ß", "Σ", "ς", "ſ", "K", "Å", "ﬁ", "①", "²", "ª", "÷", "÷a", "a\u0301", "क़", "\u1100\u1161", "가", "\u0345"]
+    letters = [chr(i) for i in (*range(0x41, 0x2C00), *range(0xA640, 0xAB70), *range(0xFB00, 0xFB50)) if unicodedata.category(chr(i))[0] in "LMN"]
+    texts = [f"su{c}{m}x {c}{m} {c}\n{c}" for m in ",'<&0" for c in letters[:: 1 if m == "," else 7]] + [f"{a}{m}{b} {a}" for a in odd for b in odd for m in (" ", ".", "\n", " \n", "'s")]
+    col = pa.array(texts, pa.string())
+    for path, enc in ENCODERS.items():
+        ids, at = enc.ids(col)
+        want = enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in want], path
+
+
 def test_added_tokens_and_full_tables():
-    enc = WordEncoder(BYTES, max_parts=2)
+    enc = WordEncoder(BYTES)
     enc.table.max_chunks = 3
     for t in ("a <|endoftext|> b", "many words, in. one text here", "many other words, again.", ""):
         assert enc.ids(pa.array([t]))[0].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
