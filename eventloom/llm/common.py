@@ -4,6 +4,7 @@ intermediate tables and Arrow helpers."""
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch that goes to a Python worker.
-BATCH_ROWS, BATCH_BYTES = "2000", "16777216"
+BATCH_ROWS, BATCH_BYTES = "4000", "8388608"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,13 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; local ones go when the driver ends."""
+    """A fresh path in the shared folder; it goes when the driver ends, on any file system."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if path.startswith("file:"):
-        atexit.register(shutil.rmtree, path.removeprefix("file:").replace("//", "/"), ignore_errors=True)
+    atexit.register(_at_end, spark, path)
     return path
 
 
+def _at_end(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone by then
+        remove(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage is cut,
     and losing executors costs no more than reading the table again."""
@@ -49,6 +54,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` with a row id that is data: it is drawn once and written, so that every
+    later read of a row has the same, however ``docs`` was made."""
+    return written(docs.withColumn(row, row_id()), "numbered")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete ``path`` through Hadoop's file system."""
     jvm = spark.sparkContext._jvm
@@ -98,7 +109,8 @@ def bytes_of(col: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def row_id() -> F.Column:
-    """A row's place in its scan: the same whenever the same files are read alike."""
+    """A number for each row of one evaluation. Another evaluation of the same frame may
+    number its rows otherwise, so rows are joined by it only once it is written."""
     return F.monotonically_increasing_id()
 
 
