@@ -21,9 +21,10 @@ import pyarrow as pa
 from .common import bytes_of
 
 #: A table is emptied beyond so many chunks or bytes of chunks.
-MAX_CHUNKS, MAX_CHUNK_BYTES = 700_000, 24 << 20
-#: Bytes of text that are dictionary-encoded at a time, new chunks that are encoded at a time, and joined.
-STEP, NEW, JOINED = 8 << 20, 20_000, 500
+MAX_CHUNKS, MAX_CHUNK_BYTES = 500_000, 24 << 20
+#: Bytes of text that are cut and dictionary-encoded at a time, new chunks that are encoded at a time, and joined;
+#: occurrences whose ids are gathered at a time.
+STEP, NEW, JOINED, GATHER = 4 << 20, 20_000, 500, 1 << 18
 
 
 def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
@@ -108,21 +109,24 @@ class ChunkTable:
             self.clear()
         raw, off = bytes_of(texts)
         if not len(raw):
-            return np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-        mask = self.cut(raw)
+            return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
+        mask = np.empty(len(raw), bool)
+        for i in range(0, len(raw), STEP):  # a cut depends on two bytes to either side
+            j, before = min(i + STEP, len(raw)), min(i, 2)
+            mask[i:j] = self.cut(raw[i - before : j + 2])[before : before + j - i]
         mask[off[:-1][off[:-1] < len(raw)]] = True
         starts = np.flatnonzero(mask)
-        bounds = np.append(starts, len(raw))
-        out, i = [], 0
+        del mask
+        out, i = np.empty(len(starts), np.int32), 0
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(starts, starts[i] + STEP)))
-            part = (bounds[i : j + 1] - bounds[i]).astype(np.int32)
-            col = pa.Array.from_buffers(pa.string(), j - i, [None, pa.py_buffer(part), pa.py_buffer(np.ascontiguousarray(raw[bounds[i] : bounds[j]]))])
+            end = starts[j] if j < len(starts) else len(raw)
+            part = (np.append(starts[i:j], end) - starts[i]).astype(np.int32)
+            col = pa.Array.from_buffers(pa.string(), j - i, [None, pa.py_buffer(part), pa.py_buffer(np.ascontiguousarray(raw[starts[i] : end]))])
             coded = col.dictionary_encode()
-            slots = self._slots_of(coded.dictionary.to_pylist())
-            out.append(slots[coded.indices.to_numpy()])
+            out[i:j] = self._slots_of(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
             i = j
-        return np.concatenate(out), np.searchsorted(starts, off)
+        return out, np.searchsorted(starts, off)
 
     def ids(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's ids begin and end."""
@@ -131,11 +135,12 @@ class ChunkTable:
 
     def gather(self, slots: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         flat, ends = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.int64)
-        begin = ends[slots]
-        n = ends[slots + 1] - begin
-        after = np.concatenate([[0], np.cumsum(n)])
-        where = np.repeat(begin - after[:-1], n) + np.arange(after[-1])
-        out = flat[where]
+        after = np.concatenate([[0], np.cumsum((ends[1:] - ends[:-1])[slots])]).astype(np.int64)
+        out = np.empty(after[-1], np.uint32)
+        for i in range(0, len(slots), GATHER):
+            part = slots[i : i + GATHER]
+            own = after[i : i + len(part) + 1]
+            out[own[0] : own[-1]] = flat[np.repeat(ends[part] - own[:-1], np.diff(own)) + np.arange(own[0], own[-1])]
         del flat, ends  # the arrays cannot grow while they are looked at
         return out, after[at]
 
