@@ -69,6 +69,70 @@ def test_quality_dirty_source(spark):
     assert abs(quality.consistency(0.5) - 2.4566) < 1e-3 and quality.consistency(1.0) == 1
 
 
+def brute_quality(rows, limits):
+    """Verdicts of (text, language, source) rows by the method's definition, in numpy."""
+    every = [counts(t) for t, *_ in rows]
+    failed = np.array([n < limits.min_words or 100 * r > limits.repeat_percent * n for n, *_, r in every])
+    n, chars, symbols, lines, repeat = np.array(every, float).T
+    k = limits.prior_words
+    x = np.stack([np.log((chars + 5 * k) / (n + k)), np.sqrt((symbols + 0.01 * k) / (n + k)), np.sqrt((lines + repeat + 0.01 * k) / (n + k))], axis=1)
+    x = np.floor(x / limits.step + 0.5) * limits.step
+    floor = np.diag(np.array(limits.floor) ** 2)
+
+    def far(x, m, inverse):
+        return np.einsum("ni,ij,nj->n", x - m, inverse, x - m)
+
+    def estimate(x):
+        best = None
+        for q in limits.starts:
+            m, inverse, det = np.sort(x, axis=0)[max(int(np.ceil(q * len(x))), 1) - 1], np.linalg.inv(floor), np.inf
+            least = np.inf
+            while True:
+                bins = np.floor(quality.BINS * np.log2(far(x, m, inverse) + 2.0**-20))
+                h = (len(x) + 4) // 2
+                near = bins <= (np.sort(bins)[h - 1] if h <= len(x) else np.inf)
+                share = 100 * near.mean() - 50
+                low = int(min(max(share, 0), 50))
+                at = [quality.consistency(quality.SHARES[min(low + i, 50)]) for i in (0, 1)]
+                factor = at[0] + (min(max(share, 0), 50) - low) * (at[1] - at[0])
+                m = x[near].mean(axis=0)
+                c = factor * np.cov(x[near].T, ddof=0).reshape(3, 3) + floor
+                inverse, det = np.linalg.inv(c), np.linalg.det(c)
+                if not det < (1 - limits.falls) * least:
+                    break
+                least = min(least, det)
+            if best is None or det < best[0] * (1 - 1e-9):
+                best = det, m, inverse
+        return best[1:]
+
+    kept = ~failed
+    group = [(lang, source) for _, lang, source in rows]
+    for g in set(group):
+        own = np.array([i for i, o in enumerate(group) if o == g])
+        pool = own[~failed[own]]
+        if len(pool) < limits.min_group:
+            pool = np.array([i for i, o in enumerate(group) if o[0] == g[0] and not failed[i]], int)
+        if len(pool):
+            kept[own] &= far(x[own], *estimate(x[pool])) <= limits.cutoff
+    return kept.tolist()
+
+
+def test_quality_equals_brute_force(spark):
+    # Clean and dirty sources, a small source and a small language, all with odd texts.
+    rng = random.Random(8)
+    rows = []
+    for lang, source, n, dirt in (("en", "a", 150, 0.1), ("en", "b", 120, 0.4), ("en", "tiny", 12, 0.3), ("de", None, 90, 0.2), (None, "c", 5, 0.0), ("xx", "alone", 1, 0.0)):
+        for i in range(n):
+            text = prose(rng, rng.randrange(5, 150))
+            if rng.random() < dirt:
+                text = rng.choice([" ".join(w + "#" * rng.randrange(1, 9) for w in text.split()), " ".join(w * 6 for w in text.split()), "\n".join([text[:40]] * 3) + "\n" + text])
+            rows.append((len(rows), text, lang, source))
+    for limits in (quality.Limits(), quality.Limits(cutoff=12.0)):
+        got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame([(*r, 0) for r in rows], DOCS).repartition(7), limits).collect()}
+        assert got == dict(enumerate(brute_quality([r[1:] for r in rows], limits)))
+        assert 0 < sum(got.values()) < len(got) and got[len(rows) - 1] == (len(rows[-1][1].split()) >= 10)
+
+
 def test_simhash(spark):
     rng = random.Random(2)
     rows = []
@@ -166,16 +230,16 @@ def test_quality(spark):
     rows = [(100 + i, prose(rng, 80), "en", "s" if i % 3 else "t") for i in range(120)]
     rows += [(500, " ".join(f"{w}###" for w in prose(rng, 80).split()), "en", "s"), (501, "a b c d e f " * 5 + "\n\na\n a\na", "en", "s"), (502, "x\n" * 4, None, None)]
     frame = odd(spark, "distance", "kept").union(spark.createDataFrame([(i, t, lang, s, 0, "z", "z") for i, t, lang, s in rows], odd(spark, "distance", "kept").schema))
-    got = {(r["doc_id"], r["row"]): r for r in quality.judge(frame).collect()}
+    got = [(r["doc_id"], r) for r in quality.judge(frame).collect()]
     assert len(got) == frame.count()
     texts = {}
     for r in frame.select("doc_id", "text").collect():
         texts.setdefault(r["doc_id"], r["text"])
-    for (i, _), r in got.items():
+    for i, r in got:
         want = counts(texts[i])
         assert tuple(r[c] for c in quality.COUNTS) == want, i
         assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
-    kept = {i for (i, _), r in got.items() if r["kept"]}
+    kept = {i for i, r in got if r["kept"]}
     assert {i for i, *_ in rows[:120]} <= kept and not kept & {500, 501, 502}
     stay = quality.keep(frame)
     assert stay.columns == frame.columns and {r["doc_id"] for r in stay.collect()} == kept
