@@ -43,15 +43,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, map_arrow, row_id, text_of, written
+from .common import free_name, map_arrow, numbered, row_id, text_of, written
 
 BITS, SEED = 64, 42
 #: What a candidate pair costs, in probes: a popcount against a row that is shuffled
 #: and sorted. Pairs that are compared at a time.
 PAIR_COST, BLOCK = 0.03, 2_000_000
+#: Rows of a key that one task takes; beyond, they are dealt to blocks. Large keys that are broadcast at most.
+LARGE, BROADCAST = 16_384, 100_000
 #: One text in so many is looked at for frequent shingles, which are there so often,
 #: and no more than so many of them are told apart.
 SAMPLED, OFTEN, MOST = 16, 6, 1 << 17
@@ -98,9 +100,9 @@ def fingerprints(docs: list[list[bytes]], shingle: int, profiles: list[bytes] |
     return out
 
 
-def document_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, nodes: bool = False) -> DataFrame:
-    """``id, row, fp`` for every row; ``row`` is its place in the scan. With ``nodes``
-    also ``node``, a hash of the text's words, and its ``profile``."""
+def document_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, nodes: bool = False, row_col: str | None = None) -> DataFrame:
+    """``id, row, fp`` for every row; ``row`` is ``row_col``, or a number of this result
+    alone. With ``nodes`` also ``node``, a hash of the text's words, and its ``profile``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +113,7 @@ def document_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle:
                 cols |= {"node": pa.array(_nodes(words), pa.int64()), "profile": pa.array(profiles, pa.binary())}
             yield pa.RecordBatch.from_pydict(cols)
 
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), row_id().alias("row"), F.col(text_col).alias("text"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), (F.col(row_col) if row_col else row_id()).alias("row"), F.col(text_col).alias("text"))
     return map_arrow(keyed, run, "id long, row long, fp long" + ", node long, profile binary" * nodes)
 
 
@@ -269,28 +271,40 @@ def links(fps: DataFrame, found: Plan, tau: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64), pa.int64()), pa.array(fp.view(np.int64), pa.int64()), pa.array(filed.ravel(), pa.bool_())], names=["key", "fp", "filed"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, held = Forest(), []
-
-        def out(keys: np.ndarray, fps: np.ndarray, filed: np.ndarray) -> Iterator[pa.RecordBatch]:
-            edges = [e for block in _pairs(keys, fps, filed, tau) for e in block if forest.join(*e)]
+        forest = Forest()
+        for keys, fps, filed in _whole_keys(batches, ["key", "fp", "filed"]):
+            edges = [e for block in _pairs(keys, fps.view(np.uint64), filed, tau) for e in block if forest.join(*e)]
             if edges:
                 a, b = zip(*edges, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64), pa.int64()), pa.array(np.array(b, np.uint64).view(np.int64), pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    rows = written(map_arrow(fps, emit, "key long, fp long, filed boolean"), "signatures")
+    return map_arrow(_in_blocks(rows).repartition("key").sortWithinPartitions("key"), verify, "a long, b long")
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column("key").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("filed").to_numpy(zero_copy_only=False)]
-            held = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)] if held else cols
-            whole = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on
-            if whole:
-                yield from out(*(h[:whole] for h in held))
-                held = [h[whole:] for h in held]
-        if held:
-            yield from out(*held)
 
-    dealt = map_arrow(fps, emit, "key long, fp long, filed boolean").repartition("key").sortWithinPartitions("key")
-    return map_arrow(dealt, verify, "a long, b long")
+def _large(rows: DataFrame, *counts: F.Column) -> DataFrame | None:
+    """The (written) rows' keys that more than ``LARGE`` have, with their number ``many``
+    and further counts; None if there are none."""
+    large = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), *counts).where(F.col("many") > LARGE), "large-keys")
+    n = large.count()
+    return None if not n else F.broadcast(large) if n <= BROADCAST else large
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (``key, fp, filed``), those of large keys dealt to pairs of a block of
+    filed rows and a block of all rows: every filed row still meets every row."""
+    large = _large(rows, F.count_if("filed").alias("n_filed"))
+    if large is None:
+        return rows
+    n_filed, n_all = (F.ceil(F.col(c) / F.lit(LARGE)).cast("int") for c in ("n_filed", "many"))
+    n_filed = F.greatest(n_filed, F.lit(1))
+    own_filed, own = F.pmod(F.xxhash64("fp"), n_filed), F.pmod(F.xxhash64("fp", F.lit(1)), n_all)
+    cell = lambda f, p, filed: F.struct(F.xxhash64("key", f.cast("long"), p.cast("long")).alias("key"), filed.alias("filed"))
+    as_filed = F.transform(F.filter(F.sequence(F.lit(0), n_all - 1), lambda p: F.col("filed")), lambda p: cell(own_filed, p, F.lit(True)))
+    as_other = F.transform(F.filter(F.sequence(F.lit(0), n_filed - 1), lambda f: ~F.col("filed") | (f != own_filed)), lambda f: cell(f, own, F.lit(False)))
+    here = F.array(F.struct("key", "filed"))
+    dealt = rows.join(large, "key", "left").select("fp", F.explode(F.when(F.col("many").isNull(), here).otherwise(F.concat(as_filed, as_other))).alias("c"))
+    return dealt.select("c.key", "fp", "c.filed")
 
 
 def _pairs(keys: np.ndarray, fps: np.ndarray, filed: np.ndarray, tau: int) -> Iterator[list[tuple[int, int]]]:
@@ -345,7 +359,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(small_low, "b").select("m", "a", "b")
         hooked = small.select(F.col("m").alias("a"), "b").union(small.where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b")))
         now = written(hooked.distinct(), "links")
-        stat = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
+        stat = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
         if seen == tuple(stat):
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
         seen = tuple(stat)
@@ -403,8 +417,12 @@ def _candidates(frame: DataFrame, found: Plan, tau: int) -> DataFrame:
                 first = np.concatenate([[True], a[1:] != a[:-1]])
                 yield _as_pairs(a[first], b[first])
 
-    dealt = map_arrow(frame.select("fp", "node"), emit, "key long, fp long, node long, filed boolean").repartition("key").sortWithinPartitions("key")
-    return map_arrow(dealt, verify, "a long, b long").distinct()
+    rows = written(map_arrow(frame.select("fp", "node"), emit, "key long, fp long, node long, filed boolean"), "signatures")
+    large = _large(rows)
+    if large is not None:  # one partner is asked for, so a part of a large key will do
+        part = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / F.lit(LARGE)))
+        rows = rows.join(large, "key", "left").select(F.when(F.col("many").isNull(), F.col("key")).otherwise(F.xxhash64("key", part)).alias("key"), "fp", "node", "filed")
+    return map_arrow(rows.repartition("key").sortWithinPartitions("key"), verify, "a long, b long").distinct()
 
 
 def _blocks(keys: np.ndarray, filed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -441,7 +459,7 @@ def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64))
 
 
-def _frequent(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(docs: DataFrame, text_col: str, row_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are often in a sample of the texts, sorted, and their counts there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,7 +467,7 @@ def _frequent(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray,
             for t in text_of(batch).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.encode().lower().split(), shingle), pa.int64())], names=["key"])
 
-    some = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64(row_id()), F.lit(SAMPLED)) == 0)
+    some = docs.where(F.pmod(F.xxhash64(row_col), F.lit(SAMPLED)) == 0).select(F.col(text_col).alias("text"))
     counts = map_arrow(some, run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
     found = counts.orderBy(F.desc("n"), "key").limit(MOST).toPandas()
     keys, n = found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
@@ -470,10 +488,21 @@ def prefix(own: np.ndarray, keys: np.ndarray, n: np.ndarray, similarity: float)
     return own[:many]
 
 
-def _postings(docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """``key, node, size, place`` of the prefix shingles that several texts have."""
-    keys, n = _frequent(docs, text_col, shingle)
-    names = ["key", "node", "size", "place"]
+def _postings(docs: DataFrame, text_col: str, row_col: str, shingle: int, similarity: float) -> tuple[DataFrame, np.ndarray]:
+    """``key, part, node, size, place`` of the prefix shingles that several texts have, and the split keys.
+    ``part`` is the key, but for a shingle that the sample says is very frequent: its
+    texts are dealt to several parts."""
+    keys, n = _frequent(docs, text_col, row_col, shingle)
+    large = n * SAMPLED > LARGE
+    large_keys, parts = keys[large], (-(-n[large] * SAMPLED // LARGE)).astype(np.uint64)
+    names = ["key", "part", "node", "size", "place"]
+
+    def part_of(key: np.ndarray, node: np.ndarray) -> np.ndarray:
+        if not len(large_keys):
+            return key
+        at = np.minimum(np.searchsorted(large_keys, key), len(large_keys) - 1)
+        salt = np.where(large_keys[at] == key, _mixed(node.view(np.uint64), 1) % parts[at], np.uint64(0))
+        return np.where(salt > 0, _mixed(key.view(np.uint64) + salt, 2).view(np.int64), key)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -484,24 +513,26 @@ def _postings(docs: DataFrame, text_col: str, shingle: int, similarity: float) -
                     continue
                 firsts = [prefix(x, keys, n, similarity) for x in sets]
                 many = [len(x) for x in firsts]
-                cols = [np.concatenate(firsts), np.repeat(_nodes(words[i : i + 200]), many), np.repeat([len(x) for x in sets], many), np.concatenate([np.arange(m) for m in many])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=names)
+                key, node = np.concatenate(firsts), np.repeat(_nodes(words[i : i + 200]), many)
+                cols = [key, part_of(key, node), node, np.repeat([len(x) for x in sets], many), np.concatenate([np.arange(m) for m in many])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=names)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in _whole_keys(batches, names):
-            order = np.lexsort((cols[1], cols[0]))
-            key, node = cols[0][order], cols[1][order]
-            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])  # rows of a text once
-            order, key = order[fresh], key[fresh]
-            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.append(begin, len(key)))
-            order = order[np.repeat(size > 1, size)]
+        for part, key, *rest in _whole_keys(batches, ["part", "key", "node", "size", "place"]):
+            cols = [key, part, *rest]
+            order = np.lexsort((cols[2], part))
+            part, node = part[order], cols[2][order]
+            fresh = np.concatenate([[True], (part[1:] != part[:-1]) | (node[1:] != node[:-1])])  # rows of a text once
+            order, part = order[fresh], part[fresh]
+            begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            size = np.diff(np.append(begin, len(part)))
+            order = order[np.repeat(size > 1, size) | np.isin(cols[0][order], large_keys)]
             if len(order):
                 yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in cols], names=names)
 
-    schema = "key long, node long, size int, place int"
-    dealt = map_arrow(docs.select(F.col(text_col).alias("text")), emit, schema).repartition("key").sortWithinPartitions("key")
-    return written(map_arrow(dealt, shared, schema), "postings")
+    schema = "key long, part long, node long, size int, place int"
+    dealt = map_arrow(docs.select(F.col(text_col).alias("text")), emit, schema).repartition("part").sortWithinPartitions("part")
+    return written(map_arrow(dealt, shared, schema), "postings"), large_keys
 
 
 def _may_be(size: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
@@ -511,41 +542,61 @@ def _may_be(size: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.nda
     return most >= similarity * (a + b - most) - 1e-9
 
 
-def _hubs(postings: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a, b`` of each text with one other of each of its keys: of four in a uniform group."""
+def _hubs(postings: DataFrame, large_keys: np.ndarray, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of each text with one other of each of its keys' parts (of four in a
+    uniform group), and of the parts' hubs in a chain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, size, place in _whole_keys(batches, ["key", "node", "size", "place"]):
-            order = np.lexsort((_mixed(node.view(np.uint64) + (key & 3).view(np.uint64), 0), key))
-            key, node, size, place = (c[order] for c in (key, node, size, place))
-            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            hub = np.repeat(begin, np.diff(np.append(begin, len(key))))
-            row = np.flatnonzero(hub != np.arange(len(key)))
+        for part, key, node, size, place in _whole_keys(batches, ["part", "key", "node", "size", "place"]):
+            order = np.lexsort((_mixed(node.view(np.uint64) + (key & 3).view(np.uint64), 0), part))
+            part, key, node, size, place = (c[order] for c in (part, key, node, size, place))
+            begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            hub = np.repeat(begin, np.diff(np.append(begin, len(part))))
+            row = np.flatnonzero(hub != np.arange(len(part)))
             row = row[_may_be(size, place, hub[row], row, similarity)]
             if len(row):
-                yield _as_pairs(node[hub[row]], node[row])
+                pairs = _as_pairs(node[hub[row]], node[row])
+                yield pa.RecordBatch.from_arrays([*pairs.columns, pa.nulls(len(pairs), pa.int64())], names=["a", "b", "key"])
+            split = begin[np.isin(key[begin], large_keys)]
+            if len(split):  # a hub of a split key, as a pair of itself
+                yield pa.RecordBatch.from_arrays([pa.array(node[split]), pa.array(node[split]), pa.array(key[split])], names=["a", "b", "key"])
 
-    return map_arrow(postings.repartition("key").sortWithinPartitions("key"), run, "a long, b long").distinct()
+    found = written(map_arrow(postings.repartition("part").sortWithinPartitions("part"), run, "a long, b long, key long"), "hubs")
+    hubs = Window.partitionBy("key").orderBy("a")
+    chain = found.where("a = b").select("a", F.lead("a").over(hubs).alias("b")).where("b IS NOT NULL AND a != b")
+    return found.where("a != b").select("a", "b").union(chain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def _unjoined(postings: DataFrame, similarity: float) -> DataFrame:
-    """All pairs ``a, b`` of texts that share a key and have different labels."""
+    """All pairs ``a, b`` of texts that share a key and have different labels. Rows of a
+    large key are dealt to pairs of blocks (``side`` 0 and 1; 2 within a block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, label, node, size, place in _whole_keys(batches, ["key", "label", "node", "size", "place"]):
-            order = np.lexsort((label, key))
-            key, label, node, size, place = (c[order] for c in (key, label, node, size, place))
+        for key, label, node, size, place, side in _whole_keys(batches, ["key", "label", "node", "size", "place", "side"]):
+            order = np.lexsort((label, side, key))
+            key, label, node, size, place, side = (c[order] for c in (key, label, node, size, place, side))
             new = np.concatenate([[True], key[1:] != key[:-1]])
             begin = np.flatnonzero(new)
-            end = np.repeat(np.append(begin[1:], len(key)), np.diff(np.append(begin, len(key))))
-            run_ = np.flatnonzero(new | np.concatenate([[True], label[1:] != label[:-1]]))
-            after = np.repeat(np.append(run_[1:], len(key)), np.diff(np.append(run_, len(key))))
-            for left, right in _ranges(after, end - after):
-                ok = _may_be(size, place, left, right, similarity)
+            many = np.diff(np.append(begin, len(key)))
+            end = np.repeat(begin + many, many)
+            runs = np.flatnonzero(new | np.concatenate([[True], (label[1:] != label[:-1]) | (side[1:] != side[:-1])]))
+            after = np.repeat(np.append(runs[1:], len(key)), np.diff(np.append(runs, len(key))))
+            other = np.repeat(begin + np.add.reduceat((side == 0).astype(np.int64), begin), many)  # where side 1 begins
+            first = np.where(side == 2, after, other)
+            for left, right in _ranges(first, np.where(side == 1, 0, end - first)):
+                ok = _may_be(size, place, left, right, similarity) & (label[left] != label[right])
                 if ok.any():
                     yield _as_pairs(node[left[ok]], node[right[ok]])
 
-    return map_arrow(postings.repartition("key").sortWithinPartitions("key"), run, "a long, b long").distinct()
+    large = _large(postings)
+    rows = postings.withColumn("side", F.lit(2))
+    if large is not None:
+        n = F.ceil(F.col("many") / F.lit(LARGE)).cast("int")
+        own = F.pmod(F.xxhash64("node"), n).cast("int")
+        cells = F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct(F.xxhash64("key", F.least(own, x), F.greatest(own, x)).alias("key"), F.when(own == x, 2).when(own < x, 0).otherwise(1).alias("side")))
+        here = F.array(F.struct(F.col("key"), F.lit(2).alias("side")))
+        rows = postings.join(large, "key", "left").select("label", "node", "size", "place", F.explode(F.when(F.col("many").isNull(), here).otherwise(cells)).alias("c")).select("c.key", "label", "node", "size", "place", "c.side")
+    return map_arrow(rows.repartition("key").sortWithinPartitions("key"), run, "a long, b long").distinct()
 
 
 def _possible(edges: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -562,7 +613,7 @@ def _possible(edges: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return map_arrow(edges.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def _shingle_sets(docs: DataFrame, reps: DataFrame, text_col: str, shingle: int) -> DataFrame:
+def _shingle_sets(docs: DataFrame, reps: DataFrame, text_col: str, row_col: str, shingle: int) -> DataFrame:
     """``node, shingles``: the sorted distinct hashes of each text of ``reps``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -570,7 +621,7 @@ def _shingle_sets(docs: DataFrame, reps: DataFrame, text_col: str, shingle: int)
             sets = [shingle_set(t.encode().lower().split(), shingle) for t in text_of(batch).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    rows = docs.select(row_id().alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
     return map_arrow(rows.join(reps, "row").select("node", "text"), run, "node long, shingles array<long>")
 
 
@@ -594,38 +645,38 @@ def _similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return map_arrow(edges.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def similar_links(docs: DataFrame, texts: DataFrame, tau: int, text_col: str, shingle: int, similarity: float) -> DataFrame:
+def similar_links(docs: DataFrame, texts: DataFrame, tau: int, text_col: str, row_col: str, shingle: int, similarity: float) -> DataFrame:
     """Links of distinct texts (``node, fp, row, profile``) that keep every component of the graph
     of all pairs of the similarity or more."""
     n, both = bit_counts(texts.select("fp"))
-    postings = _postings(docs, text_col, shingle, similarity)
-    first = _candidates(texts, plan(n, both, tau), tau).union(_hubs(postings, similarity)).distinct()
+    postings, large_keys = _postings(docs, text_col, row_col, shingle, similarity)
+    first = _candidates(texts, plan(n, both, tau), tau).union(_hubs(postings, large_keys, similarity)).distinct()
     first = written(_possible(first, texts, similarity), "candidates")
 
     def verified(edges: DataFrame) -> DataFrame:
         some = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-        sets = written(_shingle_sets(docs, texts.join(some, "node").select("row", "node"), text_col, shingle), "shingles")
+        sets = written(_shingle_sets(docs, texts.join(some, "node").select("row", "node"), text_col, row_col, shingle), "shingles")
         return written(_similar(edges, sets, similarity), "similar")
 
     good = verified(first)
     roots = components(good)
-    labelled = postings.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("label"), "node", "size", "place")
+    labelled = written(postings.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("label"), "node", "size", "place"), "labelled")
     rest = written(_possible(_unjoined(labelled, similarity).join(first, ["a", "b"], "left_anti"), texts, similarity), "candidates")
     return good.union(verified(rest))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tau: int = 3, similarity: float | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tau: int = 3, similarity: float | None = None, row_col: str | None = None) -> DataFrame:
     """``id, row, fp, component_id`` for every row; fp as a long. Nodes are fingerprints,
-    or distinct texts where a similarity is asked for."""
+    or distinct texts where a similarity is asked for, which needs a ``row_col`` of data."""
     node = "fp" if similarity is None else "node"
-    own = written(document_fingerprints(docs, id_col, text_col, shingle, nodes=similarity is not None), "fingerprints")
+    own = written(document_fingerprints(docs, id_col, text_col, shingle, similarity is not None, row_col), "fingerprints")
     if similarity is None:
         nodes = written(own.groupBy("fp").agg(F.min("id").alias("least_id")), "distinct-fingerprints")
         n, both = bit_counts(nodes.select("fp"))
         edges = links(nodes.select("fp"), plan(n, both, tau), tau)
     else:
         nodes = written(own.groupBy("node").agg(F.min("fp").alias("fp"), F.min("row").alias("row"), F.min("id").alias("least_id"), F.first("profile").alias("profile")), "distinct-texts")
-        edges = similar_links(docs, nodes.select("node", "fp", "row", "profile"), tau, text_col, shingle, similarity)
+        edges = similar_links(docs, nodes.select("node", "fp", "row", "profile"), tau, text_col, row_col, shingle, similarity)
     roots = components(edges).select(F.col("node").alias("of"), "root")
     rooted = nodes.join(roots, nodes[node] == roots["of"], "left").select(node, "least_id", F.coalesce("root", node).alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -644,7 +695,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     By default near copies are all texts that share 0.8 or more of their five-word
     shingles; ``tau`` bits bound the first candidates alone, unless there is no similarity."""
     (row,) = free_name(docs, "row")
-    groups = near_groups(docs, id_col, text_col, shingle, tau, similarity)
+    rows = numbered(docs, row)
+    groups = near_groups(rows, id_col, text_col, shingle, tau, similarity, row)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row")).alias("k"))
     stay = first.select(F.col("k.row").alias(row))
-    return docs.withColumn(row, row_id()).join(stay, row, "left_semi").select(*docs.columns)
+    return rows.join(stay, row, "left_semi").select(*docs.columns)

@@ -133,7 +133,9 @@ def test_quality_equals_brute_force(spark):
         assert 0 < sum(got.values()) < len(got) and got[len(rows) - 1] == (len(rows[-1][1].split()) >= 10)
 
 
-def test_simhash(spark):
+@pytest.mark.parametrize("large", [8, 16_384])
+def test_simhash(spark, monkeypatch, large):
+    monkeypatch.setattr(simhash, "LARGE", large)
     rng = random.Random(2)
     rows = []
     for i in range(40):
@@ -171,8 +173,12 @@ def test_simhash(spark):
     assert simhash.near_groups(empty(spark)).count() == 0
 
 
-def test_similar_at_any_distance(spark):
-    # Components of all pairs with the similarity, however far their fingerprints are.
+@pytest.mark.parametrize("large", [8, 16_384])
+def test_similar_at_any_distance(spark, monkeypatch, large):
+    # Components of all pairs with the similarity, however far their fingerprints are,
+    # also where the rows of a key are dealt to several tasks.
+    monkeypatch.setattr(simhash, "LARGE", large)
+    monkeypatch.setattr(simhash, "SAMPLED", 16 if large > 8 else 1)
     rng = random.Random(11)
     rows = []
     for i in range(60):
@@ -199,21 +205,45 @@ def test_similar_at_any_distance(spark):
     assert far > 10
     assert {r["doc_id"] for r in simhash.deduplicate(docs(spark, rows)).collect()} == {min(g) for g in group.values()}
     # Two texts of one fingerprint are a candidate pair, not one node.
+    base = prose(rng, 100)
+    rows = [(i, f"{base} {prose(rng, 2)}") for i in range(60)]
+    assert [r["doc_id"] for r in simhash.deduplicate(docs(spark, rows)).collect()] == [0]
     frame = spark.createDataFrame([(1, 5), (2, 5)], "node long, fp long")
     assert [tuple(r) for r in simhash._candidates(frame, simhash.Plan((tuple(range(64)),), (0,), 0.0), 0).collect()] == [(1, 2)]
 
 
-def test_simhash_dense_group(spark):
+@pytest.mark.parametrize("large", [50, 16_384])
+def test_simhash_dense_group(spark, monkeypatch, large):
+    monkeypatch.setattr(simhash, "LARGE", large)
     # One group of near fingerprints: links stay, pairs are not all returned.
     fps = [0] + [1 << i for i in range(64)] + [(1 << i) | (1 << j) for i in range(20) for j in range(i)]
     frame = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
     n, both = simhash.bit_counts(frame)
     edges = simhash.links(frame, simhash.plan(n, both, 3), 3)
-    assert edges.count() <= 4 * 4 * len(fps)
+    assert edges.count() <= 4 * 4 * len(fps) or large < 100
     roots = simhash.components(edges)
     assert roots.select("root").distinct().count() == 1 and roots.count() == len(fps) - 1
 
 
+def test_rows_of_any_frame(spark):
+    # Decisions meet the rows they were made for, however the frame is dealt when it is read again.
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randrange(20, 60)) for _ in range(150)]
+    rows = [(i, texts[i % 150] if i < 200 else f"{texts[i % 150]} token=abcdefgh{i}" if i < 250 else f"{texts[i % 150]} {'#' * 900}", rng.choice("abc"), rng.choice("st"), i) for i in range(300)]
+    plain = spark.createDataFrame(rows, DOCS)
+    other = spark.createDataFrame([(x,) for x in "abc"], "lang string")
+    frames = [plain, plain.repartition("lang", "source"), plain.repartition(16), plain.join(other, "lang").select(*plain.columns)]
+    want = None
+    for frame in frames:
+        kept = [sorted(r["doc_id"] for r in f(frame).collect()) for f in (exact.deduplicate, quality.keep, simhash.deduplicate)]
+        clean = sorted((r["doc_id"], r["text"]) for r in secrets.redact(frame).collect())
+        assert len(kept[0]) == 250 and not any("abcdefgh" in t for _, t in clean) and len(clean) == 300
+        want = want or (kept, clean)
+        assert want == (kept, clean)
+    groups = Counter(t for _, t, *_ in rows)
+    assert want[0][0] == sorted(max(i for i, t, *_ in rows if t == text) for text in groups)
+
+
 def counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
