@@ -15,10 +15,11 @@ import numpy as np
 
 @dataclass(frozen=True)
 class Shape:
-    """``window`` tokens are seen at once; windows begin every ``stride`` tokens."""
+    """``window`` tokens are seen at once; in scoring, windows begin every ``stride``
+    tokens, so that a token behind a text's first window sees ``window - stride`` or more."""
 
     window: int = 32
-    stride: int = 26
+    stride: int = 24
     width: int = 16
     hidden: int = 32
     classes: int = 64
@@ -65,53 +66,79 @@ def begin(vocab: Vocabulary, shape: Shape, seed: int = 7) -> dict[str, np.ndarra
     }
 
 
-def forward(w: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray]:
-    """``rows``: input rows of windows, (batch, length). Gives log P(class), and what backward needs."""
-    n, d = rows.shape[1], w["q"].shape[0]
-    x = w["embed"][rows] + w["place"][:n]
-    q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
-    s = (q @ k.transpose(0, 2, 1)) * np.float32(d**-0.5)
-    s += np.triu(np.full((n, n), -1e9, np.float32), 1)  # no token sees a later one
-    s -= s.max(axis=2, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
-    a = s @ v
-    y = x + a @ w["o"]
-    h = np.maximum(y @ w["up"] + w["up_b"], 0)
-    z = y + h @ w["down"]
-    logits = z @ w["out"] + w["out_b"]
-    logits -= logits.max(axis=2, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
-    return {"x": x, "q": q, "k": k, "v": v, "s": s, "a": a, "y": y, "h": h, "z": z, "logp": logits}
+#: Exponents within this bound are taken as they are; beyond it each row's largest is taken off first.
+SAFE = 60.0
 
 
-def backward(w: dict[str, np.ndarray], rows: np.ndarray, f: dict[str, np.ndarray], cls: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the weighted mean of -log P(class)."""
-    d = w["q"].shape[0]
-    b, n = rows.shape
-    flat = lambda t: t.reshape(b * n, -1)
-    g: dict[str, np.ndarray] = {}
-    gl = np.exp(f["logp"])
-    gl[np.arange(b)[:, None], np.arange(n)[None], cls] -= 1
-    gl *= (weight / max(weight.sum(), 1))[:, :, None].astype(np.float32)
-    g["out"], g["out_b"] = flat(f["z"]).T @ flat(gl), flat(gl).sum(axis=0)
+def _exp(s: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+    """Exponentials in place, zero where the mask is, and the sums of the last axis. Rows
+    may lose a common factor, which makes no difference to their shares."""
+    if s.size and (s.max() > SAFE or s.min() < -SAFE):
+        if mask is not None:
+            s += np.where(mask > 0, np.float32(0), np.float32(-1e30))
+        s -= s.max(axis=-1, keepdims=True)
+    np.exp(s, out=s)
+    if mask is not None:
+        s *= mask
+    return s @ np.ones(s.shape[-1], s.dtype)
+
+
+def step(w: dict[str, np.ndarray], rows: np.ndarray, cls: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The weighted mean of -log P(class) over windows of input rows (batch, length),
+    and its gradients."""
+    (b, n), d = rows.shape, w["q"].shape[0]
+    kind, scale, m = w["q"].dtype, w["q"].dtype.type(d**-0.5), b * n
+    mask = np.tril(np.ones((n, n), kind))  # no token sees a later one
+    qkv = np.concatenate([w["q"] * scale, w["k"], w["v"]], axis=1)
+    x = w["embed"][rows]
+    x += w["place"][:n]
+    flat = x.reshape(m, d)
+    p = (flat @ qkv).reshape(b, n, 3 * d)
+    q, k, v = p[:, :, :d], p[:, :, d : 2 * d], p[:, :, 2 * d :]
+    s = q @ k.transpose(0, 2, 1)
+    s /= _exp(s, mask)[:, :, None]
+    a = (s @ v).reshape(m, d)
+    y = flat + a @ w["o"]
+    h = y @ w["up"]
+    h += w["up_b"]
+    np.maximum(h, 0, out=h)
+    z = y + h @ w["down"]
+    gl = z @ w["out"]
+    gl += w["out_b"]
+    at, share = np.arange(m), (weight.ravel() / max(weight.sum(), 1)).astype(kind)
+    cls = cls.ravel()
+    top = gl[at, cls].copy()
+    largest = gl.max(axis=1) if m and (gl.max() > SAFE or gl.min() < -SAFE) else np.zeros(m, kind)
+    total = _exp(gl)
+    loss = float(-(share * (top - largest - np.log(total))).sum())
+    gl *= (share / total)[:, None]
+    gl[at, cls] -= share
+    g: dict[str, np.ndarray] = {"out": z.T @ gl, "out_b": np.ones(m, kind) @ gl}
     gz = gl @ w["out"].T
-    g["down"] = flat(f["h"]).T @ flat(gz)
-    gh = (gz @ w["down"].T) * (f["h"] > 0)
-    g["up"], g["up_b"] = flat(f["y"]).T @ flat(gh), flat(gh).sum(axis=0)
-    gy = gz + gh @ w["up"].T
-    g["o"] = flat(f["a"]).T @ flat(gy)
-    ga = gy @ w["o"].T
-    gs, gv = ga @ f["v"].transpose(0, 2, 1), f["s"].transpose(0, 2, 1) @ ga
-    gs = f["s"] * (gs - (gs * f["s"]).sum(axis=2, keepdims=True)) * np.float32(d**-0.5)
-    gq, gk = gs @ f["k"], gs.transpose(0, 2, 1) @ f["q"]
-    g["q"], g["k"], g["v"] = (flat(f["x"]).T @ flat(t) for t in (gq, gk, gv))
-    gx = gy + gq @ w["q"].T + gk @ w["k"].T + gv @ w["v"].T
+    g["down"] = h.T @ gz
+    gh = gz @ w["down"].T
+    gh *= h > 0
+    g["up"], g["up_b"] = y.T @ gh, np.ones(m, kind) @ gh
+    gz += gh @ w["up"].T
+    g["o"] = a.T @ gz
+    ga = (gz @ w["o"].T).reshape(b, n, d)
+    gp = np.empty_like(p)
+    np.matmul(s.transpose(0, 2, 1), ga, out=gp[:, :, 2 * d :])
+    gs = ga @ v.transpose(0, 2, 1)
+    gs *= s
+    s *= (gs @ np.ones(n, kind))[:, :, None]
+    gs -= s
+    np.matmul(gs, k, out=gp[:, :, :d])
+    np.matmul(gs.transpose(0, 2, 1), q, out=gp[:, :, d : 2 * d])
+    gp = gp.reshape(m, 3 * d)
+    gw = flat.T @ gp
+    g["q"], g["k"], g["v"] = gw[:, :d] * scale, gw[:, d : 2 * d], gw[:, 2 * d :]
+    gz += gp @ qkv.T
     g["place"] = np.zeros_like(w["place"])
-    g["place"][:n] = gx.sum(axis=0)
+    g["place"][:n] = gz.reshape(b, n, d).sum(axis=0)
     slots = (rows.reshape(-1, 1) * d + np.arange(d)).ravel()
-    g["embed"] = np.bincount(slots, weights=gx.ravel(), minlength=w["embed"].size).reshape(w["embed"].shape).astype(w["embed"].dtype)
-    return g
+    g["embed"] = np.bincount(slots, weights=gz.ravel(), minlength=w["embed"].size).reshape(w["embed"].shape).astype(kind)
+    return loss, g
 
 
 class Adam:
@@ -139,11 +166,10 @@ def windows(at: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def log_class(w: dict[str, np.ndarray], q: np.ndarray, kv: np.ndarray, mask: np.ndarray, rows: np.ndarray, cls: np.ndarray, first: int) -> np.ndarray:
-    """log P(class) of the targets from ``first`` on: ``forward`` with fewer passes
+    """log P(class) of the targets from ``first`` on: what ``step`` learns, with fewer passes
     over memory, and nothing but keys and values for what is context alone.
 
-    ``q``: scaled queries; ``kv``: keys and values side by side. Exponents are
-    bounded before they are taken, as weights of a trained model keep them small.
+    ``q``: scaled queries; ``kv``: keys and values side by side.
     """
     (b, n), d, m = rows.shape, w["q"].shape[0], rows.shape[1] - first
     x = w["embed"][rows]
@@ -151,11 +177,9 @@ def log_class(w: dict[str, np.ndarray], q: np.ndarray, kv: np.ndarray, mask: np.
     p = (x.reshape(b * n, d) @ kv).reshape(b, n, 2 * d)
     y = np.ascontiguousarray(x[:, first:]).reshape(b * m, d)
     s = (y @ q).reshape(b, m, d) @ p[:, :, :d].transpose(0, 2, 1)
-    np.minimum(s, 60, out=s)
-    np.exp(s, out=s)
-    s *= mask[first:n, :n]
+    total = _exp(s, mask[first:n, :n])
     a = s @ p[:, :, d:]
-    a /= s.sum(axis=2, keepdims=True)
+    a /= total[:, :, None]
     y += a.reshape(b * m, d) @ w["o"]
     h = y @ w["up"]
     h += w["up_b"]
@@ -163,11 +187,11 @@ def log_class(w: dict[str, np.ndarray], q: np.ndarray, kv: np.ndarray, mask: np.
     y += h @ w["down"]
     logits = y @ w["out"]
     logits += w["out_b"]
-    if logits.max() > 60:
+    if logits.size and (logits.max() > SAFE or logits.min() < -SAFE):
         logits -= logits.max(axis=1, keepdims=True)
     target = logits[np.arange(b * m), cls.ravel()]
     np.exp(logits, out=logits)
-    return (target - np.log(logits.sum(axis=1))).reshape(b, m)
+    return (target - np.log(logits @ np.ones(logits.shape[1], logits.dtype))).reshape(b, m)
 
 
 def log10_probability(w: dict[str, np.ndarray], vocab: Vocabulary, ids: np.ndarray, at: np.ndarray, shape: Shape, size: int = 128) -> np.ndarray:

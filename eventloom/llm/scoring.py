@@ -1,172 +1,285 @@
 """Scores of texts by language models of the corpus.
 
-Two models learn from the documents that are not held out. The base is a smoothed
-unigram of words: counts over all training documents are summed by word, and
-blocks of documents (consecutive rows of the scan) get back the counts of their
-own distinct words, so that neither a vocabulary nor the occurrences ever gather
-in one place. The method is the causal self-attention model of ``attention``:
-
-* it reads a text as the base does, words in lower case, and each distinct word is
-  cut into pieces once, next to its count; the blocks get both back;
-* piece counts over all training documents (words' pieces by words' counts) give its
-  classes;
-* every training document, with all its windows, is learned from, in one of the rounds;
-* in each round every task runs Adam on its documents from the same weights, and the
-  weights are averaged;
-* a text's score is the sum over its pieces and its end, each scored in one of the
+Two models learn from the documents that are not held out: the base, a smoothed unigram
+of words, and the causal self-attention model of ``attention`` over subword ids. Texts
+are read once, and in blocks of bounded bytes:
+
+* A block is a row: its documents as places in the list of its distinct words, the
+  words' pieces, and which documents are held out. Each word is cut into pieces once a
+  block, or less where the worker's table knows it.
+* A block's distinct words and their counts in training documents go to buckets by hash,
+  a row for each bucket of a block, so that no word's rows gather under one key. A bucket
+  adds up its words over all blocks and gives each block its words' counts back.
+* Piece counts over all training documents give the model its classes. Every training
+  document is learned from with all its tokens, in one of the rounds: in each, every task
+  runs Adam from the same weights over windows that follow each other, and the weights
+  are averaged by tokens. Weights, and so scores, depend on how blocks are dealt to tasks.
+* A text's score is the sum over its pieces and its end, each scored in one of the
   overlapping windows.
 
 Defined cases: a null or empty text is the end alone; the fold of a null doc_id is
 that of the empty text; repeated rows are each scored and each learned from; with
-no training documents all counts are zero; an empty table gives no rows; only the
-id and text columns are read.
+no training documents all counts are zero and the weights stay where they begin; a very
+long text is a block of its own; an empty table gives no rows; only the id and text
+columns are read.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 from math import log10
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import map_arrow, row_id, text_of, written
+from .chunks import ChunkTable, flat, with_end
+from .common import bytes_of, map_arrow, text_of, written
 from .marked import piece_encoder
 
-#: Rows of the scan in a block, as a power of two; rounds of training, windows in a step, its size.
-BLOCK_BITS, ROUNDS, BATCH, RATE = 12, 3, 128, 0.01
+#: Bytes of text in a block; bytes of all texts to a bucket of words; rounds of training,
+#: windows in a step, its size; sums that meet before the driver adds them up.
+BLOCK_BYTES, BUCKET_BYTES, ROUNDS, BATCH, RATE, SUMS = 8 << 20, 32 << 20, 3, 128, 0.01, 16
 #: The folds that documents are dealt into, and the one that is held out.
 FOLDS, HELD_OUT = 5, 1
 
-
-def words_of(text: str) -> list[bytes]:
-    """Words in lower case (A-Z); the end has the empty word."""
-    words = text.encode().lower().split()
-    words.append(b"")
-    return words
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 
 
 def held_out(ids: pa.Array) -> np.ndarray:
     return np.array([zlib.crc32(("" if i is None else str(i)).encode()) % FOLDS == HELD_OUT for i in ids.to_pylist()], bool)
 
 
-def block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``word, block, n``: a block's distinct words, with their counts in training documents."""
-    block, found = None, {}
-
-    def out() -> Iterator[pa.RecordBatch]:
-        words = list(found)
-        for i in range(0, len(words), 100_000):
-            part = words[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(np.full(len(part), block), pa.int64()), pa.array([found[w] for w in part], pa.int64())], names=["word", "block", "n"])
-
-    for batch in batches:
-        blocks = batch.column("row").to_numpy() >> BLOCK_BITS
-        out_of = held_out(batch.column("id"))
-        for b, out_, text in zip(blocks.tolist(), out_of.tolist(), text_of(batch).to_pylist(), strict=True):
-            if b != block:
-                if found:
-                    yield from out()
-                block, found = b, {}
-            if out_:
-                for w in words_of(text):
-                    if w not in found:
-                        found[w] = 0
-            else:
-                for w, n in Counter(words_of(text)).items():
-                    found[w] = found.get(w, 0) + n
-    if found:
-        yield from out()
-
-
-def pieces_of(enc, words: list[str]) -> list[list[int]]:
-    """The pieces of each word; the empty word is the end."""
-    coded = enc.sp.encode(words, num_threads=1)
-    end = [enc.sp.eos_id()]
-    return [ids if w else end for w, ids in zip(words, coded, strict=True)]
-
-
-def with_pieces(known: DataFrame, model: str) -> DataFrame:
-    """``word, block, n, c, first`` with the word's pieces; rows of a word are adjacent."""
+def words_of(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The words of all texts in lower case (A-Z), and where each text's begin and end."""
+    raw, off = bytes_of(texts)
+    solid = ~_SPACE[raw]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    begins = off[:-1][off[:-1] < len(raw)]
+    first[begins] = solid[begins]
+    # Words stand one after the other once the spaces are gone.
+    kept = np.ascontiguousarray(_LOWER[raw[solid]])
+    starts = np.flatnonzero(first[solid])
+    words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(np.append(starts, len(kept)).astype(np.int32)), pa.py_buffer(kept)])
+    return words, np.searchsorted(np.flatnonzero(first), off)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+_TABLES: dict[str, ChunkTable] = {}
+
+
+def word_pieces(model: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of all words, one after the other, and where each word's begin and end;
+    the worker's table keeps words of earlier blocks."""
+    if model not in _TABLES:
         enc = piece_encoder(model)
+        _TABLES[model] = ChunkTable(lambda new: (new, *flat(enc.sp.encode(new, num_threads=1))), None)
+    table = _TABLES[model]
+    if len(table.slots) > table.max_chunks or table.held > table.max_bytes:
+        table.clear()
+    return table.gather(table._slots_of(words), np.arange(len(words) + 1))
+
+
+BLOCKS = "block long, bucket int, words binary, counts binary, ids binary, held binary, sizes binary, places binary, ends binary, pieces binary, piece_counts binary"
+_NULL = -(1 << 63)
+
+
+def blocks_of(docs: DataFrame, model: str, buckets: int) -> DataFrame:
+    """Rows of three kinds: blocks (``bucket`` null), the words of a block that go to a
+    bucket, and a task's piece counts (``block`` null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        enc, number = piece_encoder(model), TaskContext.get().partitionId() << 32
+        counted = np.zeros(enc.sp.vocab_size(), np.int64)
+        names = [x.split()[0] for x in BLOCKS.split(", ")]
+        kinds = {"block": pa.int64(), "bucket": pa.int32()}
+
+        def rows(n: int, **cols) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(cols[c], kinds.get(c, pa.binary())) if c in cols else pa.nulls(n, kinds.get(c, pa.binary())) for c in names], names=names)
+
+        def block(ids: list[pa.Array], texts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            ids, texts = pa.concat_arrays(ids), pa.concat_arrays(texts)
+            words, at = words_of(texts)
+            coded = words.dictionary_encode()
+            distinct, places = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int32)
+            # Words in the order of their buckets.
+            bucket = np.fromiter((zlib.crc32(x.encode()) % buckets for x in distinct), np.int64, len(distinct))
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            distinct, bucket, places = [distinct[i] for i in order.tolist()], bucket[order], place[places]
+            held, sizes = held_out(ids), np.diff(at)
+            learned = np.repeat(~held, sizes)
+            n = np.bincount(places[learned], minlength=len(distinct)).astype("<i8")
+            begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+            for i in range(0, len(begin), 1000):
+                part = begin[i : i + 1000].tolist()
+                to = [*part[1:], int(begin[i + 1000]) if i + 1000 < len(begin) else len(distinct)]
+                yield rows(len(part), block=[number] * len(part), bucket=bucket[part], words=[" ".join(distinct[a:b]).encode() for a, b in zip(part, to, strict=True)], counts=[n[a:b].tobytes() for a, b in zip(part, to, strict=True)])
+            pieces, ends = word_pieces(model, distinct)
+            counted[:] += np.bincount(pieces, weights=np.repeat(n, np.diff(ends)), minlength=len(counted)).astype(np.int64)
+            counted[enc.sp.eos_id()] += int((~held).sum())
+            numbers = ids.fill_null(_NULL).to_numpy(zero_copy_only=False).astype("<i8")
+            yield rows(1, block=[number], ids=[numbers.tobytes()], held=[held.tobytes()], sizes=[sizes.astype("<i4").tobytes()], places=[places.astype("<i4").tobytes()], ends=[ends.astype("<i4").tobytes()], pieces=[pieces.astype("<u2" if len(counted) <= 1 << 16 else "<u4").tobytes()])
+            number += 1
+
+        ids, texts, have = [], [], 0
+        for batch in batches:
+            text, i = text_of(batch), 0
+            size = np.cumsum(np.diff(bytes_of(text)[1]))
+            while i < len(text):
+                done = int(size[i - 1]) if i else 0
+                j = min(len(text), max(i + 1, int(np.searchsorted(size, done + BLOCK_BYTES - have, side="right"))))
+                ids.append(batch.column("id").slice(i, j - i))
+                texts.append(text.slice(i, j - i))
+                have, i = have + int(size[j - 1]) - done, j
+                if have >= BLOCK_BYTES or i < len(text):
+                    yield from block(ids, texts)
+                    ids, texts, have = [], [], 0
+        if ids:
+            yield from block(ids, texts)
+        if counted.any():
+            yield rows(1, piece_counts=[counted.tobytes()])
+
+    return written(map_arrow(docs, run, BLOCKS), "blocks")
+
+
+def summed(vectors: DataFrame, column: str, kind: str) -> np.ndarray | None:
+    """The sum of the vectors in a binary column, added up in a few tasks before the driver; None if there are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for v in batch.column(0).to_pylist():
+                total = np.frombuffer(v, kind) + (0 if total is None else total)
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({column: pa.array([total.astype(kind).tobytes()], pa.binary())})
+
+    own = vectors.where(F.col(column).isNotNull()).select(column)
+    parts = map_arrow(map_arrow(own, run, f"{column} binary").repartition(SUMS), run, f"{column} binary").collect()
+    return sum(np.frombuffer(r[column], kind) for r in parts) if parts else None
+
+
+def word_counts(words: DataFrame, buckets: int) -> DataFrame:
+    """``block, bucket, counts`` over all blocks for the words of each row of ``words``, and
+    each bucket's sum and number of training words (``total``, ``distinct``; ``block`` null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes, bytes]] = []
+        at = None
+
+        def bucket() -> pa.RecordBatch:
+            texts = pa.array([h[1].decode() for h in held], pa.string())
+            words, off = words_of(texts)
+            coded = words.dictionary_encode().indices.to_numpy()
+            n = np.frombuffer(b"".join(h[2] for h in held), "<i8")
+            order = np.argsort(coded, kind="stable")
+            begin = np.flatnonzero(np.concatenate([[True], np.diff(coded[order]) > 0]))
+            total = np.add.reduceat(n[order], begin)
+            c = total[coded].astype("<i8")
+            blocks = [h[0] for h in held]
+            return pa.RecordBatch.from_pydict({"block": pa.array([*blocks, None], pa.int64()), "bucket": pa.array([at] * (len(held) + 1), pa.int32()), "counts": pa.array([*(c[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)), None], pa.binary()), "total": pa.array([*[None] * len(held), int(total.sum())], pa.int64()), "distinct": pa.array([*[None] * len(held), int((total > 0).sum())], pa.int64())})
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            coded = batch.column("word").cast(pa.string()).dictionary_encode()
-            lists = pa.array(pieces_of(enc, coded.dictionary.to_pylist()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists.take(coded.indices)], names=[*batch.schema.names, "pieces"])
-
-    return map_arrow(known, run, "word binary, block long, n long, c long, first boolean, pieces array<int>")
-
-
-def training_windows(enc, texts: list[str], shape: attention.Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of the texts: what each token sees before it (-1 at a text's begin),
-    the tokens, and which places are there."""
-    own = [words_of(t) for t in texts]
-    index = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(own)))}
-    pieces = pieces_of(enc, [w.decode() for w in index])  # each distinct word once
-    lists = [list(chain.from_iterable(pieces[index[w]] for w in words)) for words in own]
-    at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    ids = np.fromiter(chain.from_iterable(lists), np.int64, at[-1])
-    before = np.concatenate([[-1], ids[:-1]])[: len(ids)]
+            for b, k, w, c in zip(*(batch.column(x).to_pylist() for x in ("block", "bucket", "words", "counts")), strict=True):
+                if k != at and held:
+                    yield bucket()
+                    held = []
+                at = k
+                held.append((b, w, c))
+        if held:
+            yield bucket()
+
+    dealt = words.select("block", "bucket", "words", "counts").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return written(map_arrow(dealt, run, "block long, bucket int, counts binary, total long, distinct long"), "word-counts")
+
+
+class Block:
+    """A block's documents as pieces, from its row."""
+
+    def __init__(self, row: dict, wide: bool) -> None:
+        self.ids, self.held = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["held"], bool)
+        sizes = np.frombuffer(row["sizes"], "<i4").astype(np.int64)
+        self.at = np.concatenate([[0], np.cumsum(sizes)])
+        self.places = np.frombuffer(row["places"], "<i4")
+        self.ends, self.pieces = np.frombuffer(row["ends"], "<i4").astype(np.int64), np.frombuffer(row["pieces"], "<u4" if wide else "<u2")
+
+    def tokens(self, first: int, last: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these documents with their ends, and where each document's begin and end."""
+        at = self.at[first : last + 1]
+        places = self.places[at[0] : at[-1]]
+        begin = self.ends[places]
+        n = self.ends[places + 1] - begin
+        after = np.concatenate([[0], np.cumsum(n)])
+        return with_end(self.pieces[np.repeat(begin - after[:-1], n) + np.arange(after[-1])], after[at - at[0]], end)
+
+    def runs(self, tokens: int = 400_000) -> Iterator[tuple[int, int]]:
+        """Documents whose words are so many at a time."""
+        i = 0
+        while i < len(self.ids):
+            j = max(i + 1, int(np.searchsorted(self.at, self.at[i] + tokens // 3, side="right")) - 1)
+            yield i, min(j, len(self.ids))
+            i = j
+
+
+def training_windows(ids: np.ndarray, at: np.ndarray, chosen: np.ndarray, shape: attention.Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of the chosen texts that follow each other: what each token sees before it
+    (-1 at a text's begin), the tokens, and which places are there."""
+    before = np.concatenate([[-1], ids[:-1].astype(np.int64)])[: len(ids)]
     before[at[:-1]] = -1  # no text is without its end
-    doc, start, _ = attention.windows(at, shape)
-    where = (at[doc] + start)[:, None] + np.arange(shape.window)
+    n = np.where(chosen, np.diff(at), 0)
+    count = -(-n // shape.window)
+    doc = np.repeat(np.arange(len(n)), count)
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    where = (at[doc] + k * shape.window)[:, None] + np.arange(shape.window)
     there = where < at[doc + 1][:, None]
     where = np.where(there, where, 0)
     return np.where(there, before[where], -1), ids[where], there
 
 
-def piece_counts(known: DataFrame, model: str) -> np.ndarray:
-    """How often each piece is in the training documents."""
-    counts = np.zeros(piece_encoder(model).sp.vocab_size())
-    each = known.where(F.col("first") & (F.col("c") > 0)).select(F.explode("pieces").alias("piece"), "c")
-    for r in each.groupBy("piece").agg(F.sum("c").alias("c")).collect():
-        counts[r["piece"]] = r["c"]
-    return counts
-
-
-def train(docs: DataFrame, model: str, vocab: attention.Vocabulary, shape: attention.Shape) -> dict[str, np.ndarray]:
+def train(blocks: DataFrame, model: str, vocab: attention.Vocabulary, shape: attention.Shape) -> dict[str, np.ndarray]:
     """Rounds of local Adam and averaging; each training document is used in one round."""
     weights = attention.begin(vocab, shape)
     names = sorted(weights)
+    end, wide = piece_encoder(model).sp.eos_id(), piece_encoder(model).sp.vocab_size() > 1 << 16
     for turn in range(ROUNDS):
         start = {k: v.copy() for k, v in weights.items()}
 
-        def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            w, seen, enc = {k: v.copy() for k, v in start.items()}, 0, piece_encoder(model)
+        def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
+            w, seen = {k: v.copy() for k, v in start.items()}, 0
             adam, mix = attention.Adam(w, RATE), np.random.default_rng(1)
             for batch in batches:
-                texts = text_of(batch).filter(pa.array(~held_out(batch.column("id")))).to_pylist()
-                for i in range(0, len(texts), 500):
-                    before, ids, there = training_windows(enc, texts[i : i + 500], shape)
-                    order = mix.permutation(len(ids))
-                    for j in range(0, len(ids), BATCH):
-                        part = order[j : j + BATCH]
-                        rows = np.where(before[part] < 0, 0, vocab.row[before[part]])
-                        f = attention.forward(w, rows)
-                        adam.step(w, attention.backward(w, rows, f, vocab.cls[ids[part]], there[part]))
-                    seen += len(ids)
+                for k in range(batch.num_rows):
+                    block = Block({c: batch.column(c)[k].as_py() for c in batch.schema.names}, wide)
+                    # Documents go to the rounds in turn; which comes first differs by block.
+                    mine = ~block.held & ((np.arange(len(block.ids)) + int(block.at[-1])) % ROUNDS == turn)
+                    for i, j in block.runs():
+                        ids, at = block.tokens(i, j, end)
+                        before, ids, there = training_windows(ids, at, mine[i:j], shape)
+                        order = mix.permutation(len(ids))
+                        for x in range(0, len(ids), BATCH):
+                            part = order[x : x + BATCH]
+                            rows = np.where(before[part] < 0, 0, vocab.row[before[part]])
+                            adam.step(w, attention.step(w, rows, vocab.cls[ids[part]], there[part])[1])
+                        seen += int(there.sum())
             if seen:
-                flat = np.concatenate([w[k].ravel() for k in names]).astype(np.float64) * seen
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int64()), pa.array(flat, pa.float64()), pa.array(np.full(len(flat), seen), pa.int64())], names=["i", "w", "n"])
-
-        mine = docs.where(F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == turn).select("id", "text")
-        total = map_arrow(mine, run, "i long, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()
-        if total:
-            flat = np.zeros(sum(v.size for v in weights.values()), np.float32)
-            for r in total:
-                flat[r["i"]] = r["w"]
+                vector = np.concatenate([*(w[k].ravel() for k in names), [1.0]]).astype("<f8") * seen
+                yield pa.RecordBatch.from_pydict({"w": pa.array([vector.tobytes()], pa.binary())})
+
+        total = summed(map_arrow(blocks.select("held", "ids", "sizes", "places", "ends", "pieces"), run, "w binary"), "w", "<f8")
+        if total is not None:
+            vector = (total[:-1] / total[-1]).astype(np.float32)
             cuts = np.cumsum([weights[k].size for k in names])[:-1]
-            weights = {k: x.reshape(weights[k].shape).copy() for k, x in zip(names, np.split(flat, cuts), strict=True)}
+            weights = {k: x.reshape(weights[k].shape).copy() for k, x in zip(names, np.split(vector, cuts), strict=True)}
     return weights
 
 
@@ -175,45 +288,35 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", shape: attention.Shape | None = None) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row."""
-    shape = shape or attention.Shape()
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), row_id().alias("row"), F.col(text_col).alias("text"))
-    # The base: one shuffle by word gives each block its words' counts over all blocks.
-    counts = map_arrow(keyed, block_counts, "word binary, block long, n long")
-    by_word = Window.partitionBy("word")
-    known = counts.select("word", "block", "n", F.sum("n").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("block")) == 1).alias("first"))
-    known = written(with_pieces(known, model), "word-counts")
-    size = known.agg(F.sum("n").alias("n"), F.sum((F.col("first") & (F.col("c") > 0)).cast("long")).alias("v")).first()
-    n_train, distinct = int(size["n"] or 0), int(size["v"] or 0)
-    # The method's model.
-    vocab = attention.Vocabulary(piece_counts(known, model), shape)
-    weights = train(keyed, model, vocab, shape)
+    shape, spark = shape or attention.Shape(), docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long")).alias("n")).first()["n"] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // BUCKET_BYTES))
+    found = blocks_of(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), model, buckets)
+    blocks = found.where("block IS NOT NULL AND bucket IS NULL")
+    # The base's counts: training words, and an end for each training document.
+    known = word_counts(found.where("bucket IS NOT NULL"), buckets)
+    sums = known.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
+    enc = piece_encoder(model)
+    counted = summed(found, "piece_counts", "<i8")
+    counts = np.zeros(enc.sp.vocab_size()) if counted is None else counted.astype(float)
+    end, wide = enc.sp.eos_id(), len(counts) > 1 << 16
+    ends = int(counts[end])
+    n_train, distinct = int(sums["n"] or 0) + ends, int(sums["v"] or 0) + (ends > 0)
     below = log10(n_train + 0.5 * (distinct + 1))
+    vocab = attention.Vocabulary(counts, shape)
+    weights = train(blocks, model, vocab, shape)
 
-    def run(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
-        words, texts = words.combine_chunks(), texts.sort_by("row").combine_chunks()
-        index = {w: i for i, w in enumerate(words.column("word").to_pylist())}
-        c = words.column("c").to_numpy()
+    def run(key: tuple, own: pa.Table, words: pa.Table) -> pa.Table:
+        row = own.to_pylist()[0]
+        block = Block(row, wide)
+        c = np.frombuffer(b"".join(words.sort_by("bucket").column("counts").to_pylist()), "<i8")
         value, is_known = np.log10(c + 0.5) - below, c > 0
-        lists = words.column("pieces").combine_chunks()
-        flat, ends = lists.values.to_numpy().astype(np.uint32), lists.offsets.to_numpy().astype(np.int64)
-        n, n_known, base, scores = [], [], [], []
-        for batch in texts.to_batches(max_chunksize=500):
-            own = [[index[w] for w in words_of(t)] for t in text_of(batch).to_pylist()]
-            size = np.array([len(x) for x in own])
-            slots = np.fromiter(chain.from_iterable(own), np.int64, size.sum())
-            begin = np.cumsum(size) - size  # no text is without its end
-            n.append(size)
-            n_known.append(np.add.reduceat(is_known[slots].astype(np.int64), begin))
-            base.append(np.add.reduceat(value[slots], begin))
-            # The pieces of all words, one after the other.
-            first, many = ends[slots], ends[slots + 1] - ends[slots]
-            after = np.concatenate([[0], np.cumsum(many)])
-            ids = flat[np.repeat(first - after[:-1], many) + np.arange(after[-1])]
-            scores.append(attention.log10_probability(weights, vocab, ids, after[np.append(begin, len(slots))], shape))
-        ids = texts.column("id").combine_chunks()
-        total = np.full(len(ids), n_train)
-        cols = [np.concatenate(x) if x else np.zeros(0) for x in (n, n_known, base, scores)]
-        return pa.table({"doc_id": ids, "held_out": pa.array(held_out(ids)), "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "train_tokens": pa.array(total, pa.int64()), "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64())})
-
-    blocked = keyed.withColumn("block", F.shiftright("row", BLOCK_BITS))
-    return blocked.groupBy("block").cogroup(known.select("block", "word", "c", "pieces").groupBy("block")).applyInArrow(run, SCORES)
+        doc, many = np.repeat(np.arange(len(block.ids)), np.diff(block.at)), len(block.ids)
+        base = np.bincount(doc, value[block.places], many) + log10(ends + 0.5) - below
+        seen = np.bincount(doc, is_known[block.places], many).astype(np.int64) + (ends > 0)
+        scores = [attention.log10_probability(weights, vocab, *block.tokens(i, j, end), shape) for i, j in block.runs()]
+        n = np.diff(block.at) + 1
+        return pa.table({"doc_id": pa.array(block.ids, pa.int64(), mask=block.ids == _NULL), "held_out": pa.array(block.held), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(seen, pa.int64()), "train_tokens": pa.array(np.full(len(n), n_train), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(np.concatenate(scores), pa.float64())})
+
+    own = blocks.select("block", "ids", "held", "sizes", "places", "ends", "pieces")
+    return own.groupBy("block").cogroup(known.where("block IS NOT NULL").select("block", "bucket", "counts").groupBy("block")).applyInArrow(run, SCORES)

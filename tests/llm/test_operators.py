@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.llm import common, exact, marked, packing, quality, scoring, secrets, sharding, simhash, tokens, urls
+from eventloom.llm import attention, common, exact, marked, packing, quality, scoring, secrets, sharding, simhash, tokens, urls
 from tests.llm.util import DOCS, empty, odd, prose
 
 BYTES, WORDS, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -345,6 +345,34 @@ def test_scoring_learns_from_every_document(spark):
         assert any(turned[k] != first[k] for k in [*held, 99]), i
 
 
+def test_score_is_the_models_probability(spark, monkeypatch):
+    # Every score, rebuilt from the trained weights token by token in plain double precision.
+    from tests.llm.test_units import plain
+
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randrange(1, 90), 80).replace("ka", "Ka")) for i in range(30)] + [(30, None), (31, " "), (32, "é ▁x 😀\u2028y")]
+    seen, train = [], scoring.train
+    monkeypatch.setattr(scoring, "train", lambda blocks, model, vocab, shape: seen.append((vocab, shape, train(blocks, model, vocab, shape))) or seen[0][2])
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 1000)
+    got = {r["doc_id"]: r["score"] for r in scoring.score(docs(spark, rows), PIECES).collect()}
+    vocab, shape, w = seen[0]
+    sp = marked.piece_encoder(PIECES).sp
+    low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+    assert any((w[k] != x).any() for k, x in attention.begin(vocab, shape).items())
+    for i, t in rows:
+        ids = [p for word in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) for p in sp.encode(word)] + [sp.eos_id()]
+        want, begin = 0.0, 0
+        while True:
+            part = ids[begin : begin + shape.window]
+            before = [0 if begin + k == 0 else vocab.row[ids[begin + k - 1]] for k in range(len(part))]
+            p = plain(w, [before])[0]
+            want += sum(p[k, vocab.cls[x]] + vocab.log_within[x] for k, x in enumerate(part) if not begin or k >= shape.window - shape.stride)
+            if begin + shape.window >= len(ids):
+                break
+            begin += shape.stride
+        assert got[i] == pytest.approx(want / np.log(10), rel=1e-4), i
+
+
 def test_scoring(spark):
     rng = random.Random(1)
     rows = [(i, prose(rng, 60, 60)) for i in range(200)]

@@ -134,40 +134,66 @@ def test_plan_keeps_the_pigeonhole(tau):
         assert sum(p.thresholds) == tau - len(p.partitions) + 1
 
 
+def plain(w, rows):
+    """log P(class) of the attention model, in double precision and step by step."""
+    w = {k: x.astype(float) for k, x in w.items()}
+    out = []
+    for row in rows:
+        x = w["embed"][row] + w["place"][: len(row)]
+        q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
+        each = []
+        for t in range(len(row)):
+            s = k[: t + 1] @ q[t] / np.sqrt(q.shape[1])
+            s = np.exp(s - s.max())
+            y = x[t] + (s / s.sum()) @ v[: t + 1] @ w["o"]
+            z = y + np.maximum(y @ w["up"] + w["up_b"], 0) @ w["down"]
+            logits = z @ w["out"] + w["out_b"]
+            each.append(logits - logits.max() - np.log(np.exp(logits - logits.max()).sum()))
+        out.append(each)
+    return np.array(out)
+
+
 def test_attention_gradients_and_scores():
     shape = attention.Shape(6, 4, 4, 5, 4, 16)
     r = np.random.default_rng(0)
     vocab = attention.Vocabulary(r.integers(0, 50, 30), shape)
     w = {k: x.astype(float) + 0.1 * r.standard_normal(x.shape) for k, x in attention.begin(vocab, shape).items()}
     rows, cls, weight = r.integers(0, 16, (3, 6)), r.integers(0, 4, (3, 6)), r.integers(0, 2, (3, 6)).astype(float)
-    loss = lambda: -(attention.forward(w, rows)["logp"][np.arange(3)[:, None], np.arange(6)[None], cls] * weight).sum() / weight.sum()
-    g = attention.backward(w, rows, attention.forward(w, rows), cls, weight)
-    for k in w:
-        i = (rows[0, 0], 0) if k == "embed" else tuple(0 for _ in w[k].shape)
-        was = w[k][i]
-        w[k][i] = was + 1e-5
-        up = loss()
-        w[k][i] = was - 1e-5
-        down = loss()
-        w[k][i] = was
-        assert (up - down) / 2e-5 == pytest.approx(g[k][i], rel=1e-3, abs=1e-7), k
+    for grow in (1, 300):  # small weights, and exponents that need their largest taken off
+        w["q"] *= grow
+        w["out"] *= grow
+        loss, g = attention.step(w, rows, cls, weight)
+        assert loss == pytest.approx(-(plain(w, rows)[np.arange(3)[:, None], np.arange(6)[None], cls] * weight).sum() / weight.sum())
+        for k in w:
+            i = (rows[0, 0], 0) if k == "embed" else tuple(0 for _ in w[k].shape)
+            was, h = w[k][i], 1e-5 / grow
+            w[k][i] = was + h
+            up = attention.step(w, rows, cls, weight)[0]
+            w[k][i] = was - h
+            down = attention.step(w, rows, cls, weight)[0]
+            w[k][i] = was
+            assert (up - down) / (2 * h) == pytest.approx(g[k][i], rel=1e-3, abs=1e-6 * grow), k
+    w["q"], w["out"] = w["q"] / 300, w["out"] / 300
     # A later token changes nothing before it, and the probabilities of all ids sum to one.
-    a, b = (attention.forward(w, x)["logp"] for x in (rows, np.concatenate([rows[:, :-1], rows[:, -1:] ^ 1], axis=1)))
+    a, b = (plain(w, x) for x in (rows, np.concatenate([rows[:, :-1], rows[:, -1:] ^ 1], axis=1)))
     assert np.allclose(a[:, :-1], b[:, :-1])
     w32 = {k: x.astype(np.float32) for k, x in w.items()}
     total = sum(10 ** attention.log10_probability(w32, vocab, np.array([i], np.uint32), np.array([0, 1]), shape)[0] for i in range(30))
     assert total == pytest.approx(1, abs=1e-4)
-    # Windows score each token once, as forward does.
+    # Windows score each token once, with the probabilities that training sees, whatever the weights' size.
     ids, at = r.integers(0, 30, 60).astype(np.uint32), np.array([0, 0, 1, 7, 60])
-    got = attention.log10_probability(w32, vocab, ids, at, shape)
-    for d in range(4):
-        own, want = ids[at[d] : at[d + 1]], 0.0
-        for _, s, first in zip(*attention.windows(np.array([0, len(own)]), shape), strict=True):
-            seen = own[s : s + shape.window]
-            before = [[0 if s + i == 0 else vocab.row[own[s + i - 1]] for i in range(len(seen))]]
-            p = attention.forward(w32, np.array(before))["logp"][0]
-            want += sum(p[i, vocab.cls[x]] + vocab.log_within[x] for i, x in enumerate(seen) if i >= first)
-        assert got[d] == pytest.approx(want / np.log(10), abs=1e-4)
+    for grow in (1, 400):
+        w32["q"] *= grow
+        w32["out"] *= grow
+        got = attention.log10_probability(w32, vocab, ids, at, shape)
+        for d in range(4):
+            own, want = ids[at[d] : at[d + 1]], 0.0
+            for _, s, first in zip(*attention.windows(np.array([0, len(own)]), shape), strict=True):
+                seen = own[s : s + shape.window]
+                before = [[0 if s + i == 0 else vocab.row[own[s + i - 1]] for i in range(len(seen))]]
+                p = plain(w32, np.array(before))[0]
+                want += sum(p[i, vocab.cls[x]] + vocab.log_within[x] for i, x in enumerate(seen) if i >= first)
+            assert got[d] == pytest.approx(want / np.log(10), rel=1e-4, abs=1e-3 * grow)
 
 
 def test_tree():
