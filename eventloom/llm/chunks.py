@@ -21,7 +21,7 @@ import pyarrow as pa
 from .common import bytes_of
 
 #: A table is emptied beyond so many chunks or bytes of chunks.
-MAX_CHUNKS, MAX_CHUNK_BYTES = 500_000, 24 << 20
+MAX_CHUNKS, MAX_CHUNK_BYTES = 400_000, 24 << 20
 #: Bytes of text that are cut and dictionary-encoded at a time, new chunks that are encoded at a time, and joined;
 #: occurrences whose ids are gathered at a time.
 STEP, NEW, JOINED, GATHER = 4 << 20, 20_000, 500, 1 << 18

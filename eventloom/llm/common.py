@@ -38,9 +38,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it goes when the driver ends, on any file system."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_at_end, spark, path)
+    for own in _RECORDED:
+        own.append(path)
     return path
 
 
+#: Lists that get the paths made while they are here.
+_RECORDED: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """All paths made inside are added to the list."""
+    _RECORDED.append(paths)
+    try:
+        yield
+    finally:
+        _RECORDED.pop()
+
+
+def release(spark: SparkSession, paths: list[str], needed_by: DataFrame) -> None:
+    """Delete intermediate tables, unless the frame still reads any of them."""
+    read = needed_by.inputFiles()
+    for path in [p for p in paths if not any(p.rpartition("/")[2] in f for f in read)]:
+        remove(spark, path)
+        paths.remove(path)
+
+
 def _at_end(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the JVM may be gone by then
         remove(spark, path)
@@ -60,6 +84,16 @@ def numbered(docs: DataFrame, row: str) -> DataFrame:
     return written(docs.withColumn(row, row_id()), "numbered")
 
 
+#: Rows of ids alone that are broadcast at most.
+FEW = 200_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A (written) table of ids, to be broadcast where its counted rows allow; a join
+    with it gives the same either way."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete ``path`` through Hadoop's file system."""
     jvm = spark.sparkContext._jvm

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_arrow, numbered, row_id, written
+from .common import few, free_name, map_arrow, numbered, row_id, written
 
 #: Entries to a bucket of the filter, kicks until it is called full, mask of a fingerprint.
 SLOTS, KICKS, MASK = 4, 200, 0xFFFF
@@ -237,5 +237,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` that stay, with all their columns."""
     (row,) = free_name(docs, "row")
     own = numbered(docs, row)
-    groups = exact_groups(own, id_col, text_col, row).where("kept").select(F.col("row").alias(row))
-    return own.join(groups, row, "left_semi").select(*docs.columns)
+    gone = written(exact_groups(own, id_col, text_col, row).where("NOT kept").select(F.col("row").alias(row)), "gone")
+    return own.join(few(gone), row, "left_anti").select(*docs.columns)

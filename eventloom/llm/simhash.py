@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, map_arrow, numbered, row_id, text_of, written
+from .common import few, free_name, map_arrow, numbered, row_id, text_of, written
 
 BITS, SEED = 64, 42
 #: What a candidate pair costs, in probes: a popcount against a row that is shuffled
@@ -85,7 +85,9 @@ def fingerprints(docs: list[list[bytes]], shingle: int, profiles: list[bytes] |
     some = np.flatnonzero(sizes)
     h = np.array(hashes, "<u8")
     if profiles is not None:
-        profiles += [np.bincount((np.unique(h[a:b]) >> np.uint64(56)).astype(np.int64), minlength=256).astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            n = np.bincount((np.unique(h[a:b]) >> np.uint64(56)).astype(np.int64), minlength=256)
+            profiles.append(n.astype("u1" if n.max() < 256 else "<u4").tobytes())
     if len(some):
         starts = np.array(at[:-1])[some]
         # By blocks of documents, so that the unpacked bits stay small.
@@ -278,22 +280,25 @@ def links(fps: DataFrame, found: Plan, tau: int) -> DataFrame:
                 a, b = zip(*edges, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (a, b)], names=["a", "b"])
 
-    rows = written(map_arrow(fps, emit, "key long, fp long, filed boolean"), "signatures")
-    return map_arrow(_in_blocks(rows).repartition("key").sortWithinPartitions("key"), verify, "a long, b long")
+    schema = "key long, fp long, filed boolean"
+    some = map_arrow(fps.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0), emit, schema)
+    dealt = _in_blocks(map_arrow(fps, emit, schema), _large(some, SAMPLED, F.count_if("filed").alias("n_filed")))
+    return map_arrow(dealt.repartition("key").sortWithinPartitions("key"), verify, "a long, b long")
 
 
-def _large(rows: DataFrame, *counts: F.Column) -> DataFrame | None:
-    """The (written) rows' keys that more than ``LARGE`` have, with their number ``many``
-    and further counts; None if there are none."""
-    large = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), *counts).where(F.col("many") > LARGE), "large-keys")
+def _large(rows: DataFrame, share: int, *counts: F.Column) -> DataFrame | None:
+    """The keys that more than ``LARGE`` rows have, with their number ``many`` and further
+    counts; None if there are none. ``rows`` are one in ``share`` of all: which keys are
+    dealt to several tasks, and to how many, decides on the work, not on the result."""
+    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), *counts).where(F.col("many") * share > LARGE)
+    large = written(large.select("key", *[(F.col(c) * share).alias(c) for c in large.columns[1:]]), "large-keys")
     n = large.count()
     return None if not n else F.broadcast(large) if n <= BROADCAST else large
 
 
-def _in_blocks(rows: DataFrame) -> DataFrame:
+def _in_blocks(rows: DataFrame, large: DataFrame | None) -> DataFrame:
     """``rows`` (``key, fp, filed``), those of large keys dealt to pairs of a block of
     filed rows and a block of all rows: every filed row still meets every row."""
-    large = _large(rows, F.count_if("filed").alias("n_filed"))
     if large is None:
         return rows
     n_filed, n_all = (F.ceil(F.col(c) / F.lit(LARGE)).cast("int") for c in ("n_filed", "many"))
@@ -417,8 +422,9 @@ def _candidates(frame: DataFrame, found: Plan, tau: int) -> DataFrame:
                 first = np.concatenate([[True], a[1:] != a[:-1]])
                 yield _as_pairs(a[first], b[first])
 
-    rows = written(map_arrow(frame.select("fp", "node"), emit, "key long, fp long, node long, filed boolean"), "signatures")
-    large = _large(rows)
+    schema, own = "key long, fp long, node long, filed boolean", frame.select("fp", "node")
+    rows = map_arrow(own, emit, schema)
+    large = _large(map_arrow(own.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0), emit, schema), SAMPLED)
     if large is not None:  # one partner is asked for, so a part of a large key will do
         part = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / F.lit(LARGE)))
         rows = rows.join(large, "key", "left").select(F.when(F.col("many").isNull(), F.col("key")).otherwise(F.xxhash64("key", part)).alias("key"), "fp", "node", "filed")
@@ -588,7 +594,7 @@ def _unjoined(postings: DataFrame, similarity: float) -> DataFrame:
                 if ok.any():
                     yield _as_pairs(node[left[ok]], node[right[ok]])
 
-    large = _large(postings)
+    large = _large(postings, 1)
     rows = postings.withColumn("side", F.lit(2))
     if large is not None:
         n = F.ceil(F.col("many") / F.lit(LARGE)).cast("int")
@@ -605,7 +611,7 @@ def _possible(edges: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, 256).astype(np.int64) for c in ("x", "y"))
+            x, y = (np.array([np.frombuffer(v, "u1" if len(v) == 256 else "<u4") for v in batch.column(c).to_pylist()], np.int64).reshape(-1, 256) for c in ("x", "y"))
             both = np.minimum(x, y).sum(axis=1)
             yield batch.select(["a", "b"]).filter(pa.array(both >= similarity * (x.sum(axis=1) + y.sum(axis=1) - both) - 1e-9))
 
@@ -655,7 +661,8 @@ def similar_links(docs: DataFrame, texts: DataFrame, tau: int, text_col: str, ro
 
     def verified(edges: DataFrame) -> DataFrame:
         some = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-        sets = written(_shingle_sets(docs, texts.join(some, "node").select("row", "node"), text_col, row_col, shingle), "shingles")
+        some = written(texts.join(some, "node").select("row", "node"), "looked-at")
+        sets = written(_shingle_sets(docs, few(some), text_col, row_col, shingle), "shingles")
         return written(_similar(edges, sets, similarity), "similar")
 
     good = verified(first)
@@ -697,6 +704,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (row,) = free_name(docs, "row")
     rows = numbered(docs, row)
     groups = near_groups(rows, id_col, text_col, shingle, tau, similarity, row)
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row")).alias("k"))
-    stay = first.select(F.col("k.row").alias(row))
-    return rows.join(stay, row, "left_semi").select(*docs.columns)
+    groups = written(groups.select("root", F.struct(F.col("id").isNull().alias("null"), "id", "row").alias("k")), "groups")
+    stay = groups.groupBy("root").agg(F.min("k").alias("first"))
+    gone = written(groups.join(stay, "root").where("k.row != first.row").select(F.col("k.row").alias(row)), "gone")
+    return rows.join(few(gone), row, "left_anti").select(*docs.columns)
