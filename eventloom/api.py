@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import metrics, views
@@ -69,11 +69,13 @@ def compute(spark: SparkSession, dsl: str, events: str, query: str | None = None
     return _answer(run)
 
 
-def simulate(spark: SparkSession, dsl: str, base: str, hypothetical: str) -> str:
-    def run() -> list[dict[str, Any]]:
+def simulate(spark: SparkSession, dsl: str, base: str, hypothetical: str, query: str | None = None) -> str:
+    """Outputs of the base log and of both together, and the difference."""
+
+    def run() -> dict[str, Any]:
         t = compile_tracker(dsl)
         frames = [json_events.parse_events(spark, t, x) for x in (base, hypothetical)]
-        return [r.asDict() for r in metrics.simulate(t, *frames, _options()).orderBy("metric", "group_key").collect()]
+        return metrics.simulation(t, *frames, parse_query(query), _options())
 
     return _answer(run)
 
@@ -83,15 +85,16 @@ def pack_query(spark: SparkSession, dsl: str, events: str, query: str, catalog:
         t = compile_tracker(dsl)
         rows = json_events.catalog_rows(spark, catalog) if catalog else None
         found = views.run(t, json_events.pack_events(spark, t, events, "view"), query, rows, offset_minutes, registry, _options())
-        if not isinstance(found, views.ViewResult):
-            return [r.asDict() for r in found.collect()]
-        out: dict[str, Any] = {**found.echo, "points": [r.asDict() for r in found.points.collect()]}
-        for name, df in (("totals", found.totals), ("qa", found.qa)):
-            if df is not None:
-                out[name] = [r.asDict() for r in df.collect()]
-        return out
+        return found.answer() if isinstance(found, views.ViewResult) else [r.asDict() for r in found.collect()]
 
     return _answer(run)
 
 
-export_bundle, import_bundle = sqlite.export_bundle, sqlite.import_bundle
+def export_bundle(path: str | None, trackers: DataFrame, events: DataFrame, kv_meta: DataFrame) -> str:
+    """Write a bundle; the answer is its path."""
+    return _answer(lambda: {"path": sqlite.export_bundle(path, trackers, events, kv_meta)})
+
+
+def import_bundle(spark: SparkSession, path: str) -> str:
+    """A bundle's tables as JSON; ``sqlite.import_bundle`` gives them as frames."""
+    return _answer(lambda: {name: [r.asDict() for r in df.collect()] for name, df in sqlite.import_bundle(spark, path).items()})

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,12 @@ from pyspark.sql import functions as F
 from .functions.timefn import bucket, label
 from .operators import analytics, catalog, metrics, views
 from .operators.events import derive, typed
-from .operators.validate import validate
+from .operators.metrics import Options
+from .operators.validate import check, validate, with_fields
 from .plans import ir
 from .plans.dsl import compile_tracker
 from .plans.ir import Grain, Metric, MetricFilter, TimeWindow
-from .sources import sqlite
+from .sources import json_events, sqlite
 from .streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +51,7 @@ tracker "site_events" v1 {
     overall = sum(value) over all_time
     most = max(value) over all_time
     number = count() over all_time
+    value_by_user = sum(value) by user_id
   }
   alerts {
     large = value > 200
@@ -116,6 +119,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that the driver and all executors share, in the checkpoint folder;
+    a warehouse folder where there is none."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def events(spark: SparkSession, sf_dir: str, labels: bool = False, window: TimeWindow | None = None) -> tuple[ir.Tracker, DataFrame]:
     t = compile_tracker(EVENTS)
     df = load(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
@@ -175,6 +185,12 @@ def derive_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(t, df)[0].select("event_id", "score", "is_error")
 
 
+def derive_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Branches within branches, and an omitted else."""
+    t = compile_tracker(SHAPES)
+    return derive(t, _shapes(spark, sf_dir)[1])[0].select("event_id", "band", "only_large")
+
+
 def derive_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, df = events(spark, sf_dir)
     return derive(t, df)[0].groupBy("event_type").agg((F.round(F.sum("margin") * 100, 0) / 100).alias("margin"))
@@ -187,7 +203,7 @@ def derive_modulo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compute_multi_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, df = events(spark, sf_dir)
-    return metrics.compute_metrics(t, df)
+    return metrics.compute_metrics(t.with_metrics(*[m for m in t.metrics if m.name != "value_by_user"]), df)
 
 
 def window_event_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,10 +322,9 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = compile_tracker(EVENTS)
-    good, bad = validate(t, raw_events(spark, sf_dir))
-    counted = good.groupBy(F.lit(0).alias("error_code"), F.lit("").alias("message")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.unionByName(bad.groupBy("error_code", "message").agg(F.count(F.lit(1)).alias("n")))
+    checked = check(compile_tracker(EVENTS), raw_events(spark, sf_dir))
+    code, message = F.coalesce("error_code", F.lit(0)).alias("error_code"), F.coalesce("message", F.lit("")).alias("message")
+    return checked.groupBy(code, message).agg(F.count(F.lit(1)).alias("n"))
 
 
 def week_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +335,7 @@ def week_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw events through the stream, then a metric over the log."""
-    t, folder = compile_tracker(EVENTS), tempfile.mkdtemp(prefix="eventloom-stream-")
+    t, folder = compile_tracker(EVENTS), shared_folder(spark, "stream")
     raw_events(spark, sf_dir).withColumnRenamed("json", "value").write.text(f"{folder}/in")
     source = spark.readStream.format("text").load(f"{folder}/in").withColumnRenamed("value", "json")
     ingest.ingest(t, source, f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
@@ -338,10 +353,139 @@ def sqlite_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy(F.get_json_object("payload_json", "$.event_type").alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
 
 
+#: Values below zero, null and missing ones, made from the events; what is written as it is given, and conditions of all kinds.
+SHAPES = """
+tracker "shapes" v1 {
+  fields { user_id: int, event_type: text, value: float optional, level: float optional, k: int optional, quality: int optional }
+  derive {
+    balance = value - 250
+    share = value / level
+    minus = -k + 1
+    band = if (value > 300) then "high" else if (value > 100) then "middle" else "low"
+    only_large = if (value >= 400) then value
+    odd = !(k % 2 == 0)
+    rated = if (quality) then 1 else 0
+    always = if (true && !(false)) then 1 else 2
+    own = if (event.ts >= 1705000000000) then event.id else event_type
+    ahead = late
+    late = k
+    note = {"a": 1}
+  }
+  metrics {
+    net = sum(balance) by event_type
+    rows = count()
+    worst = min(balance) by band
+    by_ahead = count() by ahead
+  }
+  alerts { told = if (value > 480) then signal(event_type, value) }
+  views {
+    view "net" {
+      config = {"result_kind": "distribution", "group_by": {"user": {"field": "user_id"}}, "metrics": {"net": {"metric": "net"}},
+                "totals": {"qualities": {"kind": "distinct_count", "field": "quality"}, "bands": {"kind": "distinct_count", "field": "only_large"}}}
+    }
+  }
+}
+"""
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> tuple[ir.Tracker, DataFrame]:
+    t = compile_tracker(SHAPES)
+    df = load(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long")).withColumn("level", F.col("k") % 3)
+    return t, typed(t, df.join(load(spark, sf_dir, "labels").select(F.col("doc_id").alias("event_id"), "quality"), "event_id", "left"))
+
+
+def derive_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Division (also by zero), unary minus, not, bare values, constants, event paths, a later derive, an object."""
+    t, df = _shapes(spark, sf_dir)
+    return derive(t, df)[0].select("event_id", "share", "minus", "odd", "rated", "always", "own", "ahead", "note")
+
+
+def agg_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, df = _shapes(spark, sf_dir)
+    return metrics.compute_metrics(t, df)
+
+
+def alerts_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, df = _shapes(spark, sf_dir)
+    return metrics.alerts(t, df).select("alert", "event_id", F.get_json_object("value", "$.type").alias("type"), F.get_json_object("value", "$.payload").cast("double").alias("payload")).where("payload IS NOT NULL")
+
+
+def view_distribution_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups above zero alone are items of a distribution."""
+    t, df = _shapes(spark, sf_dir)
+    items = views.run(t, df, {"view": "net", "metric": "net", "group_by": "user"}).points
+    return items.select("label", F.round(F.col("value").cast("double"), 0).alias("value"), F.round(F.col("percentage").cast("double"), 1).alias("percentage"))
+
+
+def totals_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct counts: a missing field is no value, a derive's null is one."""
+    t, df = _shapes(spark, sf_dir)
+    return views.totals(t, df, t.view("net").config).select("total", "value")
+
+
+def enrich_explicit_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that have the output keep it, though it be null."""
+    payload = "CASE event_id % 3 WHEN 0 THEN '{\"town\": null}' WHEN 1 THEN '{}' ELSE '{\"town\": \"own\"}' END"
+    df = load(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), "event_type", F.parse_json(F.expr(payload)).alias("payload_raw"))
+    df = df.withColumn("town", F.try_variant_get("payload_raw", "$.town", "string"))
+    known = spark.createDataFrame([("view", "Hill"), ("CLICK", "Port")], "slug string, place string")
+    config = {"enrich_fields": {"town": {"lookup_field": "event_type", "lookup_fields": ["slug"], "catalog_field": "place"}}}
+    return views.enrich(df, known, config, raw="payload_raw").groupBy("town").agg(F.count(F.lit(1)).alias("n"))
+
+
+def simulate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, df = events(spark, sf_dir)
+    own = F.col("event_id").cast("long") % 4 == 0
+    chosen = t.with_metrics(*[m for m in t.metrics if m.name in ("events", "number")])
+    return metrics.simulate(chosen, df.where(~own), df.where(own), ir.Query(WINDOW))
+
+
+def apply_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log after one event more: its derived values are in it."""
+    t, df = events(spark, sf_dir)
+    log, delta = ingest.apply(t, df.where("event_id != '7'"), df.where("event_id = '7'"))
+    return log.agg(F.count(F.lit(1)).alias("total_events"), F.max("score").alias("score")).crossJoin(delta)
+
+
+def validate_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defaults fill what is absent, never a null; enums have their members alone."""
+    t = compile_tracker('''tracker "d" v1 { fields { n: int optional = 7, kind: enum("view", "click") optional } metrics { m = count() } }''')
+    part = "CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN ',\"n\":null' ELSE concat(',\"n\":', user_id) END"
+    raw = load(spark, sf_dir, "events").select(F.expr(f"""concat('{{"event_id":"', event_id, '","ts":1,"payload":{{"kind":"', event_type, '"', {part}, '}}}}')""").alias("json"))
+    return with_fields(t, check(t, raw)).groupBy(F.col("error_code").isNull().alias("valid"), F.when(F.col("error_code").isNull(), F.coalesce(F.col("n").cast("string"), F.lit("null"))).alias("n")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def labels_out_of_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times that no calendar has get the epoch's labels."""
+    ts = (F.col("event_id") - 500) * F.lit(10**12)
+    return load(spark, sf_dir, "events").where("event_id < 1000").select("event_id", label(ts, Grain.DAY).alias("day"), label(ts, Grain.YEAR).alias("year"))
+
+
+def json_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a JSON array: ids by place, undeclared paths read from the payload."""
+    t = compile_tracker('tracker "p" v1 { fields { a: float optional } metrics { deep = sum(more.n) by more.kind } }')
+    text = json.dumps([{"ts": i, "payload": {"more": {"kind": ("x", i % 4, None, i % 2 == 0)[i % 4], "n": i if i % 5 else "no"}}} for i in range(40)])
+    return metrics.metric_by_name(t, json_events.pack_events(spark, t, text), "deep", options=Options(raw="payload_raw"))
+
+
+def catalog_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part")
+    c = p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 5 == 0, "").when(F.col("p_size") % 7 == 0, " ").otherwise(F.col("p_name")).alias("display_name"), F.when(F.col("p_size") % 3 == 0, "a b").otherwise(F.lower(F.translate("p_brand", "#", "_"))).alias("slug"), F.array("p_brand").alias("tags"), F.map_from_arrays(F.array(F.lit("size")), F.array(F.col("p_size").cast("string"))).alias("attributes"))
+    return catalog.validate(c, required=("size",), allowed_tags=("BRAND#11", "brand#12", "Brand#13")).select("id", "error")
+
+
+def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _part_catalog(spark, sf_dir).select("id", "display_name", "attributes")
+    changed = c.where("attributes['size'] = '10'").withColumn("display_name", F.lit("changed"))
+    moved = catalog.rename_attribute("size", "measure").apply(catalog.remove(catalog.add(c, changed.union(changed)), "1"))
+    return moved.select("id", "display_name", F.col("attributes")["measure"].alias("measure"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        **{f.__name__: f for f in (derive_shapes, agg_negative, alerts_signal, view_distribution_signed, totals_missing, enrich_explicit_null, simulate_window, apply_event, validate_defaults, labels_out_of_range, json_pack, catalog_validate, catalog_upsert)},
         "flagship": flagship,
-        "agg_sum": _metric("total_score"),
+        "agg_sum": _metric("value_by_user"),
         "agg_avg": _metric("avg_value"),
         "agg_min": _metric("min_value"),
         "agg_max": _metric("max_value"),
@@ -361,7 +505,7 @@ def queries() -> dict[str, Query]:
         "filter_multi": _metric("events", events_inside, window=WINDOW, filters=(MetricFilter("value", "lte", 300), MetricFilter("event_type", "neq", "view"))),
         "filter_null_semantics": filter_null_semantics,
         "derive_project": derive_project,
-        "derive_conditional": flagship,
+        "derive_conditional": derive_conditional,
         "derive_chain": derive_chain,
         "derive_modulo": derive_modulo,
         "compute_multi_metric": compute_multi_metric,
@@ -419,10 +563,33 @@ def oracle_sql() -> dict[str, str]:
     local = f"make_timestamp(({_MS} + 19800000) * 1000)"
     buckets = {"day": _DAY, "week": f"(epoch_us(date_trunc('week', {local})) // 1000 - 19800000)", "month": f"(epoch_us(date_trunc('month', {local})) // 1000 - 19800000)"}
     user = "[" + ", ".join(["'" + c + "'" for c in ("SRC1", "src2", "src3", "Src4")]) + "]"
+    joined = f"(SELECT e.*, quality, {_K} AS k, {_K} % 3 AS level, value - 250 AS balance FROM events e LEFT JOIN labels ON event_id = doc_id)"
+    band = "CASE WHEN value > 300 THEN 'high' WHEN value > 100 THEN 'middle' ELSE 'low' END"
+    by = lambda name, key, value: f"SELECT '{name}' AS metric, {key} AS group_key, CAST({value} AS DOUBLE) AS value FROM {joined} GROUP BY 2"
+    inside = lambda name, key, b, h, d: f"SELECT '{name}' AS metric, {key} AS group_key, CAST({b} AS DOUBLE) AS base, CAST({h} AS DOUBLE) AS hypothetical, CAST({d} AS DOUBLE) AS delta FROM events WHERE {_IN} GROUP BY 2"
+    own = "count(*) FILTER (WHERE event_id % 4 <> 0)"
+    pack = {}
+    for i in range(40):
+        k = ("x", f"{i % 4}.0", "null", "true" if i % 2 == 0 else "false")[i % 4]
+        pack[k] = pack.get(k, 0.0) + (i if i % 5 else 0)
+    days = "CASE WHEN (event_id - 500) * 1000000000000 BETWEEN -62135596800000 AND 253402300799999 THEN make_timestamp((event_id - 500) * 1000000000000000) END"
     return {
+        "derive_shapes": f"SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN level <> 0 THEN value / level END AS share, CAST(1 - k AS DOUBLE) AS minus, k % 2 <> 0 AS odd, CASE WHEN quality IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END AS rated, 1.0::DOUBLE AS always, CASE WHEN {_MS} >= 1705000000000 THEN CAST(event_id AS VARCHAR) ELSE event_type END AS own, CAST(NULL AS DOUBLE) AS ahead, '{{\"a\":1}}' AS note FROM {joined}",
+        "derive_conditional": f"SELECT CAST(event_id AS VARCHAR) AS event_id, {band} AS band, CASE WHEN value >= 400 THEN value END AS only_large FROM events",
+        "agg_negative": by("net", "event_type", _R.format("sum(balance)")) + " UNION ALL " + by("worst", band, _R.format("min(balance)")) + " UNION ALL " + by("by_ahead", "'null'", "count(*)") + " UNION ALL SELECT 'rows', NULL, CAST(count(*) AS DOUBLE) FROM events",
+        "alerts_signal": "SELECT 'told' AS alert, CAST(event_id AS VARCHAR) AS event_id, event_type AS type, value AS payload FROM events WHERE value > 480",
+        "view_distribution_signed": f"WITH g AS (SELECT CAST(user_id AS VARCHAR) || '.0' AS label, CAST({_R.format('sum(balance)')} AS FLOAT) AS v FROM {joined} GROUP BY 1) SELECT label, round(CAST(v AS DOUBLE)) AS value, round(CAST(CAST(CAST(v AS DOUBLE) / sum(CAST(v AS DOUBLE)) OVER () * 100 AS FLOAT) AS DOUBLE), 1) AS percentage FROM g WHERE v > 0",
+        "totals_missing": f"SELECT 'qualities' AS total, CAST(count(DISTINCT quality) AS DOUBLE) AS value FROM {joined} UNION ALL SELECT 'bands', CAST(count(DISTINCT CASE WHEN value >= 400 THEN value ELSE -1 END) AS DOUBLE) FROM events",
+        "enrich_explicit_null": "SELECT CASE event_id % 3 WHEN 1 THEN CASE event_type WHEN 'view' THEN 'Hill' WHEN 'click' THEN 'Port' END WHEN 2 THEN 'own' END AS town, count(*) AS n FROM events GROUP BY 1",
+        "simulate_window": inside("events", "event_type", f"nullif({own}, 0)", "count(*)", "count(*)") + " UNION ALL " + inside("number", "CAST(NULL AS VARCHAR)", own, "count(*)", f"count(*) - {own}") + " UNION ALL " + inside("window_event_count", "CAST(NULL AS VARCHAR)", own, "count(*)", f"count(*) - {own}"),
+        "apply_event": f"SELECT count(*) AS total_events, max({_SCORE}) FILTER (WHERE event_id = 7) AS score, CAST(1 AS BIGINT) AS total_events_delta, max({_MS}) FILTER (WHERE event_id = 7) AS last_event_ms, '7' AS last_event_id FROM events",
+        "validate_defaults": "SELECT event_type IN ('view', 'click') AS valid, CASE WHEN event_type IN ('view', 'click') THEN CASE event_id % 3 WHEN 0 THEN '7' WHEN 2 THEN CAST(user_id AS VARCHAR) ELSE 'null' END END AS n, count(*) AS rows FROM events GROUP BY 1, 2",
+        "labels_out_of_range": f"SELECT event_id, strftime(coalesce({days}, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS day, CAST(year(coalesce({days}, TIMESTAMP '1970-01-01')) AS VARCHAR) AS year FROM events WHERE event_id < 1000",
+        "json_pack": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in pack.items()) + ") t(group_key, value)",
+        "catalog_validate": "SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN 'display name is empty' WHEN p_size % 3 = 0 THEN 'slug is invalid' WHEN lower(p_brand) NOT IN ('brand#11', 'brand#12', 'brand#13') THEN 'tag is not allowed' END AS error FROM part",
+        "catalog_upsert": "SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size = 10 THEN 'changed' ELSE p_name END AS display_name, CAST(p_size AS VARCHAR) AS measure FROM part WHERE p_partkey <> 1",
         "flagship": total,
-        "agg_sum": total,
-        "derive_conditional": total,
+        "agg_sum": _grouped(_R.format("sum(value)"), "CAST(user_id AS VARCHAR) || '.0'"),
         "agg_avg": _grouped(_R.format("avg(value)")),
         "agg_min": _grouped(_R.format("min(value)")),
         "agg_max": _grouped(_R.format("max(value)")),

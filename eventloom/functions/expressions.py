@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from ..plans import ir
 from ..plans.ir import EngineError, ErrorCode
+from .values import render_key
 
 
 @dataclass(frozen=True)
 class Value:
-    """A column and its kind: num, bool, text, null or signal."""
+    """A column and its kind: num, bool, text, null or signal, or any for a VARIANT."""
 
     col: Column
     kind: str
@@ -88,12 +89,14 @@ class Compiler:
         source = self.raw if top == "payload" else self.meta
         if source is None:
             return Value(F.lit(None).cast("double"), "null")
-        return Value(variant_number(F.col(source), rest), "num")
+        return Value(F.try_variant_get(F.col(source), "$" + "".join(f"['{p}']" for p in rest.split(".")), "variant"), "any")
 
     def _number(self, v: Value, what: str) -> Column:
         """An operand as a double."""
         if v.kind == "num":
             col = v.col
+        elif v.kind == "any":
+            col = any_number(v.col, self.mode == "M")
         elif v.kind == "bool" and self.mode == "M":
             col = v.col.cast("double")
         else:
@@ -154,6 +157,9 @@ class Compiler:
 
     def _compare(self, node: ir.Compare) -> Column:
         a, b = self.value(node.left), self.value(node.right)
+        if node.op in ("==", "!=") and "any" in (a.kind, b.kind):
+            same = same_value(a, b, self.mode)
+            return same if node.op == "==" else ~same
         if node.op in ("==", "!="):
             if "null" in (a.kind, b.kind):
                 same = F.lit(True) if a.kind == b.kind else (b if a.kind == "null" else a).col.isNull()
@@ -162,6 +168,7 @@ class Compiler:
             else:
                 same = a.col.isNull() & b.col.isNull()
             return same if node.op == "==" else ~same
+        a, b = (Value(any_number(v.col, self.mode == "M"), "num") if v.kind == "any" else v for v in (a, b))
         ok = ("num", "bool") if self.mode == "M" else ("num",)
         if a.kind not in ok or b.kind not in ok:
             return F.lit(False)  # text never orders
@@ -175,13 +182,53 @@ def truthy(v: Value) -> Column:
         return F.lit(False)
     if v.kind == "signal":
         return F.lit(True)
+    if v.kind == "any":
+        number, flag, text = (part(v.col) for part in (any_number, any_bool, any_text))
+        return F.coalesce(number != 0, flag, text != "", F.schema_of_variant(v.col).rlike("^(OBJECT|ARRAY)"), F.lit(False))
     col = {"bool": v.col, "num": v.col != 0, "text": v.col != ""}[v.kind]
     return F.coalesce(col, F.lit(False))
 
 
-def variant_number(col: Column, path: str) -> Column:
-    """The number at a path of a VARIANT, null for any other kind; texts that look
-    like numbers stay texts."""
-    at = "$" + "".join(f".{p}" for p in path.split("."))
-    kind = F.schema_of_variant(F.try_variant_get(col, at, "variant"))
-    return F.when(kind.rlike("^(BIGINT|DECIMAL.*|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)$"), F.try_variant_get(col, at, "double"))
+_NUMBERS = "^(BIGINT|DECIMAL.*|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)$"
+
+
+def any_number(v: Column, bools: bool = False) -> Column:
+    """The number in a VARIANT, null for any other kind; texts that look like numbers stay
+    texts, and booleans are numbers only where they are asked for."""
+    number = F.when(F.schema_of_variant(v).rlike(_NUMBERS), F.try_variant_get(v, "$", "double"))
+    return F.coalesce(number, any_bool(v).cast("double")) if bools else number
+
+
+def any_text(v: Column) -> Column:
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def any_bool(v: Column) -> Column:
+    return F.when(F.schema_of_variant(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+
+
+def same_value(a: Value, b: Value, mode: str) -> Column:
+    """Equality where a side is a VARIANT: of kind and value, null being what is absent or
+    null. Objects and arrays are compared by their JSON, or are null to metrics (``M``)."""
+
+    def parts(v: Value) -> list[Column]:
+        none = {"num": F.lit(None).cast("double"), "bool": F.lit(None).cast("boolean"), "text": F.lit(None).cast("string"), "json": F.lit(None).cast("string")}
+        if v.kind == "any":
+            nested = F.when(F.schema_of_variant(v.col).rlike("^(OBJECT|ARRAY)"), F.to_json(v.col)) if mode == "D" else none["json"]
+            none |= {"num": any_number(v.col), "bool": any_bool(v.col), "text": any_text(v.col), "json": nested}
+        elif v.kind in none:
+            none[v.kind] = v.col
+        return list(none.values())
+
+    same = F.lit(True)
+    for x, y in zip(parts(a), parts(b), strict=True):
+        same = same & x.eqNullSafe(y)
+    return same
+
+
+def key_text(v: Value) -> Column:
+    """A value as a group key's text."""
+    if v.kind != "any":
+        return render_key(v.col, v.kind)
+    texts = [F.when(c.isNotNull(), render_key(c, k)) for c, k in ((any_number(v.col), "num"), (any_bool(v.col), "bool"), (any_text(v.col), "text"))]
+    return F.coalesce(*texts, F.lit("null"))

@@ -23,7 +23,10 @@ def get(catalog: DataFrame, entry_id: str) -> DataFrame:
 
 
 def add(catalog: DataFrame, entries: DataFrame) -> DataFrame:
-    """Entries replace those of their ids."""
+    """Entries replace those of their ids; of several with one id the last to be read stays."""
+    order = "catalog_entry_order"
+    last = entries.withColumn(order, F.monotonically_increasing_id()).groupBy("id").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in entries.columns if c != "id"]), order).alias("e"))
+    entries = last.select("id", "e.*").select(*entries.columns)
     return catalog.join(entries.select("id"), "id", "left_anti").unionByName(entries, allowMissingColumns=True)
 
 
@@ -69,14 +72,17 @@ def validate(catalog: DataFrame, required: tuple[str, ...] = (), allowed_tags: t
     """``catalog`` with ``error``: the first rule that an entry breaks, or null."""
     name = F.col("display_name")
     checks = [
-        (F.coalesce(F.trim(name) == "", F.lit(True)), "display name is empty"),
+        (F.coalesce(name == "", F.lit(True)), "display name is empty"),
         (F.octet_length(name) > 100, "display name is too long"),
         (F.coalesce(F.col("slug") == "", F.lit(True)), "slug is empty"),
         (~valid_slug(F.col("slug")), "slug is invalid"),
         *[(F.col("attributes")[a].isNull(), f"missing attribute: {a}") for a in required],
     ]
     if allowed_tags is not None:
-        checks.append((F.coalesce(F.size(F.array_except("tags", F.array(*[F.lit(t) for t in allowed_tags]).cast("array<string>"))) > 0, F.lit(False)), "tag is not allowed"))
+        # Case counts for nothing in ASCII letters, and in no others.
+        upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+        allowed = F.array(*[F.translate(F.lit(t), upper, lower) for t in allowed_tags]).cast("array<string>")
+        checks.append((F.coalesce(F.exists("tags", lambda t: ~F.array_contains(allowed, F.translate(t, upper, lower))), F.lit(False)), "tag is not allowed"))
     out = None
     for bad, message in checks:
         out = F.when(bad, message) if out is None else out.when(bad, message)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import KINDS, Compiler
@@ -18,19 +18,33 @@ def typed(tracker: ir.Tracker, df: DataFrame, event_id: str = "event_id", ts: st
     """An event frame from a frame that has the payload's fields as columns; declared
     fields that it lacks are null. ``ts`` is a timestamp or epoch milliseconds.
 
-    ``window``: keep its events alone, by a condition on the column as it is stored,
-    which reaches the scan. (Milliseconds are floors, so the end's whole millisecond
-    is inside.) Alerts and total counts want the frame without it.
+    A stored timestamp stays beside its milliseconds, as ``event_time``, so that a
+    window's condition reaches the scan. ``window``: keep its events alone; alerts and
+    total counts want the frame without it.
     """
     kind = dict(df.dtypes)[ts]
-    if window:
-        bound = lambda ms: F.lit(ms).cast(kind) if kind in ("bigint", "int") else F.timestamp_millis(F.lit(ms).cast("long")).cast(kind)
-        df = df.where((F.col(ts) >= bound(window.start)) & (F.col(ts) < bound(window.end + 1)))
     millis = F.col(ts).cast("long") if kind in ("bigint", "int") else F.unix_millis(F.col(ts).cast("timestamp"))
     own = {c.lower() for c in df.columns}
     fields = [(F.col(f"`{f.name}`") if f.name.lower() in own else F.lit(None)).cast(f.type.spark).alias(f.name) for f in tracker.fields if f.name not in ("event_id", "ts", "tracker_id")]
     more = [F.col(c) for c in (raw, meta) if c]
-    return df.select(F.col(event_id).cast("string").alias("event_id"), F.lit(tracker.id).alias("tracker_id"), millis.alias("ts"), *fields, *more)
+    if kind not in ("bigint", "int"):
+        more.append(F.col(ts).alias(STORED))
+    out = df.select(F.col(event_id).cast("string").alias("event_id"), F.lit(tracker.id).alias("tracker_id"), millis.alias("ts"), *fields, *more)
+    return out.where(inside(window, out)) if window else out
+
+
+#: A timestamp as it is stored, where the events have one.
+STORED = "event_time"
+
+
+def inside(window: ir.TimeWindow, events: DataFrame) -> Column:
+    """Both ends belong to a window. (Milliseconds are floors, so a stored time's end is
+    the whole millisecond.)"""
+    kind = dict(events.dtypes).get(STORED)
+    if kind is None:
+        return F.col("ts").between(window.start, window.end)
+    bound = lambda ms: F.timestamp_millis(F.lit(ms).cast("long")).cast(kind)
+    return (F.col(STORED) >= bound(window.start)) & (F.col(STORED) < bound(window.end + 1))
 
 
 def derive(tracker: ir.Tracker, events: DataFrame, strict: bool = False, raw: str | None = None, meta: str | None = None) -> tuple[DataFrame, dict[str, str]]:
@@ -58,8 +72,14 @@ def assert_derivable(tracker: ir.Tracker, events: DataFrame, **columns: str) ->
         df.agg(*[F.count(f"`{d.name}`") for d in tracker.derives]).collect()
 
 
-def ensure_tracker(tracker: ir.Tracker, events: DataFrame) -> None:
+def ensure_tracker(tracker: ir.Tracker, events: DataFrame, code: ErrorCode = ErrorCode.TRACKER_MISMATCH) -> None:
     """Refuse a log with another tracker's events."""
     other = events.where(F.col("tracker_id") != tracker.id).select("tracker_id").limit(1).collect()
     if other:
-        raise EngineError(f"tracker mismatch: {other[0][0]}", ErrorCode.TRACKER_MISMATCH)
+        raise EngineError(f"{'state' if code is ErrorCode.STATE_MISMATCH else 'tracker'} mismatch: {other[0][0]}", code)
+
+
+def derive_event(tracker: ir.Tracker, events: DataFrame, strict: bool = True, **columns: str | None) -> DataFrame:
+    """Events of this tracker with their derived values."""
+    ensure_tracker(tracker, events)
+    return derive(tracker, events, strict, **columns)[0]

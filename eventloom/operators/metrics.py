@@ -1,32 +1,29 @@
 """Metrics, alerts and simulations over event frames.
 
-Metrics with the same grouping are aggregated together, in one scan and one
-shuffle of partial results. Results are long: ``metric, group_key, value``.
+All metrics are aggregated together, in one scan and one shuffle of partial results,
+whatever their groupings: an event stands once under its key of each grouping. Results
+are long: ``metric, group_key, value``.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import Compiler, Value, truthy
+from ..functions.expressions import Compiler, Value, any_number, key_text, truthy
 from ..functions.timefn import label
 from ..functions.values import render_key, round2
 from ..plans import ir
 from ..plans.ir import EngineError, ErrorCode, Grain, MetricFilter, Query, TimeWindow
-from .events import derive, ensure_tracker
+from .events import derive, ensure_tracker, inside
 
 RESERVED = "window_event_count"
-
-
-def inside(window: TimeWindow) -> Column:
-    """Both ends belong to a window."""
-    return F.col("ts").between(window.start, window.end)
+#: The place of an event in its log, where the source has one.
+ARRIVAL = "arrival"
 
 
 def target(metric: ir.Metric, compiler: Compiler) -> Value | None:
@@ -38,24 +35,35 @@ def target(metric: ir.Metric, compiler: Compiler) -> Value | None:
     return compiler.value(metric.target)
 
 
-def aggregate(metric: ir.Metric, compiler: Compiler, when: Column | None = None) -> Column:
-    """The aggregate of a metric; ``when`` restricts it to some rows."""
+def operand(metric: ir.Metric, compiler: Compiler) -> Column | None:
+    """What is aggregated, as numbers; null where there is none to aggregate, none at all for a count."""
     v = target(metric, compiler)
     if v is None:
+        return None
+    if v.kind == "any":
+        return any_number(v.col, bools=True)
+    return v.col.cast("double") if v.kind in ("num", "bool") else F.lit(None).cast("double")
+
+
+def aggregated(func: str, x: Column | None, when: Column | None = None) -> Column:
+    """The aggregate of an operand; ``when`` restricts it to some rows."""
+    if x is None:
         return F.count(F.lit(1) if when is None else F.when(when, F.lit(1)))
-    x = v.col.cast("double") if v.kind in ("num", "bool") else F.lit(None).cast("double")
     x = x if when is None else F.when(when, x)
-    if metric.func == "sum":
+    if func == "sum":
         return round2(F.coalesce(F.sum(x), F.lit(0.0)))
-    return round2({"avg": F.avg, "min": F.min, "max": F.max}[metric.func](x))
+    return round2({"avg": F.avg, "min": F.min, "max": F.max}[func](x))
+
+
+def aggregate(metric: ir.Metric, compiler: Compiler, when: Column | None = None) -> Column:
+    return aggregated(metric.func, operand(metric, compiler), when)
 
 
 def dimension(name: str, compiler: Compiler) -> Column:
     """A group key's part: a time grain or a field."""
     if name in {g.value for g in Grain} and name not in compiler.kinds:
         return label(F.col("ts"), Grain(name))
-    v = compiler.ref(name)
-    return render_key(v.col, v.kind)
+    return key_text(compiler.ref(name))
 
 
 def grouping(metric: ir.Metric, override: tuple[str, ...] | None = None) -> tuple[str, ...]:
@@ -103,7 +111,7 @@ def metric_by_name(tracker: ir.Tracker, events: DataFrame, name: str, group_by:
     """One metric, as ``group_key, value`` (null and one row if it has no groups)."""
     metric = tracker.metric(name)
     df, c = prepared(tracker, events, options)
-    for cond in ([inside(window)] if window else []) + [metric_filter(f, c) for f in filters]:
+    for cond in ([inside(window, df)] if window else []) + [metric_filter(f, c) for f in filters]:
         df = df.where(cond)
     dims = grouping(metric, group_by)
     if not dims:
@@ -111,49 +119,79 @@ def metric_by_name(tracker: ir.Tracker, events: DataFrame, name: str, group_by:
     return df.groupBy(group_key(dims, c).alias("group_key")).agg(aggregate(metric, c).alias("value"))
 
 
+def all_groups(df: DataFrame, metrics: list[ir.Metric], c: Compiler, more: dict[str, Column | None]) -> DataFrame:
+    """``metric, group_key`` and the aggregate of every metric over the rows of each of
+    ``more``'s conditions, as columns of its names; ``present`` is whether the first one
+    has any row in the group. Groups are there if any row is; without groups there is a row in any case."""
+    by: dict[tuple[str, ...], list[ir.Metric]] = {}
+    for m in metrics:
+        by.setdefault(grouping(m), []).append(m)
+    sets = list(by)
+    inputs = {m.name: operand(m, c) for m in metrics}
+    names = {m.name: f"x{i}" for i, m in enumerate(metrics) if inputs[m.name] is not None}
+    flags = {f"f{i}": cond for i, cond in enumerate(more.values()) if cond is not None}
+    columns = {**{names[k]: inputs[k] for k in names}, **flags}
+    # Each row under its key of every grouping; one that has no groups has a row that counts for nothing, too.
+    places = [F.struct(F.lit(i).alias("set"), (group_key(dims, c) if dims else F.lit(None).cast("string")).alias("key")) for i, dims in enumerate(sets)]
+    slim = df.select(F.array(*places).alias("places"), F.lit(True).alias("real"), *[x.alias(k) for k, x in columns.items()])
+    if () in sets:
+        kinds = dict(slim.dtypes)
+        none = F.array(F.struct(F.lit(sets.index(())).alias("set"), F.lit(None).cast("string").alias("key")))
+        slim = slim.union(df.sparkSession.range(1).select(none, F.lit(False), *[F.lit(None).cast(kinds[k]) for k in columns]))
+    each = slim.select(F.explode("places").alias("place"), "real", *columns).select("place.set", "place.key", "real", *columns)
+    aggs = []
+    for i, dims in enumerate(sets):
+        for m in by[dims]:
+            for j, (name, cond) in enumerate(more.items()):
+                when = (F.col("set") == i) & F.col("real") & (F.col(f"f{j}") if cond is not None else F.lit(True))
+                aggs.append(aggregated(m.func, F.col(names[m.name]) if m.name in names else None, when).cast("double").alias(f"{m.name}\0{name}"))
+    first = F.col("real") & (F.col("f0") if next(iter(more.values())) is not None else F.lit(True))
+    wide = each.groupBy("set", "key").agg(*aggs, (F.count_if(first) > 0).alias("present"))
+    rows = [F.struct(F.lit(i).alias("set"), F.lit(m.name).alias("metric"), *[F.col(f"`{m.name}\0{name}`").alias(name) for name in more]) for i, dims in enumerate(sets) for m in by[dims]]
+    own = wide.select("key", "present", F.explode(F.filter(F.array(*rows), lambda r: r["set"] == F.col("set"))).alias("r"))
+    return own.select("r.metric", F.col("key").alias("group_key"), *[f"r.{name}" for name in more], "present")
+
+
 def compute_metrics(tracker: ir.Tracker, events: DataFrame, window: TimeWindow | None = None, options: Options = Options()) -> DataFrame:
     """All metrics, ``metric, group_key, value``; with a window also the count of its events."""
     df, c = prepared(tracker, events, options)
-    df = df.where(inside(window)) if window else df
+    df = df.where(inside(window, df)) if window else df
     metrics = [m for m in tracker.metrics if not (window and m.name == RESERVED)]
     if window:
         metrics.append(ir.Metric(RESERVED, "count"))
-    by: dict[tuple[str, ...], list[ir.Metric]] = {}
-    for m in metrics:
-        by.setdefault(grouping(m), []).append(m)
-    parts = []
-    for dims, own in by.items():
-        aggs = [aggregate(m, c).cast("double").alias(f"m{i}") for i, m in enumerate(own)]
-        wide = df.groupBy(group_key(dims, c).alias("group_key")).agg(*aggs) if dims else df.agg(*aggs).withColumn("group_key", F.lit(None).cast("string"))
-        rows = F.array(*[F.struct(F.lit(m.name).alias("metric"), F.col(f"m{i}").alias("value")) for i, m in enumerate(own)])
-        parts.append(wide.select("group_key", F.explode(rows).alias("r")).select("r.metric", "group_key", "r.value"))
-    if not parts:
+    if not metrics:
         return events.sparkSession.createDataFrame([], "metric string, group_key string, value double")
-    return reduce(DataFrame.unionByName, parts)
+    return all_groups(df, metrics, c, {"value": None}).select("metric", "group_key", "value")
 
 
 def counts(events: DataFrame, window: TimeWindow | None = None) -> DataFrame:
     """``total_events, window_events``, in one scan."""
-    return events.agg(F.count(F.lit(1)).alias("total_events"), F.count(F.when(inside(window), 1) if window else F.lit(1)).alias("window_events"))
+    return events.agg(F.count(F.lit(1)).alias("total_events"), F.count(F.when(inside(window, events), 1) if window else F.lit(1)).alias("window_events"))
 
 
 def alerts(tracker: ir.Tracker, events: DataFrame, options: Options = Options()) -> DataFrame:
-    """``alert, event_id, value, ordinal`` where an alert's value counts. The query's
-    window has no say in it. Values are text: numbers, true, a signal's JSON."""
+    """``alert, event_id, value, ordinal`` where an alert's value counts, and ``arrival`` of
+    events that have one. The query's window has no say in it. Values are text: numbers,
+    true, a signal's JSON. Their order is that of arrival, then of declaration."""
+    order = [ARRIVAL] if ARRIVAL in events.columns else []
     df, kinds = derive(tracker, events, options.strict, **options.columns())
     c = Compiler(kinds, "D", options.strict, **options.columns())
     rows = []
     for i, a in enumerate(tracker.alerts):
         v = c.value(a.expr)
-        text = F.to_json(v.col) if v.kind == "signal" else render_key(v.col, v.kind)
+        if v.kind != "any":
+            text = F.to_json(v.col) if v.kind == "signal" else render_key(v.col, v.kind)
+        else:
+            text = F.when(F.schema_of_variant(v.col).rlike("^(OBJECT|ARRAY)"), F.to_json(v.col)).otherwise(key_text(v))
         rows.append(F.struct(F.lit(a.name).alias("alert"), F.lit(i).alias("ordinal"), text.alias("value"), truthy(v).alias("on")))
     if not rows:
-        return events.sparkSession.createDataFrame([], "alert string, event_id string, value string, ordinal int")
-    return df.select("event_id", F.explode(F.array(*rows)).alias("a")).where("a.on").select("a.alert", "event_id", "a.value", "a.ordinal")
+        return events.sparkSession.createDataFrame([], "alert string, event_id string, value string, ordinal int" + ", arrival bigint" * len(order))
+    return df.select("event_id", *order, F.explode(F.array(*rows)).alias("a")).where("a.on").select("a.alert", "event_id", "a.value", "a.ordinal", *order)
 
 
-def simulate(tracker: ir.Tracker, events: DataFrame, hypothetical: DataFrame, options: Options = Options()) -> DataFrame:
-    """``metric, group_key, base, hypothetical, delta`` in one pass over both logs.
+def simulate(tracker: ir.Tracker, events: DataFrame, hypothetical: DataFrame, query: Query = Query(), options: Options = Options()) -> DataFrame:
+    """``metric, group_key, base, hypothetical, delta`` in one pass over both logs, inside
+    the query's window, with the count of its events.
 
     A delta is the difference of ungrouped numbers, else the hypothetical value; a
     metric without groups is null before the first number.
@@ -161,21 +199,18 @@ def simulate(tracker: ir.Tracker, events: DataFrame, hypothetical: DataFrame, op
     flag = "is_hypothetical"
     both = events.withColumn(flag, F.lit(False)).unionByName(hypothetical.withColumn(flag, F.lit(True)))
     df, c = prepared(tracker, both, options)
-    by: dict[tuple[str, ...], list[ir.Metric]] = {}
-    for m in tracker.metrics:
-        by.setdefault(grouping(m), []).append(m)
-    parts = []
-    for dims, own in by.items():
-        aggs = [x for i, m in enumerate(own) for x in (aggregate(m, c, ~F.col(flag)).cast("double").alias(f"b{i}"), aggregate(m, c).cast("double").alias(f"h{i}"))]
-        aggs.append(F.count(F.when(~F.col(flag), 1)).alias("n_base"))
-        wide = df.groupBy(group_key(dims, c).alias("group_key")).agg(*aggs) if dims else df.agg(*aggs).withColumn("group_key", F.lit(None).cast("string"))
-        there = F.col("n_base") > 0 if dims else F.lit(True)
-        rows = F.array(*[F.struct(F.lit(m.name).alias("metric"), F.when(there, F.col(f"b{i}")).alias("base"), F.col(f"h{i}").alias("hypothetical")) for i, m in enumerate(own)])
-        delta = F.col("r.hypothetical") if dims else F.coalesce(F.col("r.hypothetical") - F.col("r.base"), F.col("r.hypothetical"))
-        parts.append(wide.select("group_key", F.explode(rows).alias("r")).select("r.metric", "group_key", "r.base", "r.hypothetical", delta.alias("delta")))
-    if not parts:
+    window = query.time_window
+    df = df.where(inside(window, df)) if window else df
+    metrics = [m for m in tracker.metrics if not (window and m.name == RESERVED)]
+    if window:
+        metrics.append(ir.Metric(RESERVED, "count"))
+    if not metrics:
         return events.sparkSession.createDataFrame([], "metric string, group_key string, base double, hypothetical double, delta double")
-    return reduce(DataFrame.unionByName, parts)
+    rows = all_groups(df, metrics, c, {"base": ~F.col(flag), "hypothetical": None})
+    grouped = F.col("metric").isin(*[m.name for m in metrics if m.name != RESERVED and grouping(m)])
+    base = F.when(~grouped | F.col("present"), F.col("base"))
+    delta = F.when(grouped, F.col("hypothetical")).otherwise(F.coalesce(F.col("hypothetical") - F.col("base"), F.col("hypothetical")))
+    return rows.select("metric", "group_key", base.alias("base"), "hypothetical", delta.alias("delta"))
 
 
 @dataclass
@@ -191,10 +226,10 @@ class Output:
         return json.dumps(self.__dict__, sort_keys=True)
 
 
-def envelope(tracker: ir.Tracker, long: DataFrame) -> dict[str, Any]:
+def envelope(tracker: ir.Tracker, rows: list[Any]) -> dict[str, Any]:
     """Long rows as an object: ungrouped metrics by value, grouped ones by key."""
     out: dict[str, Any] = {m.name: {} for m in tracker.metrics if grouping(m)}
-    for r in long.orderBy("metric", "group_key").collect():
+    for r in sorted(rows, key=lambda r: (r["metric"], r["group_key"] or "")):
         if r["group_key"] is None:
             out[r["metric"]] = r["value"]
         else:
@@ -202,9 +237,34 @@ def envelope(tracker: ir.Tracker, long: DataFrame) -> dict[str, Any]:
     return dict(sorted(out.items()))
 
 
+def found_alerts(tracker: ir.Tracker, events: DataFrame, options: Options) -> list[dict[str, Any]]:
+    found = alerts(tracker, events, options)
+    rows = found.orderBy(*([ARRIVAL] if ARRIVAL in found.columns else ["event_id"]), "ordinal").collect()
+    return [{"alert": r["alert"], "event_id": r["event_id"], "value": r["value"]} for r in rows]
+
+
 def compute(tracker: ir.Tracker, events: DataFrame, query: Query = Query(), options: Options = Options()) -> Output:
-    """Everything a query answers; its metrics and alerts come to the driver."""
+    """Everything a query answers, on the driver: for logs whose groups and alerts fit
+    there. ``compute_metrics``, ``alerts`` and ``counts`` give the same as frames."""
     ensure_tracker(tracker, events)
     n = counts(events, query.time_window).first()
-    found = alerts(tracker, events, options).orderBy("event_id", "ordinal").collect()
-    return Output(n["total_events"], n["window_events"], envelope(tracker, compute_metrics(tracker, events, query.time_window, options)), [{"alert": r["alert"], "event_id": r["event_id"], "value": r["value"]} for r in found])
+    found = compute_metrics(tracker, events, query.time_window, options).collect()
+    return Output(n["total_events"], n["window_events"], envelope(tracker, found), found_alerts(tracker, events, options))
+
+
+def simulation(tracker: ir.Tracker, events: DataFrame, hypothetical: DataFrame, query: Query = Query(), options: Options = Options()) -> dict[str, Any]:
+    """Outputs before and after the hypothetical events, and what changes, on the driver.
+    Either log may hold no other tracker's events."""
+    ensure_tracker(tracker, hypothetical)
+    if ARRIVAL in events.columns and ARRIVAL in hypothetical.columns:
+        n = events.agg(F.coalesce(F.max(ARRIVAL) + 1, F.lit(0))).first()[0]
+        hypothetical = hypothetical.withColumn(ARRIVAL, F.col(ARRIVAL) + n)
+    base = compute(tracker, events, query, options)
+    future = compute(tracker, events.unionByName(hypothetical), query, options)
+
+    def changed(name: str) -> Any:
+        a, b = base.metrics.get(name), future.metrics[name]
+        return b - a if all(isinstance(x, (int, float)) for x in (a, b)) else b
+
+    delta = {"total_events_delta": future.total_events - base.total_events, "metrics": {k: changed(k) for k in future.metrics}}
+    return {"base": base.__dict__, "hypothetical": future.__dict__, "delta": delta}

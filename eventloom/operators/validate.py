@@ -83,17 +83,23 @@ def check(tracker: ir.Tracker, raw: DataFrame, column: str = "json") -> DataFram
     return df.drop("event_kind", "payload_kind", "meta_kind", "fault", *[f"kind_{i}" for i in range(len(tracker.fields))])
 
 
-def validate(tracker: ir.Tracker, raw: DataFrame, column: str = "json") -> tuple[DataFrame, DataFrame]:
-    """Valid events as an event frame (with ``payload_raw`` and ``meta_raw``), and the
-    quarantine: the raw column, ``error_code`` and ``message``."""
-    df = check(tracker, raw, column)
-    good = df.where(F.col("error_code").isNull())
-    fields = []
+def with_fields(tracker: ir.Tracker, checked: DataFrame) -> DataFrame:
+    """Checked rows with ``tracker_id`` and the payload's fields as columns."""
+    fields = {}
     for f in tracker.fields:
         value = _at(F.col("payload_raw"), f.name)
         got = F.try_variant_get(F.col("payload_raw"), f"$['{f.name}']", f.type.spark)
         default = F.lit(None) if f.default is ir.MISSING else F.lit(f.default)
         # A default fills what is absent, never a null that is there.
-        fields.append(F.when(_kind(value).isNull(), default).otherwise(got).cast(f.type.spark).alias(f.name))
-    valid = good.select("event_id", F.lit(tracker.id).alias("tracker_id"), "ts", *fields, "payload_raw", "meta_raw")
+        fields[f.name] = F.when(_kind(value).isNull(), default).otherwise(got).cast(f.type.spark)
+    return checked.withColumns({"tracker_id": F.lit(tracker.id), **fields})
+
+
+def validate(tracker: ir.Tracker, raw: DataFrame, column: str = "json") -> tuple[DataFrame, DataFrame]:
+    """Valid events as an event frame (with ``payload_raw`` and ``meta_raw``), and the
+    quarantine: the raw column, ``error_code`` and ``message``. They are two branches of
+    one plan, so that what uses both does well to write ``check``'s rows once."""
+    df = check(tracker, raw, column)
+    good = with_fields(tracker, df.where(F.col("error_code").isNull()))
+    valid = good.select("event_id", "tracker_id", "ts", *[f"`{f.name}`" for f in tracker.fields], "payload_raw", "meta_raw")
     return valid, df.where(F.col("error_code").isNotNull()).select(column, "error_code", "message")

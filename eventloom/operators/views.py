@@ -18,10 +18,6 @@ from ..plans.ir import EngineError, ErrorCode, MetricFilter
 from .analytics import distribution
 from .metrics import Options, aggregate, group_key, grouping, metric_by_name, metric_filter, prepared
 
-#: A catalog is broadcast up to so many keys; beyond, the join is left to Spark.
-BROADCAST_KEYS = 200_000
-
-
 def _bad(message: str) -> EngineError:
     return EngineError(message, ErrorCode.EVENT_VALIDATION_FAILED)
 
@@ -127,17 +123,19 @@ def catalog_keys(catalog: DataFrame, fields: list[str], empty: bool = False) ->
     return catalog.select("*", F.explode(keys).alias("k")).select("*", F.col("k.key").alias("key")).drop("k").where(F.col("key").isNotNull())
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A broadcast where the side is seen to be small, else the frame itself."""
-    return F.broadcast(df) if df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else df
+def _key(lookup: Column, salt: Column) -> Column:
+    """A lookup's text; nulls, which find nothing, are dealt out instead of meeting in one task."""
+    return F.when(lookup.isNotNull(), lookup).otherwise(F.concat(F.lit("\0"), F.pmod(F.xxhash64(salt), F.lit(1024)).cast("string")))
 
 
-def enrich(events: DataFrame, catalog: DataFrame, config: dict[str, Any], order: str | None = None) -> DataFrame:
+def enrich(events: DataFrame, catalog: DataFrame, config: dict[str, Any], order: str | None = None, raw: str | None = None) -> DataFrame:
     """Copy catalog fields into events, by ``config["enrich_fields"]``.
 
     Outputs go in order of name, so that a later lookup may read an earlier output.
     An event's lookup text is taken raw; the first entry with the key wins, by
-    ``order`` (else the catalog's row order). Events that have the output keep it.
+    ``order`` (else the catalog's row order). Events that have the output keep it, as
+    they keep a null that is there where ``raw`` names the payload's VARIANT. The keyed
+    catalog is small or large as Spark finds it when it runs.
     """
     ranked = catalog.withColumn("catalog_order", F.col(order).cast("long") if order else F.monotonically_increasing_id())
     for out, spec in sorted((config.get("enrich_fields") or {}).items()):
@@ -145,19 +143,19 @@ def enrich(events: DataFrame, catalog: DataFrame, config: dict[str, Any], order:
         if not fields or source not in catalog.columns or spec["lookup_field"] not in events.columns:
             continue
         keyed = catalog_keys(ranked, fields).groupBy("key").agg(F.min_by(F.col(f"`{source}`"), "catalog_order").alias("catalog_value")).withColumnRenamed("key", "catalog_key")
-        joined = events.join(_small(keyed), events[spec["lookup_field"]].cast("string") == F.col("catalog_key"), "left")
-        if out in events.columns:
-            value = F.coalesce(F.col(out), F.col("catalog_value"))
-            events = joined.withColumn(out, value).drop("catalog_key", "catalog_value")
-        else:
-            events = joined.withColumnRenamed("catalog_value", out).drop("catalog_key")
+        salt = F.col("event_id") if "event_id" in events.columns else F.monotonically_increasing_id()
+        lookup = events.withColumn("catalog_lookup", _key(F.col(spec["lookup_field"]).cast("string"), salt))
+        joined = lookup.join(keyed, F.col("catalog_lookup") == F.col("catalog_key"), "left")
+        own = F.col(f"`{out}`") if out in events.columns else F.lit(None)
+        there = own.isNotNull() | (F.try_variant_get(raw, f"$['{out}']", "variant").isNotNull() if raw else F.lit(False))
+        events = joined.withColumn(out, F.when(there, own).otherwise(F.col("catalog_value"))).drop("catalog_lookup", "catalog_key", "catalog_value")
     return events
 
 
 def catalog_misses(events: DataFrame, column: str, catalog: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Events whose text is in no entry, neither raw nor normalized; events without a
     text are no misses."""
-    keys = _small(catalog_keys(catalog, fields or ["slug", "display_name"], empty=True).select("key").distinct())
+    keys = catalog_keys(catalog, fields or ["slug", "display_name"], empty=True).select("key").distinct()
     some = events.where(F.col(column).isNotNull())
     raw = some.join(keys, some[column] == F.col("key"), "left_anti")
     return raw.join(keys, normalize_key(raw[column]) == F.col("key"), "left_anti")
@@ -196,19 +194,32 @@ def metric_series(tracker: ir.Tracker, events: DataFrame, p: ViewPlan, options:
 
 
 def view_distribution(tracker: ir.Tracker, events: DataFrame, p: ViewPlan, options: Options = Options()) -> DataFrame:
-    """``label, value, percentage`` of a view's groups."""
+    """``label, value, percentage`` of a view's groups with values above zero."""
     df, c = prepared(tracker, events, options)
     grouped = _filtered(df, p, c).groupBy(group_key((p.group_field,), c).alias("label")).agg(_value(tracker, p.metric, c).cast("double").alias("value"))
-    return distribution(grouped)
-
-
-def distinct_count(column: str) -> Column:
-    """Distinct values; a null that is there counts as one."""
-    return F.countDistinct(column) + F.max(F.col(column).isNull().cast("long"))
+    return distribution(grouped.where(F.col("value").cast("float") > 0))
+
+
+def _present(tracker: ir.Tracker, df: DataFrame, field: str, options: Options) -> Column:
+    """A payload field's value as JSON, null only where the event doesn't have the field:
+    a derive is in every event, and a null in the payload's VARIANT is there. Without
+    that VARIANT a null column is a missing field."""
+    own = None
+    if field in df.columns:
+        own = F.to_json(F.array(F.col(f"`{field}`")))
+        own = F.substring(own, 2, F.length(own) - 2)
+        if field in {d.name for d in tracker.derives}:
+            return F.when(F.col(f"`{field}`").isNull(), F.lit("null")).otherwise(own)
+        own = F.when(F.col(f"`{field}`").isNotNull(), own)
+    if options.raw is None:
+        return own if own is not None else F.lit(None).cast("string")
+    v = F.try_variant_get(F.col(options.raw), f"$['{field}']", "variant")
+    raw = F.when(v.isNotNull(), F.coalesce(F.to_json(v), F.lit("null")))
+    return F.coalesce(raw, own) if own is not None else raw
 
 
 def totals(tracker: ir.Tracker, events: DataFrame, config: dict[str, Any], options: Options = Options()) -> DataFrame:
-    """A view's totals, ``total, group_key, value``; neither filters nor windows apply.
+    """A view's totals, ``total, group_key, value`` and whether it is ``whole``; neither filters nor windows apply.
 
     Kind ``metric_total`` has a metric (with its own grouping), ``distinct_count`` a
     payload field; ``coerce`` makes integers (half away from zero) or floats.
@@ -224,13 +235,13 @@ def totals(tracker: ir.Tracker, events: DataFrame, config: dict[str, Any], optio
                 raise _bad(f"{how} total coercion requires numeric value")
             found = metric_by_name(tracker, events, spec["metric"], options=options)
         elif kind == "distinct_count" and spec.get("field"):
-            found = df.agg(F.coalesce(distinct_count(spec["field"]), F.lit(0)).alias("value")).withColumn("group_key", F.lit(None).cast("string"))
+            found = df.agg(F.countDistinct(_present(tracker, df, spec["field"], options)).alias("value")).withColumn("group_key", F.lit(None).cast("string"))
         else:
             raise _bad(f"unsupported totals '{name}'")
         value = F.col("value").cast("double")
-        parts.append(found.select(F.lit(name).alias("total"), "group_key", (F.round(value, 0) if how == "integer" else value).alias("value")))
+        parts.append(found.select(F.lit(name).alias("total"), "group_key", (F.round(value, 0) if how == "integer" else value).alias("value"), F.lit(how == "integer" or kind == "distinct_count" and how is None).alias("whole")))
     if not parts:
-        return df.sparkSession.createDataFrame([], "total string, group_key string, value double")
+        return df.sparkSession.createDataFrame([], "total string, group_key string, value double, whole boolean")
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -264,12 +275,31 @@ class Registry:
 
 @dataclass
 class ViewResult:
-    """A view's frames; ``echo`` has the response fields that come from filters."""
+    """A view's frames; ``echo`` has the response fields that come from filters, and
+    ``kind`` says what the points are."""
 
     points: DataFrame
     totals: DataFrame | None = None
     qa: DataFrame | None = None
     echo: dict[str, Any] = field(default_factory=dict)
+    kind: str = "metric_series"
+    head: dict[str, str] = field(default_factory=dict)
+
+    def answer(self) -> dict[str, Any]:
+        """The view's answer on the driver: its points (or a distribution's items), totals
+        by name and misses by the name of their check."""
+        out: dict[str, Any] = dict(self.head)
+        out["items" if self.kind == "distribution" else "points"] = [r.asDict() for r in self.points.collect()]
+        if self.kind == "distribution":
+            out["totals"] = {}
+            for r in self.totals.collect() if self.totals is not None else ():
+                value = int(r["value"]) if r["whole"] and r["value"] is not None else r["value"]
+                if r["group_key"] is None:
+                    out["totals"][r["total"]] = value
+                else:
+                    out["totals"].setdefault(r["total"], {})[r["group_key"]] = value
+            out |= {r["check"]: r["misses"] for r in self.qa.collect()} if self.qa is not None else {}
+        return out | {k: v for k, v in self.echo.items() if v is not None}
 
 
 def run(tracker: ir.Tracker, events: DataFrame, query: str | dict[str, Any], catalog: DataFrame | None = None, offset_minutes: int = 0, registry: Registry | None = None, options: Options = Options()) -> ViewResult | DataFrame:
@@ -282,9 +312,12 @@ def run(tracker: ir.Tracker, events: DataFrame, query: str | dict[str, Any], cat
         return fn(events, offset_minutes, catalog, **p.params)
     config = p.view.config
     if catalog is not None:
-        events = enrich(events, catalog, config)
+        events = enrich(events, catalog, config, "catalog_row" if "catalog_row" in catalog.columns else None, options.raw)
     echo = {k: p.values.get(spec["from_filter"]) for k, spec in (config.get("response_fields") or {}).items() if isinstance(spec, dict) and "from_filter" in spec}
-    if config.get("result_kind", "metric_series") == "metric_series":
-        return ViewResult(metric_series(tracker, events, p, options), echo=echo)
+    kind, head = config.get("result_kind", "metric_series"), {"metric": p.metric_key, "group_by": p.group_key}
+    if kind not in ("metric_series", "distribution"):
+        raise _bad(f"unsupported result_kind '{kind}'")
+    if kind == "metric_series":
+        return ViewResult(metric_series(tracker, events, p, options), echo=echo, head=head)
     checks = qa(events, catalog, config) if catalog is not None and config.get("qa") else None
-    return ViewResult(view_distribution(tracker, events, p, options), totals(tracker, events, config, options) if config.get("totals") else None, checks, echo)
+    return ViewResult(view_distribution(tracker, events, p, options), totals(tracker, events, config, options) if config.get("totals") else None, checks, echo, kind, head)

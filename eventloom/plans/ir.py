@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from dataclasses import dataclass, field, replace
 from enum import Enum, IntEnum
 from typing import Any
@@ -59,17 +60,26 @@ class ErrorCode(IntEnum):
         names = {10: "parsing", 11: "validation", 12: "evaluation", 13: "catalog", 14: "planning", 15: "storage"}
         return "success" if self == 0 else names.get(self // 100, "unknown")
 
+    @property
+    def severity(self) -> str:
+        """How bad an error of the code is, unless it says so itself."""
+        if self == 0:
+            return "success"
+        if self.name in ("FIELD_NOT_FOUND", "CATALOG_ENTRY_NOT_FOUND", "PLANNING_NO_CANDIDATES"):
+            return "warning"
+        return "fatal" if self.name in ("DIVISION_BY_ZERO", "CIRCULAR_DEPENDENCY", "STORAGE_ERROR", "SQLITE_ERROR", "FILE_IO_ERROR") else "error"
+
 
 class EngineError(Exception):
     """An error with its code and, where known, its statement and context."""
 
-    def __init__(self, message: str, code: ErrorCode = ErrorCode.UNKNOWN, *, line: int | None = None, context: dict[str, Any] | None = None, severity: str = "error") -> None:
+    def __init__(self, message: str, code: ErrorCode = ErrorCode.UNKNOWN, *, line: int | None = None, context: dict[str, Any] | None = None, severity: str | None = None) -> None:
         super().__init__(message)
-        self.message, self.code, self.line, self.severity = message, code, line, severity
-        self.context = dict(context or {})
+        self.message, self.code, self.line, self.severity = message, code, line, severity or code.severity
+        self.context, self.timestamp_ms = dict(context or {}), time.time_ns() // 1_000_000
 
     def to_json(self) -> str:
-        out: dict[str, Any] = {"code": int(self.code), "message": self.message, "context": self.context, "severity": self.severity}
+        out: dict[str, Any] = {"code": int(self.code), "message": self.message, "context": self.context, "severity": self.severity, "timestamp_ms": self.timestamp_ms}
         if self.line is not None:
             out["source_location"] = {"line": self.line}
         return json.dumps(out)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +25,11 @@ def _array(text: str, what: str) -> list[dict]:
 
 
 def _typed(spark: SparkSession, tracker: ir.Tracker, rows: list[tuple[str, str, int, str, str]]) -> DataFrame:
-    df = spark.createDataFrame(rows, "event_id string, tracker_id string, ts bigint, payload string, meta string")
+    numbered = [(*r, i) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(numbered, "event_id string, tracker_id string, ts bigint, payload string, meta string, arrival bigint")
     df = df.withColumns({"payload_raw": F.parse_json("payload"), "meta_raw": F.parse_json("meta")})
     fields = [F.try_variant_get("payload_raw", f"$['{f.name}']", f.type.spark).alias(f.name) for f in tracker.fields]
-    return df.select("event_id", "tracker_id", "ts", *fields, "payload_raw", "meta_raw")
+    return df.select("event_id", "tracker_id", "ts", *fields, "payload_raw", "meta_raw", "arrival")
 
 
 def parse_events(spark: SparkSession, tracker: ir.Tracker, text: str) -> DataFrame:
@@ -60,6 +62,22 @@ def catalog_rows(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(i, *[plain(r.get(n)) for n in names]) for i, r in enumerate(rows)], schema)
 
 
+def base_catalog(spark: SparkSession, tracker: ir.Tracker, sources: dict[str, str]) -> DataFrame | None:
+    """The catalog that a tracker's entries are based on, from the path under its source's
+    name; None if it names none. A tracker has one source at most."""
+    names = sorted({c.base_source for c in tracker.catalog if c.base_source})
+    if len(names) > 1:
+        raise EngineError(f"a tracker has one base catalog, not {len(names)}: {', '.join(names)}", ErrorCode.CATALOG_VALIDATION_FAILED)
+    if not names:
+        return None
+    if names[0] not in sources:
+        raise EngineError(f"no file for the base catalog '{names[0]}'", ErrorCode.CATALOG_ENTRY_NOT_FOUND)
+    try:
+        return catalog_rows(spark, spark.read.text(sources[names[0]], wholetext=True).first()[0])
+    except AnalysisException as e:
+        raise EngineError(f"no base catalog at {sources[names[0]]}", ErrorCode.FILE_IO_ERROR) from e
+
+
 def catalog_file(spark: SparkSession, path: str) -> DataFrame:
     """Catalog entries of a JSON file; a missing file has none."""
     if "://" not in path and not os.path.exists(path):

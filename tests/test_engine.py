@@ -17,28 +17,29 @@ from eventloom.operators.validate import validate
 from eventloom.plans import ir
 from eventloom.plans.dsl import compile_tracker, expression
 from eventloom.plans.ir import EngineError, Grain, MetricFilter, Query, TimeWindow
+from eventloom.sources import json_events
 
-SAMPLE = """
-tracker "sample" v1 {
-  fields { value_a: float optional, value_b: int optional, group_key: text optional, flag: bool optional }
-  derive { combined_value = if (value_a > 0 && value_b > 0) then value_a * value_b else 0 }
+RACE = """
+tracker "race" v1 {
+  fields { speed: float optional, gear: int optional, lane: text optional, flag: bool optional }
+  derive { effort = if (gear != 0) then speed / gear + 1 else speed }
   metrics {
-    total_value = sum(combined_value) over all_time
-    average = avg(value_a)
-    highest = max(value_a)
-    rows = count(value_a)
+    whole_effort = sum(effort) over all_time
+    mean_speed = avg(speed)
+    top_speed = max(speed)
+    rows = count(speed)
     flags = sum(flag)
-    by_group = sum(value_a) by group_key over week
+    by_lane = sum(speed) by lane over week
     daily = count() over day
   }
-  alerts { big = value_a > 70 }
+  alerts { big = speed > 70 }
 }
 """
 
 
 def frame(spark, rows):
-    t = compile_tracker(SAMPLE)
-    df = spark.createDataFrame([(f"e{i}", ts, a, b, g, f) for i, (ts, a, b, g, f) in enumerate(rows)], "event_id string, ts bigint, value_a double, value_b bigint, group_key string, flag boolean")
+    t = compile_tracker(RACE)
+    df = spark.createDataFrame([(f"e{i}", ts, a, b, g, f) for i, (ts, a, b, g, f) in enumerate(rows)], "event_id string, ts bigint, speed double, gear bigint, lane string, flag boolean")
     return t, typed(t, df)
 
 
@@ -47,10 +48,10 @@ def one(df):
 
 
 def test_derive_and_sum(spark):
-    t, df = frame(spark, [(1000, 80.0, 5, "a", True), (2000, 60.0, 8, "a", None)])
-    assert one(metrics.metric_by_name(t, df, "total_value")) == 880.0
+    t, df = frame(spark, [(1000, 90.0, 4, "a", True), (2000, 33.0, 3, "a", None)])
+    assert one(metrics.metric_by_name(t, df, "whole_effort")) == 35.5
     out = metrics.compute(t, df, Query(TimeWindow(1000, 1000)))
-    assert (out.total_events, out.window_events, out.metrics["total_value"], out.metrics["window_event_count"]) == (2, 1, 400.0, 1.0)
+    assert (out.total_events, out.window_events, out.metrics["whole_effort"], out.metrics["window_event_count"]) == (2, 1, 23.5, 1.0)
     assert [a["event_id"] for a in out.alerts] == ["e0"]  # alerts ignore the window
     assert out.metrics["daily"] == {"1970-01-01": 1.0}
 
@@ -58,19 +59,19 @@ def test_derive_and_sum(spark):
 def test_nulls_and_empty(spark):
     t, df = frame(spark, [(0, None, None, None, True), (1, 1.0, 1, "null", True), (2, 2.0, None, "b", None)])
     get = lambda n: one(metrics.metric_by_name(t, df, n))
-    assert (get("average"), get("highest"), get("rows"), get("flags")) == (1.5, 2.0, 3, 2.0)
-    assert {r["group_key"]: r["value"] for r in metrics.metric_by_name(t, df, "by_group").collect()} == {"null": 1.0, "b": 2.0}  # null meets "null"; by drops over
+    assert (get("mean_speed"), get("top_speed"), get("rows"), get("flags")) == (1.5, 2.0, 3, 2.0)
+    assert {r["group_key"]: r["value"] for r in metrics.metric_by_name(t, df, "by_lane").collect()} == {"null": 1.0, "b": 2.0}  # null meets "null"; by drops over
     empty = df.where("false")
-    assert [one(metrics.metric_by_name(t, empty, n)) for n in ("total_value", "average", "rows")] == [0.0, None, 0]
-    assert metrics.metric_by_name(t, empty, "by_group").collect() == []
-    assert one(metrics.metric_by_name(t, df, "by_group", group_by=())) == 3.0
+    assert [one(metrics.metric_by_name(t, empty, n)) for n in ("whole_effort", "mean_speed", "rows")] == [0.0, None, 0]
+    assert metrics.metric_by_name(t, empty, "by_lane").collect() == []
+    assert one(metrics.metric_by_name(t, df, "by_lane", group_by=())) == 3.0
 
 
 def test_filters_and_errors(spark):
     t, df = frame(spark, [(0, 1.0, 1, "a", True), (1, 2.0, 2, "b", True)])
-    assert one(metrics.metric_by_name(t, df, "rows", filters=(MetricFilter("group_key", "neq", "a"),))) == 1
+    assert one(metrics.metric_by_name(t, df, "rows", filters=(MetricFilter("lane", "neq", "a"),))) == 1
     with pytest.raises(EngineError):
-        metrics.metric_by_name(t, df, "rows", filters=(MetricFilter("value_a", "eq", None),))
+        metrics.metric_by_name(t, df, "rows", filters=(MetricFilter("speed", "eq", None),))
     with pytest.raises(EngineError):
         metrics.metric_by_name(t, df, "nothing")
     with pytest.raises(EngineError):
@@ -170,15 +171,69 @@ def test_simulation(spark):
     t, base = frame(spark, [(0, 1.0, 1, "a", True)])
     _, more = frame(spark, [(1, 5.0, 1, "b", True)])
     rows = {(r["metric"], r["group_key"]): (r["base"], r["hypothetical"], r["delta"]) for r in metrics.simulate(t, base, more).collect()}
-    assert rows["total_value", None] == (1.0, 6.0, 5.0)
-    assert rows["by_group", "b"] == (None, 5.0, 5.0) and rows["by_group", "a"] == (1.0, 1.0, 1.0)
+    assert rows["whole_effort", None] == (2.0, 8.0, 6.0)
+    assert rows["by_lane", "b"] == (None, 5.0, 5.0) and rows["by_lane", "a"] == (1.0, 1.0, 1.0)
 
 
 def test_json_calls(spark):
-    dsl = 'tracker "w" { fields { value: float optional } metrics { total_value = sum(value) over all_time } }'
-    assert json.loads(api.compute(spark, dsl, "[]", ""))["data"]["metrics"]["total_value"] == 0.0
+    dsl = 'tracker "w" { fields { value: float optional } metrics { whole_effort = sum(value) over all_time\n per_day = count() over day } alerts { any = value > 1 } }'
+    assert json.loads(api.compute(spark, dsl, "[]", ""))["data"]["metrics"]["whole_effort"] == 0.0
     assert json.loads(api.compile_json("nonsense"))["code"] == 1000
     assert json.loads(api.validate_event(spark, dsl, '{"event_id":"e","ts":1,"payload":{"value":"x"}}'))["code"] == 1100
     event = json.loads(api.validate_event(spark, dsl, '{"event_id":"e","ts":1,"payload":{"value":2.5}}'))["data"]
     out = json.loads(api.compute(spark, dsl, json.dumps([event])))
-    assert out["data"]["metrics"]["total_value"] == 2.5 and out["data"]["total_events"] == 1
+    assert out["data"]["metrics"]["whole_effort"] == 2.5 and out["data"]["total_events"] == 1
+    # Alerts come in order of arrival, whatever the ids.
+    log = json.dumps([{**event, "event_id": f"e{i}", "ts": i} for i in (9, 10, 2)])
+    assert [a["event_id"] for a in json.loads(api.compute(spark, dsl, log))["data"]["alerts"]] == ["e9", "e10", "e2"]
+    out = json.loads(api.simulate(spark, dsl, log, json.dumps([{**event, "event_id": "h", "ts": 5}]), '{"time_window": {"start": 3, "end": 9}}'))["data"]
+    assert (out["base"]["total_events"], out["base"]["window_events"], out["hypothetical"]["window_events"]) == (3, 1, 2)
+    assert out["delta"] == {"total_events_delta": 1, "metrics": {"per_day": {"1970-01-01": 2.0}, "whole_effort": 2.5, "window_event_count": 1.0}}
+    assert [a["event_id"] for a in out["hypothetical"]["alerts"]] == ["e9", "e10", "e2", "h"]
+    assert json.loads(api.simulate(spark, dsl, log, json.dumps([{**event, "tracker_id": "other"}])))["code"] == 1101
+
+
+def test_undeclared_paths(spark):
+    """Numbers, texts, booleans and objects of payload and meta that nothing declares."""
+    t = compile_tracker('''tracker "open" { fields { a: float optional } derive { deep = payload.more.kind
+      is_x = more.kind == "x"
+      flag = meta.ok
+      ahead = later + 1
+      later = a }
+      metrics { by_kind = sum(more.n) by deep
+        flags = sum(meta.ok) }
+      alerts { object = more
+        text = meta.note } }''')
+    rows = [{"more": {"kind": "x", "n": 2}}, {"more": {"kind": 5, "n": True}}, {"more": {"kind": {"y": 1}, "n": "7"}}, {"a": 1, "more": None}]
+    metas = [{"ok": True, "note": ""}, {"ok": 3, "note": "n"}, {"ok": "true"}, {}]
+    text = json.dumps([{"event_id": str(i), "tracker_id": t.id, "ts": i, "payload": p, "meta": m} for i, (p, m) in enumerate(zip(rows, metas, strict=True))])
+    df = json_events.parse_events(spark, t, text)
+    options = Options(raw="payload_raw", meta="meta_raw")
+    assert {r["group_key"]: r["value"] for r in metrics.metric_by_name(t, df, "by_kind", options=options).collect()} == {"x": 2.0, "5.0": 1.0, "null": 0.0}
+    assert one(metrics.metric_by_name(t, df, "flags", options=options)) == 4.0
+    got = derive(t, df, raw="payload_raw", meta="meta_raw")[0].orderBy("event_id").collect()
+    assert [r["is_x"] for r in got] == [True, False, False, False] and [r["ahead"] for r in got] == [None] * 4 and got[3]["later"] == 1
+    found = metrics.alerts(t, df, options).orderBy("arrival", "ordinal").collect()
+    assert [(r["event_id"], r["alert"], r["value"]) for r in found] == [("0", "object", '{"kind":"x","n":2}'), ("1", "object", '{"kind":5,"n":true}'), ("1", "text", "n"), ("2", "object", '{"kind":{"y":1},"n":"7"}')]
+
+
+def test_groupings_in_one_pass(spark):
+    """All metrics are what each is by itself, and come from one scan."""
+    rng = random.Random(3)
+    t, df = frame(spark, [(rng.randrange(0, 10**9), rng.choice([None, 1.5, 2.5]), rng.choice([None, 0, 2]), rng.choice([None, "a", "b"]), rng.choice([None, True])) for _ in range(60)])
+    for events in (df, df.where("false")):
+        for window in (None, TimeWindow(0, 5 * 10**8)):
+            got = {(r["metric"], r["group_key"]): r["value"] for r in metrics.compute_metrics(t, events, window).collect()}
+            want = {(m.name, r["group_key"]): r["value"] for m in t.metrics for r in metrics.metric_by_name(t, events, m.name, window=window).collect()}
+            if window:
+                want["window_event_count", None] = events.where("ts <= 500000000").count()
+            assert got == want
+    plan = metrics.compute_metrics(t, df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_windows_reach_the_scan(spark, tmp_path):
+    spark.sql("SELECT string(id) AS event_id, timestamp_millis(id * 1000) AS ts, double(id) AS speed FROM range(100)").write.parquet(str(tmp_path / "e"))
+    t = compile_tracker(RACE)
+    df = metrics.metric_by_name(t, typed(t, spark.read.parquet(str(tmp_path / "e"))), "rows", window=TimeWindow(5000, 9999))
+    assert one(df) == 5 and "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in df._jdf.queryExecution().toString()

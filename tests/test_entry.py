@@ -19,7 +19,7 @@ def tables():
     return db
 
 
-@pytest.mark.parametrize("name", sorted(set(entries.queries()) - {"derive_conditional", "agg_sum"}))
+@pytest.mark.parametrize("name", sorted(entries.queries()))
 def test_query(spark, tables, name):
     df = entries.queries()[name](spark, DIR)
     want = tables.sql(entries.oracle_sql()[name])
