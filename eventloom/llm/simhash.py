@@ -54,6 +54,8 @@ BITS, SEED = 64, 42
 PAIR_COST, BLOCK = 0.03, 2_000_000
 #: Rows of a key that one task takes; beyond, they are dealt to blocks. Large keys that are broadcast at most.
 LARGE, BROADCAST = 16_384, 100_000
+#: Texts of a prefix shingle beyond which their pairs are sifted by profiles at once, and pairs that are sifted at a time.
+BUSY, PROFILED = 64, 4_096
 #: One text in so many is looked at for frequent shingles, which are there so often,
 #: and no more than so many of them are told apart.
 SAMPLED, OFTEN, MOST = 16, 6, 1 << 17
@@ -573,47 +575,67 @@ def _hubs(postings: DataFrame, large_keys: np.ndarray, similarity: float) -> Dat
     return found.where("a != b").select("a", "b").union(chain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
-def _unjoined(postings: DataFrame, similarity: float) -> DataFrame:
-    """All pairs ``a, b`` of texts that share a key and have different labels. Rows of a
-    large key are dealt to pairs of blocks (``side`` 0 and 1; 2 within a block)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, label, node, size, place, side in _whole_keys(batches, ["key", "label", "node", "size", "place", "side"]):
-            order = np.lexsort((label, side, key))
-            key, label, node, size, place, side = (c[order] for c in (key, label, node, size, place, side))
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            begin = np.flatnonzero(new)
-            many = np.diff(np.append(begin, len(key)))
-            end = np.repeat(begin + many, many)
-            runs = np.flatnonzero(new | np.concatenate([[True], (label[1:] != label[:-1]) | (side[1:] != side[:-1])]))
-            after = np.repeat(np.append(runs[1:], len(key)), np.diff(np.append(runs, len(key))))
-            other = np.repeat(begin + np.add.reduceat((side == 0).astype(np.int64), begin), many)  # where side 1 begins
-            first = np.where(side == 2, after, other)
-            for left, right in _ranges(first, np.where(side == 1, 0, end - first)):
-                ok = _may_be(size, place, left, right, similarity) & (label[left] != label[right])
-                if ok.any():
-                    yield _as_pairs(node[left[ok]], node[right[ok]])
-
-    large = _large(postings, 1)
-    rows = postings.withColumn("side", F.lit(2))
-    if large is not None:
-        n = F.ceil(F.col("many") / F.lit(LARGE)).cast("int")
-        own = F.pmod(F.xxhash64("node"), n).cast("int")
-        cells = F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct(F.xxhash64("key", F.least(own, x), F.greatest(own, x)).alias("key"), F.when(own == x, 2).when(own < x, 0).otherwise(1).alias("side")))
-        here = F.array(F.struct(F.col("key"), F.lit(2).alias("side")))
-        rows = postings.join(large, "key", "left").select("label", "node", "size", "place", F.explode(F.when(F.col("many").isNull(), here).otherwise(cells)).alias("c")).select("c.key", "label", "node", "size", "place", "c.side")
-    return map_arrow(rows.repartition("key").sortWithinPartitions("key"), run, "a long, b long").distinct()
+def _unjoined(postings: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """All pairs ``a, b`` of texts that share a key, have different labels and can be
+    similar. Rows of a busy key bring their text's profile along, so that its pairs are
+    sifted where they meet and hardly any but similar ones leave the task; rows of a large
+    one are dealt to pairs of blocks, too (``side`` 0 and 1; 2 within a block)."""
+    names = ["key", "label", "node", "size", "place", "side"]
+
+    def pairs(busy: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for key, label, node, size, place, side, *more in _whole_keys(batches, [*names, "profile"] if busy else names):
+                order = np.lexsort((label, side, key))
+                key, label, node, size, place, side = (c[order] for c in (key, label, node, size, place, side))
+                new = np.concatenate([[True], key[1:] != key[:-1]])
+                begin = np.flatnonzero(new)
+                many = np.diff(np.append(begin, len(key)))
+                end = np.repeat(begin + many, many)
+                runs = np.flatnonzero(new | np.concatenate([[True], (label[1:] != label[:-1]) | (side[1:] != side[:-1])]))
+                after = np.repeat(np.append(runs[1:], len(key)), np.diff(np.append(runs, len(key))))
+                other = np.repeat(begin + np.add.reduceat((side == 0).astype(np.int64), begin), many)  # where side 1 begins
+                first = np.where(side == 2, after, other)
+                for left, right in _ranges(first, np.where(side == 1, 0, end - first)):
+                    ok = _may_be(size, place, left, right, similarity) & (label[left] != label[right])
+                    left, right = left[ok], right[ok]
+                    for i in range(0, len(left), PROFILED if busy else max(1, len(left))):
+                        x, y = left[i : i + PROFILED] if busy else left, right[i : i + PROFILED] if busy else right
+                        if busy:
+                            near = _share_enough(more[0][order[x]], more[0][order[y]], similarity)
+                            x, y = x[near], y[near]
+                        if len(x):
+                            yield _as_pairs(node[x], node[y])
+
+        return run
+
+    # Keys whose texts are all joined have no pair left.
+    open_keys = written(postings.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key", "many"), "open-keys")
+    rows = written(postings.join(open_keys, "key").select("key", "label", "node", "size", "place", "many"), "open-rows")
+    few_rows = rows.where(F.col("many") <= BUSY).select("key", "label", "node", "size", "place", F.lit(2).alias("side"))
+    n = F.ceil(F.col("many") / F.lit(LARGE)).cast("int")
+    own = F.pmod(F.xxhash64("node"), n).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct(F.xxhash64("key", F.least(own, x), F.greatest(own, x)).alias("key"), F.when(own == x, 2).when(own < x, 0).otherwise(1).alias("side")))
+    here = F.array(F.struct(F.col("key"), F.lit(2).alias("side")))
+    busy_rows = rows.where(F.col("many") > BUSY).join(texts.select("node", "profile"), "node")
+    busy_rows = busy_rows.select("label", "node", "size", "place", "profile", F.explode(F.when(n == 1, here).otherwise(cells)).alias("c")).select("c.key", "label", "node", "size", "place", "c.side", "profile")
+    found = [map_arrow(x.repartition("key").sortWithinPartitions("key"), pairs(b), "a long, b long") for x, b in ((few_rows, False), (busy_rows, True))]
+    return found[0].union(found[1]).distinct()
+
+
+def _share_enough(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether texts' profiles leave room for the similarity: shared shingles are in the
+    same bytes, so this drops no similar pair."""
+    x, y = (np.array([np.frombuffer(v, "u1" if len(v) == 256 else "<u4") for v in c], np.int64).reshape(-1, 256) for c in (x, y))
+    both = np.minimum(x, y).sum(axis=1)
+    return both >= similarity * (x.sum(axis=1) + y.sum(axis=1) - both) - 1e-9
 
 
 def _possible(edges: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The edges whose texts' profiles leave room for the similarity: shared shingles are
-    in the same bytes, so this drops no similar pair and spares reading most others."""
+    """The edges whose texts' profiles leave room for the similarity, which spares reading most others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.array([np.frombuffer(v, "u1" if len(v) == 256 else "<u4") for v in batch.column(c).to_pylist()], np.int64).reshape(-1, 256) for c in ("x", "y"))
-            both = np.minimum(x, y).sum(axis=1)
-            yield batch.select(["a", "b"]).filter(pa.array(both >= similarity * (x.sum(axis=1) + y.sum(axis=1) - both) - 1e-9))
+            yield batch.select(["a", "b"]).filter(pa.array(_share_enough(batch.column("x").to_pylist(), batch.column("y").to_pylist(), similarity), pa.bool_()))
 
     left, right = (texts.select(F.col("node").alias(k), F.col("profile").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     return map_arrow(edges.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
@@ -668,7 +690,7 @@ def similar_links(docs: DataFrame, texts: DataFrame, tau: int, text_col: str, ro
     good = verified(first)
     roots = components(good)
     labelled = written(postings.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("label"), "node", "size", "place"), "labelled")
-    rest = written(_possible(_unjoined(labelled, similarity).join(first, ["a", "b"], "left_anti"), texts, similarity), "candidates")
+    rest = written(_possible(_unjoined(labelled, texts, similarity).join(first, ["a", "b"], "left_anti"), texts, similarity), "candidates")
     return good.union(verified(rest))
 
 

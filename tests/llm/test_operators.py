@@ -179,6 +179,7 @@ def test_similar_at_any_distance(spark, monkeypatch, large):
     # also where the rows of a key are dealt to several tasks.
     monkeypatch.setattr(simhash, "LARGE", large)
     monkeypatch.setattr(simhash, "SAMPLED", 16 if large > 8 else 1)
+    monkeypatch.setattr(simhash, "BUSY", 64 if large > 8 else 3)
     rng = random.Random(11)
     rows = []
     for i in range(60):
@@ -212,6 +213,46 @@ def test_similar_at_any_distance(spark, monkeypatch, large):
     assert [tuple(r) for r in simhash._candidates(frame, simhash.Plan((tuple(range(64)),), (0,), 0.0), 0).collect()] == [(1, 2)]
 
 
+def test_near_dedup_of_the_corpus_equals_brute_force(spark):
+    """Every pair of texts of sf0.1 that share 0.8 of their five-word shingles, by counting
+    the shingles that any two texts share: all are joined, and nothing else is."""
+    frame = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in frame.select("doc_id", "text").collect()]
+    least = {}
+    for i, w in rows:
+        least[tuple(w)] = min(i, least.get(tuple(w), i))
+    ids = list(least.values())
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in least]
+    places = {}
+    shingle = np.array([places.setdefault(x, len(places)) for own in sets for x in own])
+    doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(shingle, kind="stable")
+    shared = Counter()
+    for group in np.split(doc[order], np.flatnonzero(np.diff(shingle[order])) + 1):
+        if len(group) > 1:
+            group = np.sort(group)
+            a, b = np.triu_indices(len(group), 1)
+            shared.update((group[a] * len(sets) + group[b]).tolist())
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = 0
+    for k, n in shared.items():
+        a, b = divmod(k, len(sets))
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            pairs += 1
+            root[find(a)] = find(b)
+    groups = {}
+    for x in range(len(sets)):
+        groups.setdefault(find(x), []).append(ids[x])
+    assert pairs >= 40
+    assert {r["doc_id"] for r in simhash.deduplicate(frame).select("doc_id").collect()} == {min(g) for g in groups.values()}
+
+
 @pytest.mark.parametrize("large", [50, 16_384])
 def test_simhash_dense_group(spark, monkeypatch, large):
     monkeypatch.setattr(simhash, "LARGE", large)
