@@ -70,17 +70,33 @@ def begin(vocab: Vocabulary, shape: Shape, seed: int = 7) -> dict[str, np.ndarra
 SAFE = 60.0
 
 
-def _exp(s: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
-    """Exponentials in place, zero where the mask is, and the sums of the last axis. Rows
-    may lose a common factor, which makes no difference to their shares."""
+def _exp(s: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | float]:
+    """Exponentials in place, zero where the mask is; the sums of the last axis, and what
+    has been taken off each row before, so that none is too large or all too small."""
+    off: np.ndarray | float = 0.0
     if s.size and (s.max() > SAFE or s.min() < -SAFE):
         if mask is not None:
             s += np.where(mask > 0, np.float32(0), np.float32(-1e30))
-        s -= s.max(axis=-1, keepdims=True)
+        off = s.max(axis=-1, keepdims=True)
+        s -= off
+        off = off[..., 0]
     np.exp(s, out=s)
     if mask is not None:
         s *= mask
-    return s @ np.ones(s.shape[-1], s.dtype)
+    return s @ np.ones(s.shape[-1], s.dtype), off
+
+
+def _hidden(w: dict[str, np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The hidden layer; the bias goes with the product, which spares a pass over memory."""
+    h = _with_one(y) @ np.concatenate([w["up"], w["up_b"][None]])
+    np.maximum(h, h.dtype.type(0), out=h)
+    return h
+
+
+def _with_one(x: np.ndarray) -> np.ndarray:
+    out = np.empty((len(x), x.shape[1] + 1), x.dtype)
+    out[:, :-1], out[:, -1] = x, 1
+    return out
 
 
 def step(w: dict[str, np.ndarray], rows: np.ndarray, cls: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -90,31 +106,33 @@ def step(w: dict[str, np.ndarray], rows: np.ndarray, cls: np.ndarray, weight: np
     kind, scale, m = w["q"].dtype, w["q"].dtype.type(d**-0.5), b * n
     mask = np.tril(np.ones((n, n), kind))  # no token sees a later one
     qkv = np.concatenate([w["q"] * scale, w["k"], w["v"]], axis=1)
-    x = w["embed"][rows]
+    x = np.take(w["embed"], rows.ravel(), axis=0).reshape(b, n, d)
     x += w["place"][:n]
     flat = x.reshape(m, d)
     p = (flat @ qkv).reshape(b, n, 3 * d)
     q, k, v = p[:, :, :d], p[:, :, d : 2 * d], p[:, :, 2 * d :]
     s = q @ k.transpose(0, 2, 1)
-    s /= _exp(s, mask)[:, :, None]
-    a = (s @ v).reshape(m, d)
+    seen, _ = _exp(s, mask)
+    a = s @ v
+    a /= seen[:, :, None]
+    a = a.reshape(m, d)
     y = flat + a @ w["o"]
-    h = y @ w["up"]
-    h += w["up_b"]
-    np.maximum(h, 0, out=h)
-    z = y + h @ w["down"]
-    gl = z @ w["out"]
-    gl += w["out_b"]
+    h = _hidden(w, y)
+    z = _with_one(y + h @ w["down"])
+    gl = z @ np.concatenate([w["out"], w["out_b"][None]])
     at, share = np.arange(m), (weight.ravel() / max(weight.sum(), 1)).astype(kind)
     cls = cls.ravel()
     top = gl[at, cls].copy()
-    largest = gl.max(axis=1) if m and (gl.max() > SAFE or gl.min() < -SAFE) else np.zeros(m, kind)
-    total = _exp(gl)
-    loss = float(-(share * (top - largest - np.log(total))).sum())
-    gl *= (share / total)[:, None]
-    gl[at, cls] -= share
-    g: dict[str, np.ndarray] = {"out": z.T @ gl, "out_b": np.ones(m, kind) @ gl}
+    total, off = _exp(gl)
+    loss = float(-(share * (top - off - np.log(total))).sum())
+    # Probabilities are gl over total; the division goes where there are fewer numbers.
+    gl[at, cls] -= total
+    share /= total
+    z *= share[:, None]
+    gw = z.T @ gl
+    g: dict[str, np.ndarray] = {"out": gw[:d], "out_b": gw[d]}
     gz = gl @ w["out"].T
+    gz *= share[:, None]
     g["down"] = h.T @ gz
     gh = gz @ w["down"].T
     gh *= h > 0
@@ -122,11 +140,12 @@ def step(w: dict[str, np.ndarray], rows: np.ndarray, cls: np.ndarray, weight: np
     gz += gh @ w["up"].T
     g["o"] = a.T @ gz
     ga = (gz @ w["o"].T).reshape(b, n, d)
+    ga /= seen[:, :, None]
     gp = np.empty_like(p)
     np.matmul(s.transpose(0, 2, 1), ga, out=gp[:, :, 2 * d :])
     gs = ga @ v.transpose(0, 2, 1)
     gs *= s
-    s *= (gs @ np.ones(n, kind))[:, :, None]
+    s *= ((gs @ np.ones(n, kind)) / seen)[:, :, None]
     gs -= s
     np.matmul(gs, k, out=gp[:, :, :d])
     np.matmul(gs.transpose(0, 2, 1), q, out=gp[:, :, d : 2 * d])
@@ -172,26 +191,20 @@ def log_class(w: dict[str, np.ndarray], q: np.ndarray, kv: np.ndarray, mask: np.
     ``q``: scaled queries; ``kv``: keys and values side by side.
     """
     (b, n), d, m = rows.shape, w["q"].shape[0], rows.shape[1] - first
-    x = w["embed"][rows]
+    x = np.take(w["embed"], rows.ravel(), axis=0).reshape(b, n, d)
     x += w["place"][:n]
     p = (x.reshape(b * n, d) @ kv).reshape(b, n, 2 * d)
     y = np.ascontiguousarray(x[:, first:]).reshape(b * m, d)
     s = (y @ q).reshape(b, m, d) @ p[:, :, :d].transpose(0, 2, 1)
-    total = _exp(s, mask[first:n, :n])
+    total, _ = _exp(s, mask[first:n, :n])
     a = s @ p[:, :, d:]
     a /= total[:, :, None]
     y += a.reshape(b * m, d) @ w["o"]
-    h = y @ w["up"]
-    h += w["up_b"]
-    np.maximum(h, 0, out=h)
-    y += h @ w["down"]
-    logits = y @ w["out"]
-    logits += w["out_b"]
-    if logits.size and (logits.max() > SAFE or logits.min() < -SAFE):
-        logits -= logits.max(axis=1, keepdims=True)
+    y += _hidden(w, y) @ w["down"]
+    logits = _with_one(y) @ np.concatenate([w["out"], w["out_b"][None]])
     target = logits[np.arange(b * m), cls.ravel()]
-    np.exp(logits, out=logits)
-    return (target - np.log(logits @ np.ones(logits.shape[1], logits.dtype))).reshape(b, m)
+    total, off = _exp(logits)
+    return (target - off - np.log(total)).reshape(b, m)
 
 
 def log10_probability(w: dict[str, np.ndarray], vocab: Vocabulary, ids: np.ndarray, at: np.ndarray, shape: Shape, size: int = 128) -> np.ndarray:

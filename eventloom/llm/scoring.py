@@ -6,7 +6,7 @@ are read once, and in blocks of bounded bytes:
 
 * A block is a row: its documents as places in the list of its distinct words, the
   words' pieces, and which documents are held out. Each word is cut into pieces once a
-  block, or less where the worker's table knows it.
+  block.
 * A block's distinct words and their counts in training documents go to buckets by hash,
   a row for each bucket of a block, so that no word's rows gather under one key. A bucket
   adds up its words over all blocks and gives each block its words' counts back.
@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .chunks import ChunkTable, flat, with_end
+from .chunks import flat, with_end
 from .common import bytes_of, map_arrow, text_of, written
 from .marked import piece_encoder
 
 #: Bytes of text in a block; bytes of all texts to a bucket of words; rounds of training,
 #: windows in a step, its size; sums that meet before the driver adds them up.
-BLOCK_BYTES, BUCKET_BYTES, ROUNDS, BATCH, RATE, SUMS = 8 << 20, 32 << 20, 3, 128, 0.01, 16
+BLOCK_BYTES, BUCKET_BYTES, ROUNDS, BATCH, RATE, SUMS = 6 << 20, 32 << 20, 3, 128, 0.01, 16
 #: The folds that documents are dealt into, and the one that is held out.
 FOLDS, HELD_OUT = 5, 1
 
@@ -71,22 +71,18 @@ def words_of(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
     return words, np.searchsorted(np.flatnonzero(first), off)
 
 
-_TABLES: dict[str, ChunkTable] = {}
+def buckets_of(words: pa.StringArray, buckets: int) -> np.ndarray:
+    """The bucket of each word, from its first and last eight bytes and its length."""
+    raw, off = bytes_of(words)
+    raw, eight, n = np.append(raw, np.zeros(8, np.uint8)), np.arange(8), np.diff(off)
+    first = np.where(eight < n[:, None], raw[off[:-1, None] + eight], 0).astype(np.uint8).view("<u8")[:, 0]
+    last = np.where(eight >= 8 - n[:, None], raw[off[1:, None] - 8 + eight], 0).astype(np.uint8).view("<u8")[:, 0]
+    x = first * np.uint64(0x9E3779B97F4A7C15) ^ last * np.uint64(0xC2B2AE3D27D4EB4F) ^ n.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
 
 
-def word_pieces(model: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces of all words, one after the other, and where each word's begin and end;
-    the worker's table keeps words of earlier blocks."""
-    if model not in _TABLES:
-        enc = piece_encoder(model)
-        _TABLES[model] = ChunkTable(lambda new: (new, *flat(enc.sp.encode(new, num_threads=1))), None)
-    table = _TABLES[model]
-    if len(table.slots) > table.max_chunks or table.held > table.max_bytes:
-        table.clear()
-    return table.gather(table._slots_of(words), np.arange(len(words) + 1))
-
-
-BLOCKS = "block long, bucket int, words binary, counts binary, ids binary, held binary, sizes binary, places binary, ends binary, pieces binary, piece_counts binary"
+BLOCKS = "block long, bucket int, words binary, lengths binary, counts binary, ids binary, held binary, sizes binary, places binary, ends binary, pieces binary, piece_counts binary"
 _NULL = -(1 << 63)
 
 
@@ -110,23 +106,25 @@ def blocks_of(docs: DataFrame, model: str, buckets: int) -> DataFrame:
             ids, texts = pa.concat_arrays(ids), pa.concat_arrays(texts)
             words, at = words_of(texts)
             coded = words.dictionary_encode()
-            distinct, places = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int32)
             # Words in the order of their buckets.
-            bucket = np.fromiter((zlib.crc32(x.encode()) % buckets for x in distinct), np.int64, len(distinct))
+            bucket = buckets_of(coded.dictionary, buckets)
             order = np.argsort(bucket, kind="stable")
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
-            distinct, bucket, places = [distinct[i] for i in order.tolist()], bucket[order], place[places]
+            distinct, bucket, places = coded.dictionary.take(pa.array(order)), bucket[order], place[coded.indices.to_numpy()]
             held, sizes = held_out(ids), np.diff(at)
             learned = np.repeat(~held, sizes)
             n = np.bincount(places[learned], minlength=len(distinct)).astype("<i8")
-            begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-            for i in range(0, len(begin), 1000):
-                part = begin[i : i + 1000].tolist()
-                to = [*part[1:], int(begin[i + 1000]) if i + 1000 < len(begin) else len(distinct)]
-                yield rows(len(part), block=[number] * len(part), bucket=bucket[part], words=[" ".join(distinct[a:b]).encode() for a, b in zip(part, to, strict=True)], counts=[n[a:b].tobytes() for a, b in zip(part, to, strict=True)])
-            pieces, ends = word_pieces(model, distinct)
-            counted[:] += np.bincount(pieces, weights=np.repeat(n, np.diff(ends)), minlength=len(counted)).astype(np.int64)
+            raw, off = bytes_of(distinct)
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket)).tolist() if len(bucket) else [0]
+            lengths = np.diff(off).astype("<i4")
+            for i in range(0, len(cuts) - 1, 1000):
+                part = list(zip(cuts[i : i + 1000], cuts[i + 1 : i + 1001], strict=False))
+                cut = lambda v, part=part: [v[a:b].tobytes() for a, b in part]
+                yield rows(len(part), block=[number] * len(part), bucket=[int(bucket[a]) for a, _ in part], words=[raw[off[a] : off[b]].tobytes() for a, b in part], lengths=cut(lengths), counts=cut(n))
+            pieces, many = flat(enc.sp.encode(distinct.to_pylist(), num_threads=1))
+            ends = np.concatenate([[0], np.cumsum(many)])
+            counted[:] += np.bincount(pieces, weights=np.repeat(n, many), minlength=len(counted)).astype(np.int64)
             counted[enc.sp.eos_id()] += int((~held).sum())
             numbers = ids.fill_null(_NULL).to_numpy(zero_copy_only=False).astype("<i8")
             yield rows(1, block=[number], ids=[numbers.tobytes()], held=[held.tobytes()], sizes=[sizes.astype("<i4").tobytes()], places=[places.astype("<i4").tobytes()], ends=[ends.astype("<i4").tobytes()], pieces=[pieces.astype("<u2" if len(counted) <= 1 << 16 else "<u4").tobytes()])
@@ -174,32 +172,34 @@ def word_counts(words: DataFrame, buckets: int) -> DataFrame:
     each bucket's sum and number of training words (``total``, ``distinct``; ``block`` null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, bytes]] = []
+        held: list[tuple[int, bytes, bytes, bytes]] = []
         at = None
 
         def bucket() -> pa.RecordBatch:
-            texts = pa.array([h[1].decode() for h in held], pa.string())
-            words, off = words_of(texts)
+            length = np.frombuffer(b"".join(h[3] for h in held), "<i4")
+            ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+            words = pa.Array.from_buffers(pa.string(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(h[1] for h in held))])
+            off = np.concatenate([[0], np.cumsum([len(h[3]) // 4 for h in held])]).tolist()
             coded = words.dictionary_encode().indices.to_numpy()
             n = np.frombuffer(b"".join(h[2] for h in held), "<i8")
             order = np.argsort(coded, kind="stable")
             begin = np.flatnonzero(np.concatenate([[True], np.diff(coded[order]) > 0]))
-            total = np.add.reduceat(n[order], begin)
+            total = np.add.reduceat(n[order], begin)  # whole numbers, however large
             c = total[coded].astype("<i8")
             blocks = [h[0] for h in held]
             return pa.RecordBatch.from_pydict({"block": pa.array([*blocks, None], pa.int64()), "bucket": pa.array([at] * (len(held) + 1), pa.int32()), "counts": pa.array([*(c[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)), None], pa.binary()), "total": pa.array([*[None] * len(held), int(total.sum())], pa.int64()), "distinct": pa.array([*[None] * len(held), int((total > 0).sum())], pa.int64())})
 
         for batch in batches:
-            for b, k, w, c in zip(*(batch.column(x).to_pylist() for x in ("block", "bucket", "words", "counts")), strict=True):
+            for b, k, w, c, n in zip(*(batch.column(x).to_pylist() for x in ("block", "bucket", "words", "counts", "lengths")), strict=True):
                 if k != at and held:
                     yield bucket()
                     held = []
                 at = k
-                held.append((b, w, c))
+                held.append((b, w, c, n))
         if held:
             yield bucket()
 
-    dealt = words.select("block", "bucket", "words", "counts").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = words.select("block", "bucket", "words", "counts", "lengths").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return written(map_arrow(dealt, run, "block long, bucket int, counts binary, total long, distinct long"), "word-counts")
 
 
