@@ -5,16 +5,17 @@ rules) and has literal tokens that each url it fits must contain as whole
 tokens. Token counts over the urls at hand tell the rarest of them, and the rule
 is filed under that one. A url's tokens fetch the rules filed under them, and
 only these rules' expressions run on it. Rules without a whole literal token are
-candidates for every url; their number is bounded by ``MAX_LOOSE``.
+tried on every url, ``LOOSE`` at a time.
 
-Only built-in functions are used. The rules are a parameter of the plan, not
-data: their number is checked against ``MAX_RULES`` before they are broadcast.
+Only built-in functions are used. Each distinct host and path is judged once, and
+pages get their verdicts back by it. The rules are a parameter of the plan: up to
+``BROADCAST`` of them are broadcast, more are joined by their tokens.
 
 Defined cases: a null url or one without ``://`` has empty host and path, no
 rule, and the default verdict; repeated rows are each judged; equal longest rules
-are settled by the rule's text; an empty table gives no rows; other columns of
-``pages`` pass through by their own names in ``filter_urls`` and may clash with
-nothing, as the added names give way.
+are settled by the rule's text; a very long url is parsed and matched whole; an empty
+table gives no rows; other columns of ``pages`` pass through by their own names in
+``filter_urls`` and may clash with nothing, as the added names give way.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, row_id
+from .common import free_name
 
-MAX_RULES, MAX_LOOSE = 100_000, 64
+BROADCAST, LOOSE = 100_000, 64
 TOKEN = "[a-z0-9]+"
 
 
@@ -103,38 +104,44 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default:
     The rule is the longest explicit one that fits, else null; the verdict is the
     rule's, or else block if any pattern that blocks fits, or else ``default``.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} can be broadcast")
     spark = pages.sparkSession
-    rid, host, path, rule, verdict, target = free_name(pages, "rid", "host", "path", "rule", "verdict", "target")
-    parsed = pages.withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))})
-    parsed = parsed.withColumns({rid: row_id(), target: F.concat(host, path)})
+    host, path, rule, verdict, target = free_name(pages, "host", "path", "rule", "verdict", "target")
+    parsed = pages.withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))}).withColumn(target, F.concat(host, path))
     index = rarest(parsed, rules, target)
     loose = index.pop("", [])
-    if len(loose) > MAX_LOOSE:
-        raise ValueError(f"{len(loose)} rules without a literal token; at most {MAX_LOOSE}")
-    rows = [(t, r.name, r.verdict, r.regex, r.explicit, len(r.name)) for t, under in index.items() for r in under]
-    rows += [("", r.name, r.verdict, r.regex, r.explicit, len(r.name)) for r in loose]
-    filed = spark.createDataFrame(rows, "token string, r_name string, r_verdict string, r_regex string, r_explicit boolean, r_length int")
-    # The empty token stands for the rules that every url has to try.
-    token = F.concat(_tokens(F.col(target)), F.array(F.lit(""))) if loose else _tokens(F.col(target))
-    slim = parsed.select(rid, F.col(target).alias("target"), F.explode(token).alias("token"))
-    fits = slim.join(F.broadcast(filed), "token").where(F.expr("target rlike r_regex"))
+    each = parsed.select(F.col(target).alias("target")).where("target != ''").distinct()
+    schema = "r_name string, r_verdict string, r_regex string, r_explicit boolean, r_length int"
+    row = lambda r: (r.name, r.verdict, r.regex, r.explicit, len(r.name))
+    filed = spark.createDataFrame([(t, *row(r)) for t, under in index.items() for r in under], f"token string, {schema}")
+    filed = F.broadcast(filed) if len(rules) <= BROADCAST else filed
+    fits = each.select("target", F.explode(_tokens(F.col("target"))).alias("token")).join(filed, "token").drop("token")
+    for i in range(0, len(loose), LOOSE):
+        part = F.array(*[F.struct(*[F.lit(v).cast(k.split()[1]).alias(k.split()[0]) for v, k in zip(row(r), schema.split(", "), strict=True)]) for r in loose[i : i + LOOSE]])
+        fits = fits.union(each.select("target", F.explode(part).alias("r")).select("target", "r.*"))
     # Partial aggregation leaves one row for a url that some rule fits.
-    best = fits.groupBy(rid).agg(
+    best = fits.where(F.expr("target rlike r_regex")).groupBy(F.col("target").alias("of_target")).agg(
         F.max(F.when(F.col("r_explicit"), F.struct("r_length", "r_name", "r_verdict"))).alias("best"),
         F.coalesce(F.max((~F.col("r_explicit")) & (F.col("r_verdict") == "block")), F.lit(False)).alias("bad"),
     )
-    joined = parsed.join(best, rid, "left")
+    of_target, found, bad = free_name(parsed, "of_target", "best", "bad")
+    joined = parsed.join(best.toDF(of_target, found, bad), F.col(target) == F.col(of_target), "left")
     return joined.select(
         *[F.col(c) for c in pages.columns],
         F.col(host),
         F.col(path),
-        F.col("best.r_name").alias(rule),
-        F.coalesce(F.col("best.r_verdict"), F.when(F.col("bad"), F.lit("block")), F.lit(default)).alias(verdict),
+        F.col(found)["r_name"].alias(rule),
+        F.coalesce(F.col(found)["r_verdict"], F.when(F.col(bad), F.lit("block")), F.lit(default)).alias(verdict),
     )
 
 
+#: The method's own patterns: words that stand for themselves, and words that do so with the one before.
+ALONE = "casino casinos poker roulette jackpot blackjack slots betting porn porno xxx nsfw escorts camgirls hentai viagra cialis tramadol xanax warez keygen torrents malware phishing".split()
+PAIRS = {
+    "cheap": "pills meds viagra followers backlinks", "buy": "pills followers backlinks essays replica", "online": "casino pharmacy poker gambling", "free": "bets spins money iphone vbucks",
+    "adult": "x videos chat dating cams", "payday": "loans loan", "quick": "loans cash", "easy": "money", "spam": "farm mail", "link": "farm scheme", "content": "farm", "click": "farm bait track",
+    "ads": "track tracker server", "ad": "track tracker server click", "casino": "win bonus", "sports": "betting bets", "replica": "watches bags", "weight": "loss", "miracle": "cure diet", "hot": "singles girls",
+}
+
 #: The rules of the query, then the method's own word patterns.
 RULES = [
     host_rule("allow", "org/"),
@@ -142,5 +149,6 @@ RULES = [
     host_rule("block", "example.org/en/1"),
     host_rule("allow", "com/fr/"),
     host_rule("block", "com/de/"),
-    *[word_rule("block", *w) for w in (("cheap", "pills"), ("casino",), ("free", "money"), ("xxx",), ("adult", "videos"), ("payday", "loans"))],
+    *[word_rule("block", w) for w in ALONE],
+    *[word_rule("block", first, second) for first, others in PAIRS.items() for second in others.split()],
 ]

@@ -39,6 +39,28 @@ def test_urls(spark):
     assert loose == 2 * sum("ex" in (u or "").lower() and "://" in (u or "") for u in rows)
 
 
+@pytest.mark.parametrize("cap", [0, 100_000])
+def test_urls_equal_brute_force(spark, monkeypatch, cap):
+    # Every rule tried on every url, with more rules than are broadcast or tried at a time, and very long urls.
+    monkeypatch.setattr(urls, "BROADCAST", cap)
+    monkeypatch.setattr(urls, "LOOSE", 2)
+    rng = random.Random(7)
+    rules = [*urls.RULES, *[urls.Rule(f"loose{i}", "block", f"q{i}z", ()) for i in range(5)], urls.host_rule("block", "net/a"), urls.host_rule("allow", "net/a/b"), urls.host_rule("block", "x.net/c")]
+    words = ["a", "b", "c", "net", "org", "com", "example", "x", "cheap", "pills", "ads", "track", "CASINO", "q1z", "q4z", "de", "fr", "en", "1", ""]
+    some = [rng.choice(["http://", "", "x://"]) + ".".join(rng.choices(words, k=rng.randrange(1, 4))) + rng.choice(["/", "?", "", "#", "-"]) + rng.choice("/-._").join(rng.choices(words, k=rng.randrange(0, 6))) for _ in range(400)]
+    some += ["http://long.net/" + "pa-th/" * 50_000 + "cheap-pills", "http://" + "h" * 100_000 + ".com/fr/", *some[:30]]
+    found = {}
+    for r in urls.filter_urls(spark.createDataFrame([(u,) for u in some], "url string"), rules).collect():
+        found.setdefault(r["url"], set()).add((r["host"], r["path"], r["rule"], r["verdict"]))
+    low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+    for u in some:
+        m = re.search(r"(?s)^.*?://([^/?#]*)([^?#]*)", u)
+        host, path = (m[1].translate(low), m[2]) if m else ("", "")
+        fits = [r for r in rules if host + path and re.search(r.regex, host + path)]
+        best = max((r for r in fits if r.explicit), key=lambda r: (len(r.name), r.name), default=None)
+        assert found[u] == {(host, path, best and best.name, best.verdict if best else "block" if any(r.verdict == "block" for r in fits) else "allow")}, u
+
+
 def test_exact(spark):
     got = exact.exact_groups(odd(spark, *CLASH)).collect()
     text = {r["row"]: r for r in got}
@@ -494,6 +516,29 @@ def test_sharding(spark):
     assert sharding.shard(empty(spark), sharding.tree(24)).count() == 0
 
 
+def test_sharding_equals_brute_force(spark):
+    # Descend the tree row by row, with the same draws.
+    from xxhash import xxh64_intdigest
+
+    def draw(key, name, weight):
+        bits = xxh64_intdigest(name.encode(), xxh64_intdigest(key.encode(), 42)) >> 11
+        return -np.log((bits + 0.5) / (1 << 53)) / weight
+
+    def place(key, node):
+        while node.children:
+            node = min(node.children, key=lambda c: draw(key, c.name, c.weight))
+        return node.shard
+
+    frame = docs(spark, [(i, f"text é {i % 7}") for i in range(-5, 400)]).union(odd(spark)).repartition(5)
+    before, after = sharding.tree(24, weights={5: 3.0}), sharding.tree(25, weights={5: 3.0})
+    got = Counter(tuple(r) for r in sharding.shard(frame, before, after).select("key", "size", "text_crc32", "shard", "grown_shard").collect())
+    want = Counter()
+    for r in frame.collect():
+        key, text = "null key" if r["doc_id"] is None else str(r["doc_id"]), (r["text"] or "").encode()
+        want[r["doc_id"], len(text) + 8, zlib.crc32(text), place(key, before), place(key, after)] += 1
+    assert got == want
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
