@@ -7,18 +7,22 @@ smallest weighted norm of what would be left (``norm``), or with the largest
 weighted dot product of residuals and demand (``dot``).
 
 Only documents longer than a sequence are cut. Pieces are dealt by a hash of
-their row into groups of about ``GROUP`` and each group is packed by itself:
-groups have the same size at any scale, and each wastes at most a few sequences.
+their row into groups of about ``GROUP``, of the same size at any scale, and each group
+is packed by itself. What lies in sequences that are left less full than ``FULL`` is
+taken out and packed again with what the other groups leave, until there is one group
+or hardly anything gains from it: the part-filled sequences are those of the last
+groups, however many there were.
 
 Defined cases: a null text counts as empty and is a piece of the end id alone;
-equal lengths go in order of row; repeated rows are each packed; an empty table
-gives no rows; only the id and text columns are read.
+equal lengths go in order of row; repeated rows are each packed; a very long text is
+encoded whole and cut; an empty table gives no rows; only the id and text columns are
+read.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +33,8 @@ from pyspark.sql import functions as F
 from .chunks import encoder, with_end
 from .common import map_arrow, row_id, text_of, written
 
-#: Pieces that are packed together.
-GROUP = 16_384
+#: Pieces that are packed together; a sequence that is full enough to stay, as a share of its tokens.
+GROUP, FULL = 16_384, 0.99
 
 
 @dataclass(frozen=True)
@@ -100,17 +104,46 @@ def pieces(docs: DataFrame, vocabulary: str, end: int, tokens: int, id_col: str,
     return map_arrow(keyed, cut, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
 
 
+def _best_fit(cap: Capacity, level: int) -> Callable[[pa.Table], pa.Table]:
+    """Packs a group; its sequences' numbers are those of no other group or level."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("row", "ascending"), ("piece", "ascending")])
+        length = table.column("length").to_numpy()
+        seq, offset = pack(length, cap)
+        filled = np.bincount(seq, length).astype(np.int64)[seq]
+        first = (level << 56) + (table.column("pack_group")[0].as_py() << 24)
+        out = table.drop_columns(["pack_group"]).append_column("sequence_id", pa.array(first + seq, pa.int64()))
+        return out.append_column("offset", pa.array(offset, pa.int64())).append_column("filled", pa.array(filled, pa.int64()))
+
+    return run
+
+
 def pack_documents(docs: DataFrame, vocabulary: str, end: int, cap: Capacity | None = None, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece."""
     cap = cap or Capacity()
     found = written(pieces(docs, vocabulary, end, cap.tokens, id_col, text_col), "pieces")
-    groups = max(1, -(-found.count() // group))
-
-    def best_fit(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("row", "ascending"), ("piece", "ascending")])
-        seq, offset = pack(table.column("length").to_numpy(), cap)
-        first = table.column("pack_group")[0].as_py() << 32
-        return table.select(["doc_id", "piece", "start", "length", "ids_crc32"]).append_column("sequence_id", pa.array(first + seq, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
-
-    dealt = found.withColumn("pack_group", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
-    return dealt.groupBy("pack_group").applyInArrow(best_fit, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    left, done, level = found, [], 0
+    schema = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, filled long"
+    n = found.count()
+    while True:
+        groups = max(1, -(-n // group))
+
+        dealt = left.withColumn("pack_group", F.pmod(F.xxhash64("row", "piece", F.lit(level)), F.lit(groups)))
+        packed = dealt.groupBy("pack_group").applyInArrow(_best_fit(cap, level), schema)
+        if groups == 1:
+            done.append(packed)
+            break
+        packed = written(packed, "packed")
+        open_ = packed.where(F.col("filled") < FULL * cap.tokens)
+        more = open_.count()
+        # A level that leaves most of its pieces open has no use for a further one.
+        if not more or more > n // 2:
+            done.append(packed)
+            break
+        done.append(packed.where(F.col("filled") >= FULL * cap.tokens))
+        left, n, level = open_.select(*found.columns), more, level + 1
+    whole = done[0]
+    for part in done[1:]:
+        whole = whole.union(part)
+    return whole.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

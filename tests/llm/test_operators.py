@@ -486,6 +486,23 @@ def test_packing(spark):
     assert packing.pack_documents(empty(spark), WORDS, 1).count() == 0
 
 
+def test_packing_in_levels(spark):
+    # Groups of 40 pieces: what they leave open is packed again; as few sequences as in one group, or one more a last group.
+    rng = random.Random(5)
+    frame = docs(spark, [(i, prose(rng, rng.randrange(1, 700))) for i in range(300)])
+    cap = packing.Capacity(tokens=2000)
+    seen = []
+    for group in (40, 10_000):
+        got = packing.pack_documents(frame, WORDS, 1, cap, group=group).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for own in by.values():
+            assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2000
+        seen.append((len(by), sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in got)))
+    assert seen[0][1] == seen[1][1] and seen[0][0] <= seen[1][0] + 3
+
+
 def test_pieces(spark):
     frame = odd(spark, *CLASH)
     sp = marked.piece_encoder(PIECES).sp
@@ -558,6 +575,26 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in packed.collect()} == set(left) and len(p.STAGES) == 5
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty and long texts, ties, repeated rows, clashing names; and no rows."""
+    import corpus_pipeline as p
+
+    rng = random.Random(10)
+    base = odd(spark, *CLASH, "kept", "distance", "x0", "w", "node", "lang_", "sequence_id")
+    more = [(50, prose(rng, 60), None, None), (50, prose(rng, 60), None, None), (None, prose(rng, 50), "en", None), (51, prose(random.Random(11), 80), "en", "s"), (52, prose(random.Random(11), 80), "en", "s"), (52, prose(random.Random(11), 80), "en", "s")]
+    frame = base.union(spark.createDataFrame([(i, t, lang, s, None, *[None] * (len(base.columns) - 5)) for i, t, lang, s in more], base.schema))
+    n = {}
+    for name, stage in p.STAGES:
+        for rows in (frame, frame.where("false")):
+            out = common.written(stage(spark, rows, str(tmp_path / name)), "stage")
+            assert out.count() == 0 if rows is not frame else name == "best-fit packing" or out.columns == frame.columns
+            if rows is frame:
+                n[name] = [(r["doc_id"], r["text"]) for r in out.collect()] if "text" in out.columns else out.count()
+    assert len(n["quality rules"]) == 7 and len(n["exact dedup"]) == 9 + 4 and len(n["secret scans"]) == frame.count()
+    assert n["best-fit packing"] >= frame.count() and sum(t is not None and t.startswith("one two three") for _, t in n["SimHash near-dedup"]) == 1
+    assert sorted(i for i, t in n["exact dedup"] if i and i > 50) == [52] and sorted(i for i, t in n["SimHash near-dedup"] if i and i > 50) == [51]
+
+
 def test_written_survives_a_new_session(spark):
     df = common.written(spark.range(5).withColumn("x", F.lit(None).cast("string")), "x")
     assert df.count() == 5 and df.dtypes == [("id", "bigint"), ("x", "string")]
