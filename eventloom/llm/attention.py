@@ -155,8 +155,13 @@ def step(w: dict[str, np.ndarray], rows: np.ndarray, cls: np.ndarray, weight: np
     gz += gp @ qkv.T
     g["place"] = np.zeros_like(w["place"])
     g["place"][:n] = gz.reshape(b, n, d).sum(axis=0)
-    slots = (rows.reshape(-1, 1) * d + np.arange(d)).ravel()
-    g["embed"] = np.bincount(slots, weights=gz.ravel(), minlength=w["embed"].size).reshape(w["embed"].shape).astype(kind)
+    # Sums by input row: rows in order, then runs of equal ones (small integers are sorted by their digits).
+    own = rows.ravel().astype(np.int16 if len(w["embed"]) < 1 << 15 else np.int64)
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if m else np.zeros(0, np.int64)
+    g["embed"] = np.zeros_like(w["embed"])
+    g["embed"][own[first]] = np.add.reduceat(np.take(gz, order, axis=0), first, axis=0) if m else 0
     return loss, g
 
 

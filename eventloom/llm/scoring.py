@@ -222,12 +222,12 @@ class Block:
         after = np.concatenate([[0], np.cumsum(n)])
         return with_end(self.pieces[np.repeat(begin - after[:-1], n) + np.arange(after[-1])], after[at - at[0]], end)
 
-    def runs(self, tokens: int = 400_000) -> Iterator[tuple[int, int]]:
-        """Documents whose words are so many at a time."""
-        i = 0
-        while i < len(self.ids):
-            j = max(i + 1, int(np.searchsorted(self.at, self.at[i] + tokens // 3, side="right")) - 1)
-            yield i, min(j, len(self.ids))
+    def runs(self, first: int = 0, last: int | None = None, words: int = 130_000) -> Iterator[tuple[int, int]]:
+        """Documents whose words are about so many at a time."""
+        i, last = first, len(self.ids) if last is None else last
+        while i < last:
+            j = max(i + 1, int(np.searchsorted(self.at, self.at[i] + words, side="right")) - 1)
+            yield i, min(j, last)
             i = j
 
 
@@ -260,11 +260,12 @@ def train(blocks: DataFrame, model: str, vocab: attention.Vocabulary, shape: att
             for batch in batches:
                 for k in range(batch.num_rows):
                     block = Block({c: batch.column(c)[k].as_py() for c in batch.schema.names}, wide)
-                    # Documents go to the rounds in turn; which comes first differs by block.
-                    mine = ~block.held & ((np.arange(len(block.ids)) + int(block.at[-1])) % ROUNDS == turn)
-                    for i, j in block.runs():
+                    # Each third of a block's documents has its round; which comes first differs by block.
+                    third = (turn + int(block.at[-1])) % ROUNDS
+                    bounds = [len(block.ids) * x // ROUNDS for x in (third, third + 1)]
+                    for i, j in block.runs(*bounds):
                         ids, at = block.tokens(i, j, end)
-                        before, ids, there = training_windows(ids, at, mine[i:j], shape)
+                        before, ids, there = training_windows(ids, at, ~block.held[i:j], shape)
                         order = mix.permutation(len(ids))
                         for x in range(0, len(ids), BATCH):
                             part = order[x : x + BATCH]
