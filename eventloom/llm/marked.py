@@ -7,8 +7,8 @@ model has pieces across markers, texts go to the library whole.
 
 Defined cases: a null or empty text has the end id only and decodes to an empty
 text; a text that begins with a space goes to the library whole, as its first
-marker is not the one that the library adds; an empty table gives no rows;
-repeated rows are each encoded; only the id and text columns are read.
+marker is not the one that the library adds; a very long text is cut
+and encoded whole; an empty table gives no rows; repeated rows are each encoded; only the id and text columns are read.
 """
 
 from __future__ import annotations

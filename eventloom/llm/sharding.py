@@ -11,7 +11,7 @@ slots (places within a shard) come from counts by shard and scan partition.
 
 Defined cases: a null key is hashed as a fixed text, so that all such rows share
 a shard; repeated rows each get a slot of their own; a null text has size
-``overhead`` and the CRC of the empty text; an empty table gives no rows; only
+``overhead`` and the CRC of the empty text; a text of any length is measured whole; an empty table gives no rows; only
 the named key and text columns are read, so other columns cannot clash.
 """
 

@@ -22,14 +22,16 @@ whole pair by more than tau.
   it decides on the work, not on the links.
 * A fingerprint is filed under its value in each partition and probes all values
   within the threshold. Tasks verify whole groups by vectorised popcounts and
-  return a spanning forest of the true links, never all pairs of a group.
+  return a spanning forest of the true links, never all pairs of a group. A value or
+  shingle of more rows than ``LARGE`` is dealt to pairs of blocks (or to parts, where
+  any partner will do), so that no group has to fit in a task.
 
 Components come from distributed rounds of star contraction over distinct
 fingerprints; documents get theirs by a join, so copies cost nothing more.
 
 Defined cases: a null, empty or blank text has fingerprint zero, which links like
 any other; fewer words than a shingle has give one shingle of all words; repeated
-rows get the same fingerprint and component; a null doc_id takes no part in the
+rows get the same fingerprint and component; a text of any length counts whole; a null doc_id takes no part in the
 smallest id of its component; an empty table gives no rows; only the id and text
 columns are read.
 """

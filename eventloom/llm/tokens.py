@@ -12,7 +12,8 @@ segments to the shared folder under names of its own attempt: a task that runs
 again leaves no mixed files, as readers take the names that the committed task
 returned.
 
-Defined cases: a null text counts as empty and has the end id only; a null doc_id
+Defined cases: a null text counts as empty and has the end id only; a very long text
+is encoded whole and may make a segment longer; a null doc_id
 goes first; repeated rows are each written; an empty table has no segments; only
 the id and text columns are read.
 """
