@@ -5,8 +5,8 @@ A text is cut where no token or piece can cross: before a space, between a lette
 and the ASCII symbol after it, around a single line break. The chunks of a batch
 are dictionary-encoded (Arrow), only chunks that the table does not hold are encoded
 by the tokenizer's own library, and the ids of all occurrences come from one gather.
-A table lives in one worker and is emptied when it is full, so that memory does not
-depend on the input; a very long text is cut into chunks a few megabytes at a time.
+A table lives in one worker; when it is full it forgets what was met once only, so that
+memory does not depend on the input; a very long text is cut into chunks a few megabytes at a time.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ import pyarrow as pa
 
 from .common import bytes_of
 
-#: A table is emptied beyond so many chunks or bytes of chunks.
-MAX_CHUNKS, MAX_CHUNK_BYTES = 400_000, 24 << 20
+#: A table forgets beyond so many chunks or bytes of chunks.
+MAX_CHUNKS, MAX_CHUNK_BYTES = 400_000, 16 << 20
 #: Bytes of text that are cut and dictionary-encoded at a time, new chunks that are encoded at a time, and joined;
 #: occurrences whose ids are gathered at a time.
 STEP, NEW, JOINED, GATHER = 4 << 20, 20_000, 500, 1 << 18
@@ -88,11 +88,29 @@ class ChunkTable:
     def clear(self) -> None:
         self.slots: dict[str, int] = {}
         self.flat, self.ends, self.held = array("I"), array("q", [0]), 0
+        self.again = np.zeros(1024, bool)  # chunks that were met again
+
+    def forget(self) -> None:
+        """Keep the chunks that were met again since the last time, but half of the table at most."""
+        names, kept = list(self.slots), np.flatnonzero(self.again[: len(self.slots)])
+        if len(kept) > self.max_chunks // 2:
+            kept = kept[:0]
+        ids, at = self.gather(kept, np.arange(len(kept) + 1))
+        self.clear()
+        own = [names[i] for i in kept.tolist()]
+        self.slots = dict(zip(own, range(len(own)), strict=True))
+        self.flat.frombytes(ids.tobytes())
+        self.ends.frombytes(at[1:].astype(np.int64).tobytes())
+        self.held = sum(map(len, own))
 
     def _slots_of(self, words: list[str]) -> np.ndarray:
         known = self.slots
         out = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(out < 0)
+        there = out >= 0
+        missing = np.flatnonzero(~there)
+        if len(known) > len(self.again):
+            self.again = np.append(self.again, np.zeros(len(known), bool))
+        self.again[out[there]] = True
         new = [words[i] for i in missing.tolist()]
         for i in range(0, len(new), NEW):
             part, ids, n = self.encode(new[i : i + NEW])
@@ -106,7 +124,7 @@ class ChunkTable:
     def occurrences(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The slot of each chunk of the texts, and where each text's chunks begin and end."""
         if len(self.slots) > self.max_chunks or self.held > self.max_bytes:
-            self.clear()
+            self.forget()
         raw, off = bytes_of(texts)
         if not len(raw):
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,7 +111,29 @@ def small_batches(spark: SparkSession) -> None:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no such allocator
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, rows: int = 200, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch's rows some at a time, by number and by bytes of their texts."""
+    at = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)) if batch.num_rows else []
+    i = 0
+    while i < batch.num_rows:
+        j = min(i + rows, max(i + 1, int(np.searchsorted(at, (at[i - 1] if i else 0) + size, side="right"))))
+        yield batch.slice(i, j - i)
+        i = j
 
 
 def free_name(df: DataFrame, *names: str) -> list[str]:

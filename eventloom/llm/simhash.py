@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few, free_name, map_arrow, numbered, row_id, text_of, written
+from .common import few, free_name, map_arrow, numbered, row_id, slices, text_of, written
 
 BITS, SEED = 64, 42
 #: What a candidate pair costs, in probes: a popcount against a row that is shuffled
@@ -111,7 +111,7 @@ def document_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle:
     alone. With ``nodes`` also ``node``, a hash of the text's words, and its ``profile``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             words = [t.encode().lower().split() for t in text_of(batch).to_pylist()]
             profiles: list[bytes] | None = [] if nodes else None
             cols = {"id": batch.column("id"), "row": batch.column("row"), "fp": pa.array(fingerprints(words, shingle, profiles).view(np.int64), pa.int64())}
@@ -515,17 +515,14 @@ def _postings(docs: DataFrame, text_col: str, row_col: str, shingle: int, simila
         return np.where(salt > 0, _mixed(key.view(np.uint64) + salt, 2).view(np.int64), key)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             words = [t.encode().lower().split() for t in text_of(batch).to_pylist()]
-            for i in range(0, len(words), 200):
-                sets = [shingle_set(w, shingle) for w in words[i : i + 200]]
-                if not sets:
-                    continue
-                firsts = [prefix(x, keys, n, similarity) for x in sets]
-                many = [len(x) for x in firsts]
-                key, node = np.concatenate(firsts), np.repeat(_nodes(words[i : i + 200]), many)
-                cols = [key, part_of(key, node), node, np.repeat([len(x) for x in sets], many), np.concatenate([np.arange(m) for m in many])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=names)
+            sets = [shingle_set(w, shingle) for w in words]
+            firsts = [prefix(x, keys, n, similarity) for x in sets]
+            many = [len(x) for x in firsts]
+            key, node = np.concatenate(firsts), np.repeat(_nodes(words), many)
+            cols = [key, part_of(key, node), node, np.repeat([len(x) for x in sets], many), np.concatenate([np.arange(m) for m in many])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=names)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, key, *rest in _whole_keys(batches, ["part", "key", "node", "size", "place"]):
@@ -647,7 +644,7 @@ def _shingle_sets(docs: DataFrame, reps: DataFrame, text_col: str, row_col: str,
     """``node, shingles``: the sorted distinct hashes of each text of ``reps``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = [shingle_set(t.encode().lower().split(), shingle) for t in text_of(batch).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
