@@ -13,7 +13,7 @@ from .functions.timefn import bucket, label
 from .operators import analytics, catalog, metrics, views
 from .operators.events import derive, typed
 from .operators.metrics import Options
-from .operators.validate import check, validate, with_fields
+from .operators.validate import check, with_fields
 from .plans import ir
 from .plans.dsl import compile_tracker
 from .plans.ir import Grain, Metric, MetricFilter, TimeWindow

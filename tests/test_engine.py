@@ -11,7 +11,7 @@ from eventloom.functions.expressions import Compiler
 from eventloom.functions.timefn import bucket, label
 from eventloom.functions.values import normalize_key, render_key, round2
 from eventloom.operators import metrics
-from eventloom.operators.events import assert_derivable, derive, typed
+from eventloom.operators.events import assert_derivable, derive, derive_event, typed
 from eventloom.operators.metrics import Options
 from eventloom.operators.validate import validate
 from eventloom.plans import ir
@@ -85,6 +85,9 @@ def test_filters_and_errors(spark):
 def test_strict_raises(spark):
     t = compile_tracker('tracker "s" { fields { a: float optional } derive { b = 1 / a } metrics { m = count() } }')
     df = typed(t, spark.createDataFrame([("e", 1, 0.0)], "event_id string, ts bigint, a double"))
+    assert derive_event(t, df.withColumn("a", F.lit(4.0))).first()["b"] == 0.25
+    with pytest.raises(EngineError):
+        derive_event(t, df.withColumn("tracker_id", F.lit("other")))
     assert derive(t, df)[0].first()["b"] is None
     with pytest.raises(Exception, match="division by zero"):
         assert_derivable(t, df)

@@ -142,6 +142,12 @@ def test_catalog(spark):
     assert sorted((r["id"], r["display_name"]) for r in catalog.add(c, twice).where("id IN ('1', '9')").collect()) == [("1", "last"), ("9", "new")]
     with pytest.raises(EngineError):
         catalog.Version.parse("1.2")
+    assert catalog.Version.parse("1.4.0").compatible(catalog.Version(1, 0, 9)) and str(catalog.Version(2, 0, 1)) == "2.0.1"
+    n = catalog.Migrations()
+    n.register(catalog.no_op(catalog.Version(1, 0, 0), catalog.Version(2, 0, 0)))
+    assert n.migrate(c, catalog.Version(1, 0, 0), catalog.Version(2, 0, 0)).where("id = '1'").first()["attributes"] == {"old": "v"}
+    kinds = spark.createDataFrame([("Custom", "A_b"), ("builtin", "x"), (None, "y")], "source string, slug string").select(catalog.editable(F.col("source")), catalog.id_from_slug(F.col("slug"))).collect()
+    assert [tuple(k) for k in kinds] == [(True, "a_b"), (False, "x"), (False, "y")]
     store = json_events.MemoryCatalog(spark)
     store.save(spark.createDataFrame([], json_events.SCHEMA))
     assert not store.exists("1") and json_events.catalog_file(spark, "/nowhere.json").count() == 0
