@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .chunks import flat, with_end
-from .common import bytes_of, map_arrow, text_of, written
+from .common import bytes_of, give_back, map_arrow, text_of, written
 from .marked import piece_encoder
 
 #: Bytes of text in a block; bytes of all texts to a bucket of words; rounds of training,
@@ -162,8 +162,8 @@ def summed(vectors: DataFrame, column: str, kind: str) -> np.ndarray | None:
         if total is not None:
             yield pa.RecordBatch.from_pydict({column: pa.array([total.astype(kind).tobytes()], pa.binary())})
 
-    own = vectors.where(F.col(column).isNotNull()).select(column)
-    parts = map_arrow(map_arrow(own, run, f"{column} binary").repartition(SUMS), run, f"{column} binary").collect()
+    # Each task has made one vector; a second Python step in its stage would be a second worker.
+    parts = map_arrow(vectors.where(F.col(column).isNotNull()).select(column).repartition(SUMS), run, f"{column} binary").collect()
     return sum(np.frombuffer(r[column], kind) for r in parts) if parts else None
 
 
@@ -222,7 +222,7 @@ class Block:
         after = np.concatenate([[0], np.cumsum(n)])
         return with_end(self.pieces[np.repeat(begin - after[:-1], n) + np.arange(after[-1])], after[at - at[0]], end)
 
-    def runs(self, first: int = 0, last: int | None = None, words: int = 130_000) -> Iterator[tuple[int, int]]:
+    def runs(self, first: int = 0, last: int | None = None, words: int = 80_000) -> Iterator[tuple[int, int]]:
         """Documents whose words are about so many at a time."""
         i, last = first, len(self.ids) if last is None else last
         while i < last:
@@ -317,6 +317,7 @@ def score(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
         seen = np.bincount(doc, is_known[block.places], many).astype(np.int64) + (ends > 0)
         scores = [attention.log10_probability(weights, vocab, *block.tokens(i, j, end), shape) for i, j in block.runs()]
         n = np.diff(block.at) + 1
+        give_back()
         return pa.table({"doc_id": pa.array(block.ids, pa.int64(), mask=block.ids == _NULL), "held_out": pa.array(block.held), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(seen, pa.int64()), "train_tokens": pa.array(np.full(len(n), n_train), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(np.concatenate(scores), pa.float64())})
 
     own = blocks.select("block", "ids", "held", "sizes", "places", "ends", "pieces")
