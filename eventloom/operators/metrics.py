@@ -131,6 +131,15 @@ def all_groups(df: DataFrame, metrics: list[ir.Metric], c: Compiler, more: dict[
     names = {m.name: f"x{i}" for i, m in enumerate(metrics) if inputs[m.name] is not None}
     flags = {f"f{i}": cond for i, cond in enumerate(more.values()) if cond is not None}
     columns = {**{names[k]: inputs[k] for k in names}, **flags}
+    # Metrics of one function and different groupings share an aggregate, whose operand depends on the grouping.
+    slots: dict[tuple[str, int], dict[int, str]] = {}
+    slot_of: dict[str, tuple[str, int]] = {}
+    for i, dims in enumerate(sets):
+        taken: dict[str, int] = {}
+        for m in by[dims]:
+            k = taken.get(m.func, 0) if m.name in names else 0
+            taken[m.func], slot_of[m.name] = k + 1, (m.func, k)
+            slots.setdefault((m.func, k), {})[i] = names.get(m.name, "")
     # Each row under its key of every grouping; one that has no groups has a row that counts for nothing, too.
     places = [F.struct(F.lit(i).alias("set"), (group_key(dims, c) if dims else F.lit(None).cast("string")).alias("key")) for i, dims in enumerate(sets)]
     slim = df.select(F.array(*places).alias("places"), F.lit(True).alias("real"), *[x.alias(k) for k, x in columns.items()])
@@ -138,17 +147,25 @@ def all_groups(df: DataFrame, metrics: list[ir.Metric], c: Compiler, more: dict[
         kinds = dict(slim.dtypes)
         none = F.array(F.struct(F.lit(sets.index(())).alias("set"), F.lit(None).cast("string").alias("key")))
         slim = slim.union(df.sparkSession.range(1).select(none, F.lit(False), *[F.lit(None).cast(kinds[k]) for k in columns]))
-    each = slim.select(F.explode("places").alias("place"), "real", *columns).select("place.set", "place.key", "real", *columns)
-    aggs = []
-    for i, dims in enumerate(sets):
-        for m in by[dims]:
-            for j, (name, cond) in enumerate(more.items()):
-                when = (F.col("set") == i) & F.col("real") & (F.col(f"f{j}") if cond is not None else F.lit(True))
-                aggs.append(aggregated(m.func, F.col(names[m.name]) if m.name in names else None, when).cast("double").alias(f"{m.name}\0{name}"))
-    first = F.col("real") & (F.col("f0") if next(iter(more.values())) is not None else F.lit(True))
-    wide = each.groupBy("set", "key").agg(*aggs, (F.count_if(first) > 0).alias("present"))
-    rows = [F.struct(F.lit(i).alias("set"), F.lit(m.name).alias("metric"), *[F.col(f"`{m.name}\0{name}`").alias(name) for name in more]) for i, dims in enumerate(sets) for m in by[dims]]
-    own = wide.select("key", "present", F.explode(F.filter(F.array(*rows), lambda r: r["set"] == F.col("set"))).alias("r"))
+    each = slim.select(F.explode("places").alias("place"), "real", *columns)
+
+    def chosen(own: dict[int, str]) -> Column:
+        out = F.lit(None).cast("double")
+        for x in dict.fromkeys(own.values()):
+            out = F.when(F.col("place.set").isin(*[i for i, name in own.items() if name == x]), F.col(x)).otherwise(out)
+        return out
+
+    place = {slot: f"s{i}" for i, slot in enumerate(slots)}
+    each = each.select("place.set", "place.key", "real", *flags, *[chosen(slots[slot]).alias(name) for slot, name in place.items() if slot[0] != "count"])
+    aggs, conds = [], [(name, F.col("real") & F.col(f"f{j}") if cond is not None else F.col("real")) for j, (name, cond) in enumerate(more.items())]
+    for slot, own in place.items():
+        aggs += [aggregated(slot[0], None if slot[0] == "count" else F.col(own), when).cast("double").alias(f"{own}_{name}") for name, when in conds]
+    wide = each.groupBy("set", "key").agg(*aggs, (F.count_if(conds[0][1]) > 0).alias("present"))
+    rows = [F.array(*[F.struct(F.lit(m.name).alias("metric"), *[F.col(f"{place[slot_of[m.name]]}_{name}").alias(name) for name in more]) for m in by[dims]]) for dims in sets]
+    picked = rows[-1]
+    for i in range(len(sets) - 2, -1, -1):
+        picked = F.when(F.col("set") == i, rows[i]).otherwise(picked)
+    own = wide.select("key", "present", F.explode(picked).alias("r"))
     return own.select("r.metric", F.col("key").alias("group_key"), *[f"r.{name}" for name in more], "present")
 
 
