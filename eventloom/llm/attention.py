@@ -66,116 +66,168 @@ def begin(vocab: Vocabulary, shape: Shape, seed: int = 7) -> dict[str, np.ndarra
     }
 
 
-#: Exponents within this bound are taken as they are; beyond it each row's largest is taken off first.
-SAFE = 60.0
-
-
-def _exp(s: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | float]:
-    """Exponentials in place, zero where the mask is; the sums of the last axis, and what
-    has been taken off each row before, so that none is too large or all too small."""
-    off: np.ndarray | float = 0.0
-    if s.size and (s.max() > SAFE or s.min() < -SAFE):
+#: Sums of exponentials between these are taken as they are; beyond them each row's largest is taken off first.
+LEAST, MOST = np.exp(-60), np.exp(60)
+#: Tokens that go through the layers together: what they need stays in a core's cache, and
+#: their products are small enough (a million multiplications) for BLAS to take them as they lie.
+#: Scoring keeps less of them.
+PART, SCORED = 900, 1400
+
+
+def _exp(s: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """Exponentials, zero where the mask is; the sums of the last axis, and what has been
+    taken off each row before, so that none is too large or all too small."""
+    e = np.exp(s)
+    if mask is not None:
+        e *= mask
+    flat, ones = e.reshape(-1, s.shape[-1]), np.ones(s.shape[-1], s.dtype)
+    total, off = flat @ ones, 0.0
+    if total.size and not (total.min() > LEAST and total.max() < MOST):  # nor where one is no number
         if mask is not None:
-            s += np.where(mask > 0, np.float32(0), np.float32(-1e30))
+            s = s + np.where(mask > 0, np.float32(0), np.float32(-1e30))
         off = s.max(axis=-1, keepdims=True)
-        s -= off
-        off = off[..., 0]
-    np.exp(s, out=s)
-    if mask is not None:
-        s *= mask
-    return s @ np.ones(s.shape[-1], s.dtype), off
+        np.exp(s - off, out=e)
+        total, off = flat @ ones, off[..., 0]
+    return e, total.reshape(s.shape[:-1]), off
+
+
+class _Layers:
+    """The weights as the layers use them. Every token has a one behind its numbers, for
+    the biases, so that whole arrays are added; queries, keys and values are one product."""
+
+    def __init__(self, w: dict[str, np.ndarray]) -> None:
+        kind, d = w["q"].dtype, w["q"].shape[0]
+        column, row = lambda x, one: np.concatenate([x, np.full((len(x), 1), one, kind)], axis=1), lambda x, one: np.concatenate([x, one[None]])
+        self.embed, self.place = column(w["embed"], 1), column(w["place"], 0)
+        self.qkv = row(np.concatenate([w["q"] * kind.type(d**-0.5), w["k"], w["v"]], axis=1), np.zeros(3 * d, kind))
+        self.o, self.down = column(w["o"], 0), column(w["down"], 0)
+        self.up, self.out = row(w["up"], w["up_b"]), row(w["out"], w["out_b"])
+
+    def inputs(self, rows: np.ndarray) -> np.ndarray:
+        x = np.take(self.embed, rows.ravel(), axis=0).reshape(*rows.shape, self.embed.shape[1])
+        x += self.place[: rows.shape[1]]
+        return x
+
+    def rest(self, x: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the layers behind the attention make of tokens and what they have gathered."""
+        y = a @ self.o
+        y += x
+        h = y @ self.up
+        np.maximum(h, np.zeros_like(h), out=h)  # with one zero it is four times slower
+        z = h @ self.down
+        z += y
+        return y, h, z
+
+
+def _turned(x: np.ndarray, more: int = 0) -> np.ndarray:
+    """Each window's keys or values as columns, with rows of ones: products with a copy are
+    faster than with them as they lie."""
+    out = np.empty((len(x), x.shape[2] + more, x.shape[1]), x.dtype)
+    out[:, : x.shape[2]] = x.transpose(0, 2, 1)
+    out[:, x.shape[2] :] = 1
+    return out
 
 
-def _hidden(w: dict[str, np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The hidden layer; the bias goes with the product, which spares a pass over memory."""
-    h = _with_one(y) @ np.concatenate([w["up"], w["up_b"][None]])
-    np.maximum(h, h.dtype.type(0), out=h)
-    return h
+def _parts(n: int, length: int, size: int) -> list[tuple[int, int]]:
+    """Windows with so many tokens each, in parts of about equal size."""
+    k = max(1, -(-n // max(1, size // length)))
+    return [(n * i // k, n * (i + 1) // k) for i in range(k)] if n else []
 
 
-def _with_one(x: np.ndarray) -> np.ndarray:
-    out = np.empty((len(x), x.shape[1] + 1), x.dtype)
-    out[:, :-1], out[:, -1] = x, 1
-    return out
+def step(w: dict[str, np.ndarray], rows: np.ndarray, cls: np.ndarray, weight: np.ndarray, with_loss: bool = True) -> tuple[float, dict[str, np.ndarray]]:
+    """The weighted mean of -log P(class) over windows of input rows (batch, length), if
+    asked for, and its gradients: sums over parts of the batch."""
+    (b, n), d, kind, layers = rows.shape, w["q"].shape[0], w["q"].dtype, _Layers(w)
+    share = (weight / max(weight.sum(), 1)).astype(kind)
+    mask = np.tril(np.ones((n, n), kind))  # no token sees a later one
+    loss, gx = 0.0, np.empty((b, n, d), kind)
+    sums = [np.zeros(x.shape, kind) for x in (layers.qkv, layers.up, layers.out, w["o"], w["down"])]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for i, j in _parts(b, n, PART):
+            part_loss, own = _part(layers, mask, rows[i:j], cls[i:j], share[i:j], gx[i:j], with_loss)
+            loss += part_loss
+            for total, x in zip(sums, own, strict=True):
+                total += x
+    gw, up, out, o, down = sums
+    g = {"q": gw[:-1, :d] * kind.type(d**-0.5), "k": gw[:-1, d : 2 * d], "v": gw[:-1, 2 * d :], "o": o, "up": up[:-1], "up_b": up[-1], "down": down, "out": out[:-1], "out_b": out[-1]}
+    g["place"] = np.zeros_like(w["place"])
+    g["place"][:n] = gx.sum(axis=0)
+    # Sums by input row, a column at a time.
+    at, g["embed"] = rows.ravel(), np.empty_like(w["embed"])
+    for k, x in enumerate(np.ascontiguousarray(gx.reshape(b * n, d).T, float)):
+        g["embed"][:, k] = np.bincount(at, x, len(w["embed"]))
+    return loss, g
 
 
-def step(w: dict[str, np.ndarray], rows: np.ndarray, cls: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """The weighted mean of -log P(class) over windows of input rows (batch, length),
-    and its gradients."""
-    (b, n), d = rows.shape, w["q"].shape[0]
-    kind, scale, m = w["q"].dtype, w["q"].dtype.type(d**-0.5), b * n
-    mask = np.tril(np.ones((n, n), kind))  # no token sees a later one
-    qkv = np.concatenate([w["q"] * scale, w["k"], w["v"]], axis=1)
-    x = np.take(w["embed"], rows.ravel(), axis=0).reshape(b, n, d)
-    x += w["place"][:n]
-    flat = x.reshape(m, d)
-    p = (flat @ qkv).reshape(b, n, 3 * d)
-    q, k, v = p[:, :, :d], p[:, :, d : 2 * d], p[:, :, 2 * d :]
-    s = q @ k.transpose(0, 2, 1)
-    seen, _ = _exp(s, mask)
-    a = s @ v
-    a /= seen[:, :, None]
-    a = a.reshape(m, d)
-    y = flat + a @ w["o"]
-    h = _hidden(w, y)
-    z = _with_one(y + h @ w["down"])
-    gl = z @ np.concatenate([w["out"], w["out_b"][None]])
-    at, share = np.arange(m), (weight.ravel() / max(weight.sum(), 1)).astype(kind)
-    cls = cls.ravel()
-    top = gl[at, cls].copy()
-    total, off = _exp(gl)
-    loss = float(-(share * (top - off - np.log(total))).sum())
-    # Probabilities are gl over total; the division goes where there are fewer numbers.
-    gl[at, cls] -= total
-    share /= total
-    z *= share[:, None]
-    gw = z.T @ gl
-    g: dict[str, np.ndarray] = {"out": gw[:d], "out_b": gw[d]}
-    gz = gl @ w["out"].T
-    gz *= share[:, None]
-    g["down"] = h.T @ gz
-    gh = gz @ w["down"].T
+def _part(layers: _Layers, mask: np.ndarray, rows: np.ndarray, cls: np.ndarray, share: np.ndarray, gx: np.ndarray, with_loss: bool) -> tuple[float, tuple[np.ndarray, ...]]:
+    """A part's loss and gradients of ``qkv``, ``up``, ``out``, ``o`` and ``down``; those of the inputs go to ``gx``."""
+    (b, n), d = rows.shape, gx.shape[2]
+    m, kind = b * n, gx.dtype
+    x = layers.inputs(rows).reshape(m, d + 1)
+    p = (x @ layers.qkv).reshape(b, n, 3 * d)
+    q, k, v, turned = p[:, :, :d], p[:, :, d : 2 * d], p[:, :, 2 * d :], _turned(p[:, :, d:], 1)
+    s, seen, _ = _exp(q @ turned[:, :d], mask)
+    s *= (1 / seen)[:, :, None]
+    a = (s @ v).reshape(m, d)
+    y, h, z = layers.rest(x, a)
+    logits = z @ layers.out
+    e, total, off = _exp(logits)
+    target, share = np.arange(0, e.size, e.shape[1]) + cls.ravel(), share.ravel()
+    loss = float(-(share * (logits.ravel()[target] - off - np.log(total))).sum()) if with_loss else 0.0
+    # Probabilities are e over total; the division goes where there are fewer numbers.
+    e.reshape(-1)[target] -= total
+    share = (share / total)[:, None]
+    z *= share
+    g_out = z.T @ e
+    gz = np.matmul(e, layers.out[:-1].T, out=gx.reshape(m, d))
+    gz *= share
+    g_down = h.T @ gz
+    gh = gz @ layers.down[:, :-1].T
     gh *= h > 0
-    g["up"], g["up_b"] = y.T @ gh, np.ones(m, kind) @ gh
-    gz += gh @ w["up"].T
-    g["o"] = a.T @ gz
-    ga = (gz @ w["o"].T).reshape(b, n, d)
-    ga /= seen[:, :, None]
-    gp = np.empty_like(p)
-    np.matmul(s.transpose(0, 2, 1), ga, out=gp[:, :, 2 * d :])
-    gs = ga @ v.transpose(0, 2, 1)
+    g_up = y.T @ gh
+    gz += gh @ layers.up[:-1].T
+    g_o = a.T @ gz
+    # Behind a query's gradient stands what its exponents lose together, its output times the output's gradient.
+    ga = np.empty((m, d + 1), kind)
+    np.matmul(gz, layers.o[:, :-1].T, out=ga[:, :d])
+    ga[:, d] = (ga[:, :d] * a) @ np.full(d, -1, kind)
+    ga = ga.reshape(b, n, d + 1)
+    gs = ga @ turned[:, d:]
     gs *= s
-    s *= ((gs @ np.ones(n, kind)) / seen)[:, :, None]
-    gs -= s
+    gp = np.empty_like(p)
+    np.matmul(s.transpose(0, 2, 1), ga[:, :, :d], out=gp[:, :, 2 * d :])
     np.matmul(gs, k, out=gp[:, :, :d])
     np.matmul(gs.transpose(0, 2, 1), q, out=gp[:, :, d : 2 * d])
     gp = gp.reshape(m, 3 * d)
-    gw = flat.T @ gp
-    g["q"], g["k"], g["v"] = gw[:, :d] * scale, gw[:, d : 2 * d], gw[:, 2 * d :]
-    gz += gp @ qkv.T
-    g["place"] = np.zeros_like(w["place"])
-    g["place"][:n] = gz.reshape(b, n, d).sum(axis=0)
-    # Sums by input row: rows in order, then runs of equal ones (small integers are sorted by their digits).
-    own = rows.ravel().astype(np.int16 if len(w["embed"]) < 1 << 15 else np.int64)
-    order = np.argsort(own, kind="stable")
-    own = own[order]
-    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if m else np.zeros(0, np.int64)
-    g["embed"] = np.zeros_like(w["embed"])
-    g["embed"][own[first]] = np.add.reduceat(np.take(gz, order, axis=0), first, axis=0) if m else 0
-    return loss, g
+    gz += gp @ layers.qkv[:-1].T
+    return loss, (x.T @ gp, g_up, g_out, g_o, g_down)
 
 
 class Adam:
+    """The weights become views of one vector, which a step passes over once."""
+
     def __init__(self, w: dict[str, np.ndarray], rate: float) -> None:
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-        self.rate, self.t = rate, 0
+        self.names, self.rate, self.t = list(w), rate, 0
+        self.w = np.concatenate([w[k].ravel() for k in self.names])
+        self.m, self.v = np.zeros_like(self.w), np.zeros_like(self.w)
+        cuts = np.cumsum([w[k].size for k in self.names])[:-1]
+        w |= {k: x.reshape(w[k].shape) for k, x in zip(self.names, np.split(self.w, cuts), strict=True)}
 
-    def step(self, w: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> None:
+    def step(self, g: dict[str, np.ndarray]) -> None:
         self.t += 1
-        for k, x in w.items():
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g[k]
-            self.v[k] = 0.99 * self.v[k] + 0.01 * g[k] ** 2
-            x -= (self.rate / (1 - 0.9**self.t) * self.m[k] / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+        x = np.concatenate([g[k].ravel() for k in self.names])
+        self.m *= 0.9
+        self.m += 0.1 * x
+        x *= x
+        x *= 0.01
+        self.v *= 0.99
+        self.v += x
+        np.divide(self.v, 1 - 0.99**self.t, out=x)
+        np.sqrt(x, out=x)
+        x += 1e-8
+        np.divide(self.m, x, out=x)
+        x *= self.rate / (1 - 0.9**self.t)
+        self.w -= x
 
 
 def windows(at: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,38 +241,29 @@ def windows(at: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.nd
     return doc, k * shape.stride, np.where(k > 0, shape.window - shape.stride, 0)
 
 
-def log_class(w: dict[str, np.ndarray], q: np.ndarray, kv: np.ndarray, mask: np.ndarray, rows: np.ndarray, cls: np.ndarray, first: int) -> np.ndarray:
-    """log P(class) of the targets from ``first`` on: what ``step`` learns, with fewer passes
-    over memory, and nothing but keys and values for what is context alone.
-
-    ``q``: scaled queries; ``kv``: keys and values side by side.
-    """
-    (b, n), d, m = rows.shape, w["q"].shape[0], rows.shape[1] - first
-    x = np.take(w["embed"], rows.ravel(), axis=0).reshape(b, n, d)
-    x += w["place"][:n]
-    p = (x.reshape(b * n, d) @ kv).reshape(b, n, 2 * d)
-    y = np.ascontiguousarray(x[:, first:]).reshape(b * m, d)
-    s = (y @ q).reshape(b, m, d) @ p[:, :, :d].transpose(0, 2, 1)
-    total, _ = _exp(s, mask[first:n, :n])
+def log_class(layers: _Layers, mask: np.ndarray, rows: np.ndarray, cls: np.ndarray, first: int) -> np.ndarray:
+    """log P(class) of the targets from ``first`` on: what ``step`` learns, with nothing but
+    keys and values for what is context alone."""
+    (b, n), m = rows.shape, rows.shape[1] - first
+    x = layers.inputs(rows)
+    d = x.shape[2] - 1
+    p = (x.reshape(b * n, d + 1) @ layers.qkv[:, d:]).reshape(b, n, 2 * d)
+    x = np.ascontiguousarray(x[:, first:]).reshape(b * m, d + 1)
+    s, total, _ = _exp((x @ layers.qkv[:, :d]).reshape(b, m, d) @ _turned(p[:, :, :d]), mask[first:n, :n])
     a = s @ p[:, :, d:]
-    a /= total[:, :, None]
-    y += a.reshape(b * m, d) @ w["o"]
-    y += _hidden(w, y) @ w["down"]
-    logits = _with_one(y) @ np.concatenate([w["out"], w["out_b"][None]])
-    target = logits[np.arange(b * m), cls.ravel()]
-    total, off = _exp(logits)
+    a *= (1 / total)[:, :, None]
+    logits = layers.rest(x, a.reshape(b * m, d))[2] @ layers.out
+    target = logits.ravel()[np.arange(0, logits.size, logits.shape[1]) + cls.ravel()]
+    _, total, off = _exp(logits)
     return (target - off - np.log(total)).reshape(b, m)
 
 
-def log10_probability(w: dict[str, np.ndarray], vocab: Vocabulary, ids: np.ndarray, at: np.ndarray, shape: Shape, size: int = 128) -> np.ndarray:
+def log10_probability(w: dict[str, np.ndarray], vocab: Vocabulary, ids: np.ndarray, at: np.ndarray, shape: Shape) -> np.ndarray:
     """The log10 probability of each text."""
     n_ids = len(ids)
     if not n_ids:
         return np.zeros(len(at) - 1)
-    d = w["q"].shape[0]
-    q = w["q"] * np.float32(d**-0.5)
-    kv = np.ascontiguousarray(np.concatenate([w["k"], w["v"]], axis=1))
-    mask = np.tril(np.ones((shape.window, shape.window), np.float32))
+    layers, mask = _Layers(w), np.tril(np.ones((shape.window, shape.window), np.float32))
     # What a token sees before it and its class, with room behind the last text.
     room = np.zeros(shape.window, np.int32)
     before = np.concatenate([[0], vocab.row[ids[:-1]], room]).astype(np.int32)
@@ -233,10 +276,11 @@ def log10_probability(w: dict[str, np.ndarray], vocab: Vocabulary, ids: np.ndarr
     places = np.arange(shape.window)
     for f in np.unique(first).tolist():
         chosen = np.flatnonzero(first == f)
-        for i in range(0, len(chosen), size):
-            part = chosen[i : i + size]
+        for i, j in _parts(len(chosen), shape.window - f, SCORED):
+            part = chosen[i:j]
             where = begin[part][:, None] + places
-            value = log_class(w, q, kv, mask, before[where], cls[where[:, f:]], f)
+            with np.errstate(over="ignore", invalid="ignore"):
+                value = log_class(layers, mask, before[where], cls[where[:, f:]], f)
             value *= where[:, f:] < end[part][:, None]
             out += np.bincount(doc[part], weights=value.sum(axis=1, dtype=np.float64), minlength=len(out))
     return out / np.log(10)

@@ -270,7 +270,7 @@ def train(blocks: DataFrame, model: str, vocab: attention.Vocabulary, shape: att
                         for x in range(0, len(ids), BATCH):
                             part = order[x : x + BATCH]
                             rows = np.where(before[part] < 0, 0, vocab.row[before[part]])
-                            adam.step(w, attention.step(w, rows, vocab.cls[ids[part]], there[part])[1])
+                            adam.step(attention.step(w, rows, vocab.cls[ids[part]], there[part], with_loss=False)[1])
                         seen += int(there.sum())
             if seen:
                 vector = np.concatenate([*(w[k].ravel() for k in names), [1.0]]).astype("<f8") * seen

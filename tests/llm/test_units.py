@@ -1,6 +1,7 @@
 """Parts that need no session."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -196,6 +197,40 @@ def test_attention_gradients_and_scores():
             assert got[d] == pytest.approx(want / np.log(10), rel=1e-4, abs=1e-3 * grow)
 
 
+def test_attention_step_works_in_parts():
+    # A step's arrays fit a core's cache, whatever its batch, and its gradients are those of the whole batch.
+    shape, r = attention.Shape(), np.random.default_rng(1)
+    vocab = attention.Vocabulary(r.integers(0, 50, 3000), shape)
+    w = {k: x.astype(float) + 0.1 * r.standard_normal(x.shape) for k, x in attention.begin(vocab, shape).items()}
+    w32 = {k: x.astype(np.float32) for k, x in w.items()}
+    rows, cls = r.integers(0, shape.inputs, (128, shape.window)), r.integers(0, shape.classes, (128, shape.window))
+    weight = r.random(rows.shape) < 0.9
+    tracemalloc.start()
+    attention.step(w32, rows, cls, weight)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 << 20
+    loss, g = attention.step(w, rows, cls, weight)
+    each = [(weight[i : i + 1].sum() / weight.sum(), *attention.step(w, rows[i : i + 1], cls[i : i + 1], weight[i : i + 1])) for i in range(128)]
+    assert loss == pytest.approx(sum(share * x for share, x, _ in each))
+    for k in w:
+        assert np.allclose(g[k], sum(share * x[k] for share, _, x in each), rtol=1e-9, atol=1e-12), k
+
+
+def test_adam():
+    r = np.random.default_rng(2)
+    w = {"a": r.standard_normal((3, 4)), "b": r.standard_normal(5)}
+    plain_w, m, v = {k: x.copy() for k, x in w.items()}, dict.fromkeys(w, 0.0), dict.fromkeys(w, 0.0)
+    adam = attention.Adam(w, 0.01)
+    for t in range(1, 6):
+        g = {k: r.standard_normal(x.shape) for k, x in w.items()}
+        adam.step(g)
+        for k, x in g.items():
+            m[k], v[k] = 0.9 * m[k] + 0.1 * x, 0.99 * v[k] + 0.01 * x**2
+            plain_w[k] -= 0.01 * m[k] / (1 - 0.9**t) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+            assert np.allclose(w[k], plain_w[k]), k
+
+
 def test_tree():
     t = sharding.tree(25)
     assert [len(r.children) for r in t.children] == [3, 3, 1] and t.weight == 25
