@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.llm import exact, packing, quality, secrets, simhash
-from eventloom.llm.common import load, recorded, release, written
+from eventloom.llm.common import collect_garbage, load, recorded, release, written
 from eventloom.llm.entries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,9 +24,11 @@ _MADE: dict[str, list[str]] = {}
 
 def _stage(operator: Callable[[DataFrame], DataFrame], spark: SparkSession, docs: DataFrame, sf_dir: str, first: bool = False) -> DataFrame:
     """The operator on ``docs``. What earlier stages of the run left behind has been
-    written by now and is deleted, but for what ``docs`` itself may still read."""
+    written by now and is deleted, but for what ``docs`` itself may still read; so is
+    the garbage on the executors' heaps."""
     made = [] if first else _MADE.get(sf_dir, [])
     release(spark, made, docs)
+    collect_garbage(spark)
     _MADE[sf_dir] = made
     with recorded(made):
         return operator(docs)

@@ -126,6 +126,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect their garbage, which shrinks a heap that has grown: otherwise
+    it keeps the largest size that any stage took, beside the Python workers of the next. One
+    task a core, so that an idle executor gets some; which do decides on memory alone."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("x")).write.format("noop").mode("overwrite").save()
+
+
 def slices(batch: pa.RecordBatch, rows: int = 200, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """A batch's rows some at a time, by number and by bytes of their texts."""
     at = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)) if batch.num_rows else []

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import encoder, with_end
-from .common import map_arrow, row_id, text_of, written
+from .common import map_arrow, row_id, slices, text_of, written
 
 #: Pieces that are packed together; a sequence that is full enough to stay, as a share of its tokens.
 GROUP, FULL = 16_384, 0.99
@@ -83,25 +83,27 @@ def pack(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray]:
     return seq, offset
 
 
-def pieces(docs: DataFrame, vocabulary: str, end: int, tokens: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, row, piece, start, length, ids_crc32``."""
+def cut(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, tokens: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of a task's texts (``id, row, text``), a megabyte of texts at a time: ids, chunks
+    and their places take many times the bytes of the texts they come from."""
+    for batch in (part for whole in batches for part in slices(whole, whole.num_rows)):
+        ids, at = with_end(*encoder(vocabulary).ids(text_of(batch)), end)
+        ids = ids.astype("<u4", copy=False)
+        n = np.diff(at)
+        count = -(-n // tokens)
+        doc = np.repeat(np.arange(len(n)), count)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        start = piece * tokens
+        length = np.minimum(n[doc] - start, tokens)
+        a = at[doc] + start
+        crcs = [zlib.crc32(ids[x:y].data) for x, y in zip(a.tolist(), (a + length).tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc)), batch.column("row").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, at = with_end(*encoder(vocabulary).ids(text_of(batch)), end)
-            ids = ids.astype("<u4")
-            n = np.diff(at)
-            count = -(-n // tokens)
-            doc = np.repeat(np.arange(len(n)), count)
-            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-            start = piece * tokens
-            length = np.minimum(n[doc] - start, tokens)
-            a = at[doc] + start
-            crcs = [zlib.crc32(ids[x:y].data) for x, y in zip(a.tolist(), (a + length).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc)), batch.column("row").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
+def pieces(docs: DataFrame, vocabulary: str, end: int, tokens: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, row, piece, start, length, ids_crc32``."""
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), row_id().alias("row"), F.col(text_col).alias("text"))
-    return map_arrow(keyed, cut, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(keyed, lambda batches: cut(batches, vocabulary, end, tokens), "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
 
 
 def _best_fit(cap: Capacity, level: int) -> Callable[[pa.Table], pa.Table]:

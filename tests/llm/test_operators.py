@@ -8,10 +8,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.llm import attention, common, exact, marked, packing, quality, scoring, secrets, sharding, simhash, tokens, urls
+from eventloom.llm import attention, chunks, common, exact, marked, packing, quality, scoring, secrets, sharding, simhash, tokens, urls
 from tests.llm.util import DOCS, empty, odd, prose
 
 BYTES, WORDS, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -516,6 +517,28 @@ def test_pieces(spark):
     assert marked.encode_documents(empty(spark), PIECES).count() == 0
 
 
+def test_pieces_take_a_megabyte_of_texts_at_a_time(spark, monkeypatch):
+    """What a worker holds beside a batch of 8 MB follows the slice, and the pieces are the same."""
+    rng = random.Random(12)
+    texts = [prose(rng, 400) for _ in range(2_000)] + [None, "", "ab " * 700_000]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(len(texts)), pa.int64()), "row": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    taken = []
+
+    class Noted:
+        def ids(self, part):
+            taken.append((len(part), sum(map(len, part.to_pylist()))))
+            return chunks.encoder(WORDS).ids(part)
+
+    monkeypatch.setattr(packing, "encoder", lambda path: Noted())
+    monkeypatch.setattr(packing, "map_arrow", lambda df, fn, schema: fn)
+    found = pa.Table.from_batches(packing.pieces(odd(spark), WORDS, 1, 4096, "doc_id", "text")(iter([batch])))
+    assert batch.nbytes > 5 << 20 and max(size for n, size in taken if n > 1) <= 1 << 20 and sum(n for n, _ in taken) == len(texts)
+    ids, at = chunks.with_end(*chunks.encoder(WORDS).ids(common.text_of(batch)), 1)
+    whole = [(i, k, at[i] + k * 4096, min(at[i + 1] - at[i] - k * 4096, 4096)) for i in range(len(texts)) for k in range(-(-(at[i + 1] - at[i]) // 4096))]
+    got = zip(*(found.column(c).to_pylist() for c in ("doc_id", "piece", "length", "ids_crc32")), strict=True)
+    assert list(got) == [(i, k, n, zlib.crc32(ids[a : a + n].astype("<u4").tobytes())) for i, k, a, n in whole]
+
+
 def test_sharding(spark):
     frame = docs(spark, [(i, f"text é {i}") for i in range(3000)]).union(odd(spark))
     rows = sharding.shard(frame, sharding.tree(24), sharding.tree(25)).collect()
@@ -595,6 +618,20 @@ def test_stages_on_odd_tables(spark, tmp_path):
     assert sorted(i for i, t in n["exact dedup"] if i and i > 50) == [52] and sorted(i for i, t in n["SimHash near-dedup"] if i and i > 50) == [51]
 
 
+def test_stages_begin_without_garbage(spark, tmp_path):
+    """Each stage has the executors (here the driver) collect what the stages before left on their heaps."""
+    import corpus_pipeline as p
+
+    def collected():
+        tool = spark._jvm.java.lang.management.ManagementFactory
+        return {b.getName(): b.getCollectionCount() for b in tool.getGarbageCollectorMXBeans()}["G1 Old Generation"]
+
+    for first in (True, False):
+        before = collected()
+        p._stage(lambda d: d, spark, odd(spark), str(tmp_path), first)
+        assert collected() > before
+
+
 def test_written_survives_a_new_session(spark):
     df = common.written(spark.range(5).withColumn("x", F.lit(None).cast("string")), "x")
     assert df.count() == 5 and df.dtypes == [("id", "bigint"), ("x", "string")]
