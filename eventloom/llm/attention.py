@@ -92,15 +92,17 @@ def _exp(s: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.
 
 
 class _Layers:
-    """The weights as the layers use them. Every token has a one behind its numbers, for
-    the biases, so that whole arrays are added; queries, keys and values are one product."""
+    """The weights as the layers use them. There is one head as wide as a token, so queries
+    and keys meet as one matrix between tokens (``near``), values and output as another
+    (``take``): what is compared and gathered is the tokens themselves. Every token has a one
+    behind its numbers, for the biases, so that whole arrays are added."""
 
     def __init__(self, w: dict[str, np.ndarray]) -> None:
         kind, d = w["q"].dtype, w["q"].shape[0]
         column, row = lambda x, one: np.concatenate([x, np.full((len(x), 1), one, kind)], axis=1), lambda x, one: np.concatenate([x, one[None]])
         self.embed, self.place = column(w["embed"], 1), column(w["place"], 0)
-        self.qkv = row(np.concatenate([w["q"] * kind.type(d**-0.5), w["k"], w["v"]], axis=1), np.zeros(3 * d, kind))
-        self.o, self.down = column(w["o"], 0), column(w["down"], 0)
+        self.near = w["q"] @ w["k"].T * kind.type(d**-0.5)
+        self.take, self.down = column(w["v"] @ w["o"], 0), column(w["down"], 0)
         self.up, self.out = row(w["up"], w["up_b"]), row(w["out"], w["out_b"])
 
     def inputs(self, rows: np.ndarray) -> np.ndarray:
@@ -110,7 +112,7 @@ class _Layers:
 
     def rest(self, x: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What the layers behind the attention make of tokens and what they have gathered."""
-        y = a @ self.o
+        y = a @ self.take
         y += x
         h = y @ self.up
         np.maximum(h, np.zeros_like(h), out=h)  # with one zero it is four times slower
@@ -119,13 +121,9 @@ class _Layers:
         return y, h, z
 
 
-def _turned(x: np.ndarray, more: int = 0) -> np.ndarray:
-    """Each window's keys or values as columns, with rows of ones: products with a copy are
-    faster than with them as they lie."""
-    out = np.empty((len(x), x.shape[2] + more, x.shape[1]), x.dtype)
-    out[:, : x.shape[2]] = x.transpose(0, 2, 1)
-    out[:, x.shape[2] :] = 1
-    return out
+def _turned(x: np.ndarray) -> np.ndarray:
+    """Each window's tokens as columns: products with a copy are faster than with them as they lie."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
 
 
 def _parts(n: int, length: int, size: int) -> list[tuple[int, int]]:
@@ -141,15 +139,16 @@ def step(w: dict[str, np.ndarray], rows: np.ndarray, cls: np.ndarray, weight: np
     share = (weight / max(weight.sum(), 1)).astype(kind)
     mask = np.tril(np.ones((n, n), kind))  # no token sees a later one
     loss, gx = 0.0, np.empty((b, n, d), kind)
-    sums = [np.zeros(x.shape, kind) for x in (layers.qkv, layers.up, layers.out, w["o"], w["down"])]
+    sums = [np.zeros(x.shape, kind) for x in (layers.near, w["o"], layers.up, layers.down[:, :d], layers.out)]
     with np.errstate(over="ignore", invalid="ignore"):
         for i, j in _parts(b, n, PART):
             part_loss, own = _part(layers, mask, rows[i:j], cls[i:j], share[i:j], gx[i:j], with_loss)
             loss += part_loss
             for total, x in zip(sums, own, strict=True):
                 total += x
-    gw, up, out, o, down = sums
-    g = {"q": gw[:-1, :d] * kind.type(d**-0.5), "k": gw[:-1, d : 2 * d], "v": gw[:-1, 2 * d :], "o": o, "up": up[:-1], "up_b": up[-1], "down": down, "out": out[:-1], "out_b": out[-1]}
+    near, take, up, down, out = sums
+    near *= kind.type(d**-0.5)
+    g = {"q": near @ w["k"], "k": near.T @ w["q"], "v": take @ w["o"].T, "o": w["v"].T @ take, "up": up[:-1], "up_b": up[-1], "down": down, "out": out[:-1], "out_b": out[-1]}
     g["place"] = np.zeros_like(w["place"])
     g["place"][:n] = gx.sum(axis=0)
     # Sums by input row, a column at a time.
@@ -160,15 +159,16 @@ def step(w: dict[str, np.ndarray], rows: np.ndarray, cls: np.ndarray, weight: np
 
 
 def _part(layers: _Layers, mask: np.ndarray, rows: np.ndarray, cls: np.ndarray, share: np.ndarray, gx: np.ndarray, with_loss: bool) -> tuple[float, tuple[np.ndarray, ...]]:
-    """A part's loss and gradients of ``qkv``, ``up``, ``out``, ``o`` and ``down``; those of the inputs go to ``gx``."""
+    """A part's loss and gradients of ``near``, ``take``, ``up``, ``down`` and ``out``; those of the inputs go to ``gx``."""
     (b, n), d = rows.shape, gx.shape[2]
     m, kind = b * n, gx.dtype
-    x = layers.inputs(rows).reshape(m, d + 1)
-    p = (x @ layers.qkv).reshape(b, n, 3 * d)
-    q, k, v, turned = p[:, :, :d], p[:, :, d : 2 * d], p[:, :, 2 * d :], _turned(p[:, :, d:], 1)
-    s, seen, _ = _exp(q @ turned[:, :d], mask)
-    s *= (1 / seen)[:, :, None]
-    a = (s @ v).reshape(m, d)
+    x = layers.inputs(rows)
+    seen, turned, x = x[:, :, :d], _turned(x), x.reshape(m, d + 1)
+    q = (x[:, :d] @ layers.near).reshape(b, n, d)
+    s, total, _ = _exp(q @ turned[:, :d], mask)
+    part = (1 / total).reshape(m, 1)
+    a = (s @ seen).reshape(m, d)
+    a *= part
     y, h, z = layers.rest(x, a)
     logits = z @ layers.out
     e, total, off = _exp(logits)
@@ -178,29 +178,28 @@ def _part(layers: _Layers, mask: np.ndarray, rows: np.ndarray, cls: np.ndarray,
     e.reshape(-1)[target] -= total
     share = (share / total)[:, None]
     z *= share
-    g_out = z.T @ e
+    g_out = (e.T @ z).T  # faster than z.T @ e
     gz = np.matmul(e, layers.out[:-1].T, out=gx.reshape(m, d))
     gz *= share
     g_down = h.T @ gz
     gh = gz @ layers.down[:, :-1].T
     gh *= h > 0
-    g_up = y.T @ gh
+    g_up = (gh.T @ y).T
     gz += gh @ layers.up[:-1].T
-    g_o = a.T @ gz
-    # Behind a query's gradient stands what its exponents lose together, its output times the output's gradient.
+    g_take = a.T @ gz
+    # Behind a gradient of what is gathered stands what its exponents lose together, its product with what is gathered.
     ga = np.empty((m, d + 1), kind)
-    np.matmul(gz, layers.o[:, :-1].T, out=ga[:, :d])
+    np.matmul(gz, layers.take[:, :-1].T, out=ga[:, :d])
     ga[:, d] = (ga[:, :d] * a) @ np.full(d, -1, kind)
+    ga *= part
     ga = ga.reshape(b, n, d + 1)
-    gs = ga @ turned[:, d:]
+    gs = ga @ turned
     gs *= s
-    gp = np.empty_like(p)
-    np.matmul(s.transpose(0, 2, 1), ga[:, :, :d], out=gp[:, :, 2 * d :])
-    np.matmul(gs, k, out=gp[:, :, :d])
-    np.matmul(gs.transpose(0, 2, 1), q, out=gp[:, :, d : 2 * d])
-    gp = gp.reshape(m, 3 * d)
-    gz += gp @ layers.qkv[:-1].T
-    return loss, (x.T @ gp, g_up, g_out, g_o, g_down)
+    gq = (gs @ seen).reshape(m, d)
+    gx += gs.transpose(0, 2, 1) @ q
+    gx += s.transpose(0, 2, 1) @ ga[:, :, :d]
+    gz += gq @ layers.near.T
+    return loss, (x[:, :d].T @ gq, g_take, g_up, g_down, g_out)
 
 
 class Adam:
@@ -242,15 +241,14 @@ def windows(at: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def log_class(layers: _Layers, mask: np.ndarray, rows: np.ndarray, cls: np.ndarray, first: int) -> np.ndarray:
-    """log P(class) of the targets from ``first`` on: what ``step`` learns, with nothing but
-    keys and values for what is context alone."""
+    """log P(class) of the targets from ``first`` on: what ``step`` learns, with nothing
+    calculated for what is context alone."""
     (b, n), m = rows.shape, rows.shape[1] - first
     x = layers.inputs(rows)
     d = x.shape[2] - 1
-    p = (x.reshape(b * n, d + 1) @ layers.qkv[:, d:]).reshape(b, n, 2 * d)
-    x = np.ascontiguousarray(x[:, first:]).reshape(b * m, d + 1)
-    s, total, _ = _exp((x @ layers.qkv[:, :d]).reshape(b, m, d) @ _turned(p[:, :, :d]), mask[first:n, :n])
-    a = s @ p[:, :, d:]
+    seen, turned, x = x[:, :, :d], _turned(x[:, :, :d]), np.ascontiguousarray(x[:, first:]).reshape(b * m, d + 1)
+    s, total, _ = _exp((x[:, :d] @ layers.near).reshape(b, m, d) @ turned, mask[first:n, :n])
+    a = s @ seen
     a *= (1 / total)[:, :, None]
     logits = layers.rest(x, a.reshape(b * m, d))[2] @ layers.out
     target = logits.ravel()[np.arange(0, logits.size, logits.shape[1]) + cls.ravel()]
@@ -272,15 +270,14 @@ def log10_probability(w: dict[str, np.ndarray], vocab: Vocabulary, ids: np.ndarr
     within = np.concatenate([[0], np.cumsum(vocab.log_within[ids])])
     out = within[at[1:]] - within[at[:-1]]
     doc, start, first = windows(at, shape)
-    begin, end = at[doc] + start, at[doc + 1]
-    places = np.arange(shape.window)
+    begin, left = at[doc] + start, at[doc + 1] - at[doc] - start
+    before, places = np.lib.stride_tricks.sliding_window_view(before, shape.window), np.arange(shape.window)
     for f in np.unique(first).tolist():
-        chosen = np.flatnonzero(first == f)
+        chosen, after = np.flatnonzero(first == f), np.lib.stride_tricks.sliding_window_view(cls[f:], shape.window - f)
         for i, j in _parts(len(chosen), shape.window - f, SCORED):
             part = chosen[i:j]
-            where = begin[part][:, None] + places
             with np.errstate(over="ignore", invalid="ignore"):
-                value = log_class(layers, mask, before[where], cls[where[:, f:]], f)
-            value *= where[:, f:] < end[part][:, None]
+                value = log_class(layers, mask, before[begin[part]], after[begin[part]], f)
+            value *= places[f:] < left[part][:, None]
             out += np.bincount(doc[part], weights=value.sum(axis=1, dtype=np.float64), minlength=len(out))
     return out / np.log(10)

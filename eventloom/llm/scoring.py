@@ -32,6 +32,7 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +72,11 @@ def words_of(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
     return words, np.searchsorted(np.flatnonzero(first), off)
 
 
+def listed(words: pa.StringArray) -> list[str]:
+    """The words, none of which has a line feed, by one split: a tenth of the time of a value at a time."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "\n")[0].as_py().split("\n") if len(words) else []
+
+
 def buckets_of(words: pa.StringArray, buckets: int) -> np.ndarray:
     """The bucket of each word, from its first and last eight bytes and its length."""
     raw, off = bytes_of(words)
@@ -122,7 +128,7 @@ def blocks_of(docs: DataFrame, model: str, buckets: int) -> DataFrame:
                 part = list(zip(cuts[i : i + 1000], cuts[i + 1 : i + 1001], strict=False))
                 cut = lambda v, part=part: [v[a:b].tobytes() for a, b in part]
                 yield rows(len(part), block=[number] * len(part), bucket=[int(bucket[a]) for a, _ in part], words=[raw[off[a] : off[b]].tobytes() for a, b in part], lengths=cut(lengths), counts=cut(n))
-            pieces, many = flat(enc.sp.encode(distinct.to_pylist(), num_threads=1))
+            pieces, many = flat(enc.sp.encode(listed(distinct), num_threads=1))
             ends = np.concatenate([[0], np.cumsum(many)])
             counted[:] += np.bincount(pieces, weights=np.repeat(n, many), minlength=len(counted)).astype(np.int64)
             counted[enc.sp.eos_id()] += int((~held).sum())
@@ -257,6 +263,7 @@ def train(blocks: DataFrame, model: str, vocab: attention.Vocabulary, shape: att
         def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
             w, seen = {k: v.copy() for k, v in start.items()}, 0
             adam, mix = attention.Adam(w, RATE), np.random.default_rng(1)
+            input_row = np.append(vocab.row, 0)  # the last, -1, is a text's begin
             for batch in batches:
                 for k in range(batch.num_rows):
                     block = Block({c: batch.column(c)[k].as_py() for c in batch.schema.names}, wide)
@@ -269,8 +276,7 @@ def train(blocks: DataFrame, model: str, vocab: attention.Vocabulary, shape: att
                         order = mix.permutation(len(ids))
                         for x in range(0, len(ids), BATCH):
                             part = order[x : x + BATCH]
-                            rows = np.where(before[part] < 0, 0, vocab.row[before[part]])
-                            adam.step(attention.step(w, rows, vocab.cls[ids[part]], there[part], with_loss=False)[1])
+                            adam.step(attention.step(w, input_row[before[part]], vocab.cls[ids[part]], there[part], with_loss=False)[1])
                         seen += int(there.sum())
             if seen:
                 vector = np.concatenate([*(w[k].ravel() for k in names), [1.0]]).astype("<f8") * seen
